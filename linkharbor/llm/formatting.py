@@ -1,24 +1,24 @@
 """Duplicates hidden by formatting differences.
 
-Each compared field of a record becomes a multiset of normalized pieces (a url: its part before the first
-``?`` and its query parameters, each without letter case and without characters that are neither letter nor
-digit).  Every (field name, piece) pair is hashed and the hashes are added modulo 2^61 - 1, in two independent
-lanes: the sum does not depend on order, so nothing is sorted.  Records with one fingerprint are candidates
-and are verified piece by piece against the first record of their group.
-
-Scale: fingerprints are counted with map-side combining; only (fingerprint, count, first key) of groups with
-copies goes on.  Groups that hold more than a thousandth of the rows (so at most a thousand groups) are sent
-to the rows by broadcast, all others meet their rows by one shuffle; no group is gathered in one task.
+Each compared url becomes a multiset of normalized pieces: its part before the first ``?`` and its query
+parameters, each without letter case and without characters that are neither letter nor digit.  Every (field
+name, piece) pair is hashed and the hashes are added modulo 2^61 - 1: the sum does not depend on order, so
+nothing is sorted.  Records with one fingerprint are candidates and are verified piece by piece against the
+first record of their group; what a collision brought together is told apart by the fields themselves.
+
+Scale: the normalized rows are written once.  Groups that hold more than a thousandth of the rows (fewer than a
+thousand groups) get their first record by broadcast; all other rows meet theirs in one shuffle, streaming past
+it, so no group is ever held in memory.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import present
+from ..shared import materialize, present
 
 PRIME = (1 << 61) - 1
 #: A group with more than 1/HOT of all rows is hot; there are at most HOT of them.
@@ -38,87 +38,92 @@ class TableSpec:
 SPECS = (TableSpec("output_record", "record_id", ("id",), ("sourceurl", "pageurl")), TableSpec("sample_input", "seq", ("id",), ("url",)))
 
 
-def strip(c: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", ""))
+def clean(c: Column) -> Column:
+    """Lower case, letters, digits, and the ``?`` and ``&`` that part the url; a missing url is NULL."""
+    return F.lower(F.regexp_replace(present(c), r"[^\p{L}\p{Nd}?&]+", ""))
 
 
-def pieces(c: Column) -> Column:
-    """Pieces of a url: ``p`` + the stripped part before the first ``?`` and ``q`` + each stripped parameter that
-    isn't empty, in the order written.  NULL stays NULL."""
-    at = F.instr(c, "?")
-    base = F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c)
-    query = F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise(F.lit(""))
-    # '&' survives the stripping, so one pass cleans all parameters
-    clean = F.lower(F.regexp_replace(query, r"[^\p{L}\p{Nd}&]+", ""))
-    params = F.transform(F.filter(F.split(clean, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q"), x))
-    head = F.array(F.concat(F.lit("p"), strip(base)))
-    return F.when(c.isNotNull(), F.when(clean == "", head).otherwise(F.concat(head, params)))
+def base(cleaned: Column) -> Column:
+    """The part before the first ``?``."""
+    return F.replace(F.substring_index(cleaned, "?", 1), F.lit("&"), F.lit(""))
 
 
-def _lane(fields: list[tuple[str, Column]], seed: str, bits: int) -> Column:
+def parameters(cleaned: Column) -> Column:
+    """The parameters that aren't empty, in the order written."""
+    rest = F.replace(F.substring(cleaned, F.instr(cleaned, "?") + 1, F.length(cleaned)), F.lit("?"), F.lit(""))
+    none = F.array().cast("array<string>")
+    return F.when(cleaned.isNull() | (F.instr(cleaned, "?") == 0), none).otherwise(F.filter(F.split(rest, "&"), lambda x: x != ""))
+
+
+def _fingerprint(spec: TableSpec, bits: int) -> Column:
     """Commutative multiset hash of all (field name, piece) pairs."""
-    def part(name: str, arr: Column) -> Column:
-        items = F.coalesce(arr, F.array(F.lit("-")))
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: (acc + F.xxhash64(F.lit(seed), F.lit(name), x).bitwiseAND(PRIME)) % PRIME)
+    hashed = lambda *x: F.xxhash64(*x).bitwiseAND(PRIME)
+    total = hashed(F.lit("exact"), *[F.struct(F.col(x)) for x in spec.exact])
+    for x in spec.urls:
+        c = F.col(x)
+        total = (total + hashed(F.lit(x), F.lit("base"), base(c))) % PRIME
+
+        def add(acc: Column, piece: Column, name: str) -> Column:
+            return (acc + hashed(F.lit(name), piece)) % PRIME
 
-    total = F.lit(0).cast("bigint")
-    for name, arr in fields:
-        total = (total + part(name, arr)) % PRIME
+        many = F.aggregate(parameters(c), F.lit(0).cast("bigint"), lambda acc, p: add(acc, p, x))  # noqa: B023
+        total = (total + F.when(F.instr(c, "?") > 0, many).otherwise(0)) % PRIME
     return total.bitwiseAND((1 << bits) - 1) if bits < 61 else total
 
 
 def _normal(df: DataFrame, spec: TableSpec, bits: int) -> DataFrame:
-    """(key, exact fields and pieces as ``fields``, f1, f2); ``bits`` < 61 shortens fingerprints, for tests."""
-    cols = [F.when(F.col(x).isNotNull(), F.array(F.col(x))).alias(f"e_{x}") for x in spec.exact] + [pieces(present(F.col(x))).alias(f"u_{x}") for x in spec.urls]
-    rows = df.filter(F.col(spec.key).isNotNull()).select(F.col(spec.key).cast("bigint").alias("copy_key"), *cols)
-    names = [f"e_{x}" for x in spec.exact] + [f"u_{x}" for x in spec.urls]
-    pairs = [(n, F.col(n)) for n in names]
-    return rows.select("copy_key", F.struct(*names).alias("fields"), _lane(pairs, "a", bits).alias("f1"), _lane(pairs, "b", bits).alias("f2"))
+    """(copy_key, the compared fields, f), written once; ``bits`` < 61 shortens fingerprints, for tests."""
+    rows = df.filter(F.col(spec.key).isNotNull()).select(
+        F.col(spec.key).cast("bigint").alias("copy_key"), *[F.col(x).alias(x) for x in spec.exact], *[clean(F.col(x)).alias(x) for x in spec.urls]
+    )
+    return materialize(rows.withColumn("f", _fingerprint(spec, bits)))
 
 
-def _equal(a: Column, b: Column) -> Column:
-    """Multiset equality of two piece arrays, without sorting unless pieces repeat."""
-    sets = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
-    same = (F.size(a) == F.size(b)) & sets & ((F.size(F.array_distinct(a)) == F.size(a)) | (F.array_sort(a) == F.array_sort(b)))
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
+def _same_pieces(a: Column, b: Column) -> Column:
+    """Equality of two cleaned urls: at once if written alike, else as multisets of pieces, which are sorted only
+    where pieces repeat."""
+    x, y = parameters(a), parameters(b)
+    sets = (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) == 0)
+    multi = (F.size(x) == F.size(y)) & sets & ((F.size(F.array_distinct(x)) == F.size(x)) | (F.array_sort(x) == F.array_sort(y)))
+    return F.when(a.eqNullSafe(b), True).when(a.isNull() | b.isNull(), False).otherwise((base(a) == base(b)) & multi)
 
 
 def members(df: DataFrame, spec: TableSpec, bits: int = 61) -> DataFrame:
-    """(first_key, copy_key) of every row in a group of two or more verified copies, the first included.
+    """(first_key, copy_key) of every row that is a verified copy of an earlier one.
 
     Rows without a key are left out; NULL fields, and the text ``null`` in a url, equal each other; an empty url
     equals any url of punctuation only.  Tables may have any further columns.
     """
-    names = [f"e_{x}" for x in spec.exact] + [f"u_{x}" for x in spec.urls]
+    fields = [*spec.exact, *spec.urls]
     rows = _normal(df, spec, bits)
-    n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    groups = rows.groupBy("f1", "f2").agg(F.min("copy_key").alias("first_key"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = groups.filter(F.col("n") * HOT > n_rows)
-    cold = groups.filter(F.col("n") * HOT <= n_rows)
-
-    def verified(g: DataFrame, few: bool) -> DataFrame:
-        hint = F.broadcast if few else lambda x: x  # at most HOT rows
-        met = rows.join(hint(g), ["f1", "f2"])
-        first = met.filter(F.col("copy_key") == F.col("first_key")).select("f1", "f2", F.col("fields").alias("first_fields"))
-        both = met.join(hint(first), ["f1", "f2"])
-        ok = F.lit(True)
-        for n in names:
-            ok = ok & _equal(F.col(f"fields.{n}"), F.col(f"first_fields.{n}"))
-        return both.select("f1", "f2", "first_key", "copy_key", "fields", ok.alias("ok"))
-
-    got = verified(cold, False).unionByName(verified(hot, True))
-    right = got.filter("ok").select("first_key", "copy_key")
-    # rows whose fingerprint collided: grouped by the fields themselves, which are sorted only for these
-    canon = F.to_json(F.struct(*[F.array_sort(F.col(f"fields.{n}")).alias(n) for n in names]), {"ignoreNullFields": "false"})
-    lost = got.filter(~F.col("ok")).select("copy_key", canon.alias("canon"))
-    heads = lost.groupBy("canon").agg(F.min("copy_key").alias("first_key"))
-    return right.unionByName(lost.join(heads, "canon").select("first_key", "copy_key"))
+    n_rows = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    hot = F.broadcast(rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > n_rows).select("f"))  # fewer than HOT rows
+    record = F.struct("copy_key", *fields)
+    # a group's rows stream past its first; nothing but that first is kept
+    w = Window.partitionBy("f").orderBy("copy_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = rows.join(hot, "f", "left_anti").withColumn("first", F.first(record).over(w))
+    of_hot = rows.join(hot, "f")
+    heads = of_hot.groupBy("f").agg(F.min("copy_key").alias("copy_key"))
+    firsts = F.broadcast(of_hot.join(F.broadcast(heads), ["f", "copy_key"]).select("f", record.alias("first")))
+    both = cold.unionByName(of_hot.join(firsts, "f")).filter(F.col("copy_key") != F.col("first.copy_key"))
+    ok = F.lit(True)
+    for x in spec.exact:
+        ok = ok & F.col(x).eqNullSafe(F.col(f"first.{x}"))
+    for x in spec.urls:
+        ok = ok & _same_pieces(F.col(x), F.col(f"first.{x}"))
+    parts = [F.to_json(F.array(F.col(x))) for x in spec.exact] + [F.to_json(F.struct(base(F.col(x)).alias("b"), F.array_sort(parameters(F.col(x))).alias("q"))) for x in spec.urls]
+    got = both.select("copy_key", F.col("first.copy_key").alias("first_key"), F.when(~ok, F.concat_ws("\n", *parts)).alias("lost"))
+    got = materialize(got)
+    right = got.filter("lost is null").select("first_key", "copy_key")
+    # rows whose fingerprint collided with another record's: grouped by the fields themselves
+    lost = got.filter("lost is not null")
+    heads = lost.groupBy("lost").agg(F.min("copy_key").alias("first_key"))
+    return right.unionByName(lost.select("copy_key", "lost").join(heads, "lost").filter("copy_key <> first_key").select("first_key", "copy_key"))
 
 
 def copies(df: DataFrame, spec: TableSpec, bits: int = 61) -> DataFrame:
     """(table_name, first_key, copy_key) of each copy but the first of its group."""
-    return members(df, spec, bits).filter("first_key <> copy_key").select(F.lit(spec.name).alias("table_name"), "first_key", "copy_key")
+    return members(df, spec, bits).select(F.lit(spec.name).alias("table_name"), "first_key", "copy_key")
 
 
 def collapsed(df: DataFrame, spec: TableSpec, bits: int = 61) -> DataFrame:
