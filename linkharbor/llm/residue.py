@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import missing
+from ..shared import materialize, missing
 
 # What template engines and forms leave behind when nothing was filled in. --------------------
 
@@ -318,7 +318,7 @@ def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
 def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:
     """(doc_id, kind) of documents with residue; kind ``duplicated`` comes from host evidence.  A document occurs
     once per row it has in ``documents``."""
-    f = facts(documents)
+    f = materialize(facts(documents))  # the scan of all texts runs once
     own = f.filter(F.col("kind").isNotNull()).select("doc_id", "kind")
     return own.unionByName(duplicated(f, inputs).select("doc_id", F.lit("duplicated").alias("kind")))
 
