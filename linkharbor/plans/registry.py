@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import address_queries, problems, record_queries
 
-_MODULES = (problems,)
+_MODULES = (problems, address_queries, record_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return problems.p6_totals(spark, d)
+    return record_queries.flagship(spark, d)

@@ -81,3 +81,8 @@ def missing(c: Column) -> Column:
 def present(c: Column) -> Column:
     """The value, or NULL where it is missing."""
     return F.when(c != "null", c)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row: keeps expressions that use a part many times small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
