@@ -83,22 +83,26 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    seen_all: dict = {}
-    seen_load: dict = {}
+    seen_all: dict[str, int] = {}
+    seen_load: dict[tuple[str, int | None], int] = {}
     for pdf in batches:
         if pdf.empty:
             continue
+        names, cnt = pdf["column_name"].to_numpy(), pdf["cnt"].to_numpy(dtype="int64")
+        step = np.where(pdf["first_of_value"], pdf["value_cnt"], 0).astype("int64")
         # a NULL load is a load of its own
-        load_key = pdf["load_id"].astype("Int64").astype(object).where(pdf["load_id"].notna(), None)
-        step = np.where(pdf["first_of_value"], pdf["value_cnt"], 0)
-        run_all = pd.Series(step).groupby(pdf["column_name"].to_numpy()).cumsum().to_numpy()
-        keys = pd.Series(list(zip(pdf["column_name"], load_key)), dtype=object)
-        run_load = pdf["cnt"].reset_index(drop=True).groupby(keys).cumsum().to_numpy()
-        run_all = run_all + pdf["column_name"].map(lambda c: seen_all.get(c, 0)).to_numpy(dtype="int64")
-        run_load = run_load + keys.map(lambda k: seen_load.get(k, 0)).to_numpy(dtype="int64")
-        last = pd.DataFrame({"c": pdf["column_name"].to_numpy(), "k": keys, "a": run_all, "l": run_load})
-        seen_all.update(last.groupby("c")["a"].last().to_dict())
-        seen_load.update(last.groupby("k")["l"].last().to_dict())
+        codes, loads = pd.factorize(pdf["load_id"].astype("Int64"), use_na_sentinel=False)
+        loads = [None if pd.isna(x) else int(x) for x in loads]
+        run_all, run_load = np.empty(len(pdf), "int64"), np.empty(len(pdf), "int64")
+        edges = np.flatnonzero(names[1:] != names[:-1]) + 1  # rows are sorted by column
+        for lo, hi in zip([0, *edges], [*edges, len(pdf)]):
+            name = names[lo]
+            run_all[lo:hi] = np.cumsum(step[lo:hi]) + seen_all.get(name, 0)
+            seen_all[name] = int(run_all[hi - 1])
+            for k in np.unique(codes[lo:hi]):
+                at = lo + np.flatnonzero(codes[lo:hi] == k)
+                run_load[at] = np.cumsum(cnt[at]) + seen_load.get((name, loads[k]), 0)
+                seen_load[name, loads[k]] = int(run_load[at[-1]])
         yield pdf.drop(columns="first_of_value").assign(pid=pid, run_all=run_all, run_load=run_load)
 
 
