@@ -29,7 +29,8 @@ def survivorship(df: DataFrame, group: Column, rules: list[FieldRule], time: str
     """One row per group: ``grp``, ``n_records`` and per rule ``<field>_pick`` (struct priority, time, key, value).
 
     A pick is NULL if no row is eligible.  Ties go to the latest time (NULL lowest), then the largest key.
-    Groups with fewer than ``least`` rows and the NULL group are left out.
+    Groups with fewer than ``least`` rows and the NULL group are left out.  A repeated row counts as a record of its
+    own; further columns of any name do no harm; an empty table gives no rows.
     """
     picks = []
     for r in rules:
@@ -38,9 +39,8 @@ def survivorship(df: DataFrame, group: Column, rules: list[FieldRule], time: str
             F.col(key).alias("key"), F.col(r.field).alias("value"),
         )
         picks.append(F.max(s if r.eligible is None else F.when(r.eligible, s)).alias(f"{r.field}_pick"))
-    rows = df.select("*", group.alias("grp__")).filter(F.col("grp__").isNotNull())
-    out = rows.groupBy("grp__").agg(F.count(F.lit(1)).alias("n_records"), *picks)
-    return out.filter(F.col("n_records") >= least).withColumnRenamed("grp__", "grp")
+    out = df.filter(group.isNotNull()).groupBy(group.alias("grp")).agg(F.count(F.lit(1)).alias("n_records"), *picks)
+    return out.filter(F.col("n_records") >= least)
 
 
 def outcome_rules() -> list[FieldRule]:
