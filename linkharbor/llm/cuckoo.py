@@ -269,7 +269,9 @@ def seen_before(records: DataFrame, earlier: DataFrame, blocks: int = 64) -> Dat
     """(record_id, field_name) of every key met before: in ``earlier`` or in a record with a smaller id.
 
     A record is new exactly if it asked and was answered "new", or was answered "seen" wrongly; all other
-    records with a key were seen.
+    records with a key were seen.  NULL and malformed cells have no key; records without an id have no place in the
+    order and are left out; rows repeated with their id are one record; keys of any length are compared whole;
+    further columns do no harm; an empty table gives no rows.
     """
     keys = record_keys(records)
     got = answers(keys, records.select("record_id"), earlier_keys(earlier), blocks).filter("ord >= 0")

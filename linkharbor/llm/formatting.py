@@ -92,7 +92,8 @@ def members(df: DataFrame, spec: TableSpec, bits: int = 61) -> DataFrame:
     """(first_key, copy_key) of every row that is a verified copy of an earlier one.
 
     Rows without a key are left out; NULL fields, and the text ``null`` in a url, equal each other; an empty url
-    equals any url of punctuation only.  Tables may have any further columns.
+    equals any url of punctuation only; urls of any length are compared whole.  Keys are unique.  Tables may have
+    any further columns; an empty table gives no rows.
     """
     fields = [*spec.exact, *spec.urls]
     rows = _normal(df, spec, bits)

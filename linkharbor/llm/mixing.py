@@ -53,7 +53,12 @@ def draw(tokens: DataFrame, rate: DataFrame, seed: int = 20) -> DataFrame:
 
 
 def mix(df: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 20, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """The uses of each text, and the shares reached per source."""
+    """The uses of each text, and the shares reached per source.
+
+    NULL and empty texts have no tokens and are drawn like others of their source; a NULL source draws nothing;
+    repeated documents draw alike; without documents or targets nothing is drawn and all shares are 0; further
+    columns do no harm.
+    """
     tokens = materialize(token_counts(df, ["doc_id", "source"], path))
     rate = materialize(rates(tokens, targets, total))
     uses = draw(tokens, rate, seed)

@@ -196,7 +196,8 @@ def pack(df: DataFrame, specs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(spec_id, doc_id, piece, n_pieces, n_tokens, container_id, place, start_at): the container of every piece.
 
     Containers are numbered from 1 per capacity; places from 1; ``start_at`` is the first token's offset.  Texts
-    without tokens have container NULL and place 0.  ``specs`` holds (spec_id, capacity_tokens); at most 1000
+    without tokens (NULL, empty) have container NULL and place 0; repeated documents are packed as often as they
+    occur; a NULL doc_id is kept; further columns do no harm; no texts or no capacities give no rows.  ``specs`` holds (spec_id, capacity_tokens); at most 1000
     positive capacities of at most 2^20 tokens, which bounds the histograms the driver gets.
     """
     got = specs.filter("capacity_tokens > 0 and spec_id is not null").select("spec_id", "capacity_tokens").distinct().limit(1001).collect()

@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize, missing
+from ..operators.scale import lookup
+from ..shared import materialize, missing, small_or_plain
 
 # What template engines and forms leave behind when nothing was filled in. --------------------
 
 _NAME = r"\$?[^\W\d][\w.:\-]*(?:\[\d+\])?(?:\.\w+)*(?: ?\| ?\w+)?"
 _WORDS = r"[^\n\[\]{}<>«»*]{2,60}"
+_FIELD = "titles?|abstract|summary|authors?|names?|journal|keywords?|publisher|date|year|text|titre|résumé|auteurs?|noms?|titel|autor(?:en|es)?|kurzfassung|jahr|título|resumen|resumo|fecha|data|ano|año"
 _SLOT = [
     rf"\{{\{{\{{? ?{_NAME} ?(?:\}}\}}\}}?)?",  # {{x}}, {{{x}}}, and one that was cut off
     rf"[$#]\{{ ?{_NAME} ?\}}",
@@ -60,6 +62,7 @@ _SLOT = [
     rf"\[{_WORDS}(?:à compléter|einfügen|goes here|here|pendiente|a preencher)\]",
     rf"\((?:enter|insert|add|type)\b{_WORDS}\)",
     r"\[[^\W\d]+\]",
+    rf"\[(?:{_WORDS} )?(?:{_FIELD})(?: {_WORDS})?\]",
     rf"(?:click to edit|missing translation:|replace this with|enter your|type your) {_WORDS}",
     rf"{_WORDS}: ?x{{4,}}",
     r"metadata\.dc\.[\w.]+",
@@ -73,7 +76,7 @@ _NUMBER = r"(?: ?\(?(?:code|código|reference|referencia|error|status)?:? ?#?\d+
 _HEADS = (
     "not found|page not found|file not found|page introuvable|seite nicht gefunden|página no encontrada|página não encontrada|pagina no encontrada|"
     "bad gateway|bad request|gateway time-?out|forbidden|access denied|access forbidden|unauthorized|permission denied|accès refusé|zugriff verweigert|acceso denegado|acesso negado|"
-    "internal server error|erreur interne du serveur|interner serverfehler|error interno del servidor|erro interno do servidor|service (?:temporarily )?unavailable|service (?:temporairement )?indisponible|"
+    r"internal server error|erreur interne du serveur|interner serverfehler|error interno del servidor|erro interno do servidor|service (?:temporarily )?unavailable|service (?:\w+ )?indisponible|"
     "dienst (?:zurzeit |derzeit )?nicht verfügbar|servicio no disponible(?: temporalmente)?|servicio (?:temporalmente )?no disponible|serviço (?:temporariamente )?indisponível|"
     "too many requests|request blocked|request timed out|system message|something went wrong|oops|sorry|nothing here|item could not be retrieved|one more step|"
     "(?:your )?session (?:has )?expired|ihre sitzung ist abgelaufen|su sesión ha caducado|a sua sessão expirou|sessão expirada|votre session a expiré|session expirée|"
@@ -296,33 +299,39 @@ def facts(df: DataFrame) -> DataFrame:
 
 
 def slugs(inputs: DataFrame) -> DataFrame:
-    """(id, slug): words of the last path parts of an id's addresses."""
-    url = F.lower(F.regexp_replace("url", r"[?#].*", ""))
-    path = F.regexp_extract(url, r"^[^/]*//[^/]+/(.*)$", 1)
+    """(id, slug): words of the paths of an id's addresses; missing ids and urls have none."""
+    path = F.regexp_extract(F.lower(F.regexp_replace("url", r"[?#].*", "")), r"^[^/]*//[^/]+/(.*)$", 1)
     words = F.filter(F.split(path, r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
     return inputs.filter(~missing(F.col("id"))).select("id", F.explode(words).alias("slug"))
 
 
 def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(doc_id) of short texts that answer neither title nor slug and that many documents on several hosts repeat."""
+    """(doc_id) of short texts that answer neither title nor slug and that many documents on several hosts repeat.
+
+    Texts without a title line have no title to answer; documents without an id no slug.
+    """
     low = f.filter(F.col("low") & ~F.coalesce(F.col("title_in_body"), F.lit(False)))
-    key = F.xxhash64("body")
-    many = low.groupBy(key.alias("k"), "body").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("host", 0.02).alias("hosts"))
+    many = low.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("host", 0.02).alias("hosts"))
     many = many.filter((F.col("n") >= MIN_DOCS) & (F.col("hosts") >= MIN_HOSTS)).select("body")
-    suspects = low.join(many, "body", "left_semi")
+    suspects = lookup(low, many, ["body"], "inner").select("doc_id", "id", "words")  # one text may fill a third of all documents
+    ids = suspects.filter(~missing(F.col("id"))).select("id").distinct()
+    asked = inputs.join(small_or_plain(ids), "id", "left_semi")
     # a slug term in the text shows that the page answers its address
-    answered = suspects.select("doc_id", "id", F.explode("words").alias("slug")).join(slugs(inputs), ["id", "slug"], "left_semi").select("doc_id")
+    answered = suspects.select("doc_id", "id", F.explode("words").alias("slug")).join(slugs(asked), ["id", "slug"], "left_semi").select("doc_id").distinct()
     return suspects.join(answered, "doc_id", "left_anti").select("doc_id")
 
 
 def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(doc_id, kind) of documents with residue; kind ``duplicated`` comes from host evidence.  A document occurs
-    once per row it has in ``documents``."""
+    """(doc_id, kind) of documents with residue; kind ``duplicated`` comes from host evidence.
+
+    A document occurs once per row it has in ``documents``.  NULL and empty texts hold no residue; NULL hosts are no
+    host, NULL ids have no slug; further columns do no harm; an empty table gives no rows.
+    """
     f = materialize(facts(documents))  # the scan of all texts runs once
     own = f.filter(F.col("kind").isNotNull()).select("doc_id", "kind")
     return own.unionByName(duplicated(f, inputs).select("doc_id", F.lit("duplicated").alias("kind")))
 
 
 def cleaned(documents: DataFrame, inputs: DataFrame) -> DataFrame:
-    """The documents without those flagged, all columns kept."""
+    """The documents without those flagged, all columns kept.  A document without a doc_id can't be named and stays."""
     return documents.join(flagged(documents, inputs).select("doc_id").distinct(), "doc_id", "left_anti")
