@@ -71,7 +71,11 @@ def request_states(inputs: DataFrame, earlier: DataFrame) -> DataFrame:
 
 
 def totals(records: DataFrame, inputs: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Totals per value: rows, found share, summed sizes, requests, and the size of the joined result."""
+    """Totals per value: rows, found share, summed sizes, requests, and the size of the joined result.
+
+    Missing values have no totals, an empty text has; malformed sizes add nothing; repeated rows count as rows;
+    values without requests have 0; further columns do no harm; an empty table gives no rows.
+    """
     j = eager_join(outcome_states(records), request_states(inputs, earlier), ["field_name", "key_value"], ["found_n", "total_size"], [], "left")
     return j.withColumn("found_share", F.col("found_n") / F.col("n"))
 

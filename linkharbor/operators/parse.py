@@ -300,7 +300,9 @@ _LINES = "line_no long, file_name string, id string, url string, reason string,
 def read_lines(df: DataFrame) -> DataFrame:
     """Rows (line_no, file_name, line_format, line) to typed records and located errors, one row per line.
 
-    Valid rows have ``id`` and ``url``; others the first reason that applies, the offset and a detail.
+    Valid rows have ``id`` and ``url``; others the first reason that applies, the offset and a detail.  A NULL line reads
+    as an empty one (broken as JSON, one field as delimited text), an unknown format as csv; repeated lines are read
+    as often as they occur, lines of any length whole; further columns do no harm; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

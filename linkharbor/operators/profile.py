@@ -191,7 +191,12 @@ def shifts(curve: DataFrame, points: int = 15) -> DataFrame:
 
 
 def found(df: DataFrame, specs: tuple[ColumnSpec, ...] = OUTCOME_SPECS, load: str = "load_id", key: str = "record_id", points: int = 15) -> DataFrame:
-    """Findings of a profile: each malformed cell, and each load and column whose distribution shifted."""
+    """Findings of a profile: each malformed cell, and each load and column whose distribution shifted.
+
+    A missing cell (NULL or ``null``) is never malformed and is one value of its own in the shares; an empty text is
+    malformed.  A NULL load is a load.  A single load shifts from nothing.  Repeated rows count as rows; cells of any
+    length are compared whole; further columns do no harm; an empty table gives no rows.
+    """
     bad = violations(df, specs, load, key).select(F.lit("violation").alias("finding"), F.col("load_id").cast("int").alias("load_id"), "column_name", "record_id")
     moved = shifts(curves(df, specs, load, by_class=True), points)
     return bad.unionByName(moved.select(F.lit("shift").alias("finding"), F.col("load_id").cast("int").alias("load_id"), "column_name", F.lit(0).cast("bigint").alias("record_id")))
@@ -213,22 +218,21 @@ def profile(df: DataFrame, specs: tuple[ColumnSpec, ...] = OUTCOME_SPECS, load:
         F.max("n_load").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("is_missing"), F.col("cnt"))), F.lit(0)).alias("n_missing"),
         F.count(F.when(~F.col("is_missing"), 1)).alias("n_distinct"),
-        F.sum("broken").alias("n_malformed"),
-        F.min(F.when(~F.col("is_missing"), F.struct("num", "value"))).alias("lo"),
-        F.max(F.when(~F.col("is_missing"), F.struct("num", "value"))).alias("hi"),
-        F.min("num").alias("min_number"), F.max("num").alias("max_number"), F.max("ks").alias("ks_distance"),
+        F.sum("broken").alias("n_malformed"), F.min("num").alias("min_number"), F.max("num").alias("max_number"), F.max("ks").alias("ks_distance"),
     )
     k, p = c.alias("k"), per.select("column_name", "load_id", "n_rows", "n_missing").alias("p")
     at = k.join(p, (F.col("k.column_name") == F.col("p.column_name")) & F.col("k.load_id").eqNullSafe(F.col("p.load_id"))).filter(~F.col("is_missing"))
-
-    def hit(q: float) -> Column:
-        rank = F.col("n_missing") + F.ceil((F.col("n_rows") - F.col("n_missing")) * F.lit(q))
-        return F.max(F.when((F.col("cum_load") - F.col("cnt") < rank) & (rank <= F.col("cum_load")), F.col("k.value")))
-
-    quart = at.groupBy(F.col("k.column_name").alias("column_name"), F.col("k.load_id").alias("load_id")).agg(hit(0.25).alias("q25"), hit(0.5).alias("q50"), hit(0.75).alias("q75"))
-    p, q = per.alias("p"), quart.alias("q")
+    # the curve names the value at any rank: of all rows only those that hold a wanted rank go on
+    n_here = F.col("n_rows") - F.col("n_missing")
+    ranks = {"min_value": F.lit(1), "q25": F.ceil(n_here * F.lit(0.25)), "q50": F.ceil(n_here * F.lit(0.5)), "q75": F.ceil(n_here * F.lit(0.75)), "max_value": n_here}
+    holds = {name: (F.col("cum_load") - F.col("cnt") < F.col("n_missing") + r) & (F.col("n_missing") + r <= F.col("cum_load")) for name, r in ranks.items()}
+    some = F.lit(False)
+    for x in holds.values():
+        some = some | x
+    picks = at.filter(some).groupBy(F.col("k.column_name").alias("column_name"), F.col("k.load_id").alias("load_id"))
+    picks = picks.agg(*[F.max(F.when(x, F.col("k.value"))).alias(name) for name, x in holds.items()])
+    p, q = per.alias("p"), picks.alias("q")
     return p.join(q, (F.col("p.column_name") == F.col("q.column_name")) & F.col("p.load_id").eqNullSafe(F.col("q.load_id")), "left").select(
         "p.column_name", F.col("p.load_id").cast("int").alias("load_id"), "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows")).alias("missing_rate"),
-        "n_distinct", F.col("lo.value").alias("min_value"), F.col("hi.value").alias("max_value"), "min_number", "max_number",
-        "q25", "q50", "q75", "n_malformed", "ks_distance",
+        "n_distinct", "min_value", "max_value", "min_number", "max_number", "q25", "q50", "q75", "n_malformed", "ks_distance",
     )

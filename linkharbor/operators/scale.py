@@ -40,12 +40,19 @@ def _block(df: DataFrame, order: str, blocks: int) -> Column:
     return F.floor((F.col(order) - least) * blocks / (most - least + 1)).cast("int")
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], blocks: int = 256) -> DataFrame:
+def default_blocks(df: DataFrame) -> int:
+    """Blocks that keep all tasks busy with one key: at least 256, four per shuffle partition."""
+    return max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], blocks: int | None = None) -> DataFrame:
     """``df`` with running sums (current row included) per key in order.
 
-    A key's rows are cut into at most ``blocks`` blocks of the order; sums of earlier blocks come from one small
-    row per key and block, so even a key with a third of all rows is spread over all blocks.
+    A key's rows are cut into at most ``blocks`` blocks of equal ranges of the order (None: ``default_blocks``);
+    sums of earlier blocks come from one small row per key and block, so even a key with a third of all rows is
+    spread over all blocks.  NULL keys are a key of their own; NULL summands count as 0.
     """
+    blocks = blocks or default_blocks(df)
     names = list(sums)
     rows = df.select("*", _block(df, order, blocks).alias("block__"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(f"{n}__") for n, c in sums.items()])
     per = rows.groupBy(*keys, "block__").agg(*[F.sum(f"{n}__").alias(n) for n in names])
@@ -59,7 +66,7 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
     return a.join(b, on).select(*[F.col(f"a.`{c}`").alias(c) for c in df.columns], *[(F.col(f"{n}_here__") + F.col(f"{n}_before__")).alias(n) for n in names])
 
 
-def ranked(df: DataFrame, order: str, name: str = "nth", blocks: int = 256) -> DataFrame:
+def ranked(df: DataFrame, order: str, name: str = "nth", blocks: int | None = None) -> DataFrame:
     """``df`` with the row's number from 1 in ascending order, computed in blocks."""
     one = df.withColumn("all__", F.lit(1))
     return running(one, ["all__"], order, {name: F.lit(1)}, blocks).drop("all__")

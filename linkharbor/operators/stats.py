@@ -71,16 +71,16 @@ def politeness(requests: DataFrame, target_ms: int = 5000, block_rows: str | Non
     """``requests`` (seq, domain, ts) with ``gap_ms`` since the site's previous request (-1: none) and the ``delay_ms`` owed.
 
     Delay: none for the first request and for gaps from 3 s on, else the target minus the gap (a fixed target where
-    a random one between 3 and 7 s would not repeat).  The previous request is looked up inside time blocks of a
-    day first, so a hot site is no single task: only the first request of a block needs the end of the block before.
+    a random one between 3 and 7 s would not repeat).  The previous request is looked up inside time blocks of an
+    hour first, so a hot site is no single task: only the first request of a block needs the end of the block before.
     """
     site = F.coalesce(urls.top_three_levels(F.col("domain")), F.lit(""))
-    rows = requests.select("*", site.alias("site"), F.date_trunc("day", F.col("ts")).alias("day__"))
-    w = Window.partitionBy("site", "day__").orderBy("ts", "seq")
-    ends = rows.groupBy("site", "day__").agg(F.max("ts").alias("end__"))
-    ends = ends.select("site", "day__", F.lag("end__").over(Window.partitionBy("site").orderBy("day__")).alias("before__"))
+    rows = requests.select("*", site.alias("site"), F.date_trunc("hour", F.col("ts")).alias("hour__"))
+    w = Window.partitionBy("site", "hour__").orderBy("ts", "seq")
+    ends = rows.groupBy("site", "hour__").agg(F.max("ts").alias("end__"))
+    ends = ends.select("site", "hour__", F.lag("end__").over(Window.partitionBy("site").orderBy("hour__")).alias("before__"))
     a = rows.withColumn("prev__", F.lag("ts").over(w))
-    j = a.join(ends, ["site", "day__"], "left")
+    j = a.join(ends, ["site", "hour__"], "left")
     prev = F.coalesce(F.col("prev__"), F.col("before__"))
     gap = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1000).cast("bigint")
     return j.select(*requests.columns, "site", F.coalesce(gap, F.lit(-1)).alias("gap_ms")).withColumn(
