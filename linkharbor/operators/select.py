@@ -116,3 +116,15 @@ def ids_without_url(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
 def first_finders(found: DataFrame) -> DataFrame:
     """(url, seq, id, source_url, mime_type) of the record that found a url first."""
     return first_by_key(found, ["url"], "seq", ["id", "source_url", "mime_type"])
+
+
+def error_rows(failed: DataFrame, logged: DataFrame | None = None, config: Config = _DEFAULT) -> DataFrame:
+    """Failed urls (seq, id, url, kind, message) to outcome rows with their retry class; those already logged (or whose
+    message says so) are left out."""
+    from ..functions import outcomes
+
+    out = failed.filter(~F.coalesce(F.col("message").contains("__LOGGED__"), F.lit(False)))
+    if logged is not None:
+        out = out.join(logged.select("seq"), "seq", "left_anti")
+    r = outcomes.retry_class(F.col("kind"), F.col("message"), F.col("url"), config)
+    return out.withColumn("r__", r).select("seq", "id", "url", F.lit("load error").alias("outcome"), F.col("r__.was_valid").alias("valid"), F.col("r__.could_retry").alias("retry"), F.col("r__.tail").alias("tail"))

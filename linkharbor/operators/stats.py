@@ -117,3 +117,11 @@ def elapsed(start: Column, end: Column) -> Column:
     s = F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
     part = lambda x, n: x.cast("bigint").alias(n)
     return F.struct(part(F.floor(s / 86400), "days"), part(F.floor(s % 86400 / 3600), "hours"), part(F.floor(s % 3600 / 60), "minutes"), part(s % 60, "seconds"))
+
+
+def failed_tasks(tasks: DataFrame, batch: Column) -> DataFrame:
+    """(batch, n_tasks, n_failed) of tasks with a ``failed`` flag, and their total in the row with batch NULL.
+
+    Every failed task counts (Q15: a literal reading counts failing batches).
+    """
+    return tasks.withColumn("batch", batch).rollup("batch").agg(F.count(F.lit(1)).alias("n_tasks"), F.count(F.when(F.col("failed"), 1)).alias("n_failed"))

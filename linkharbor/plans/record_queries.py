@@ -500,6 +500,56 @@ def redirect_chains(spark: S, d: str) -> D:
     return pages.follow_redirects(t, step).select("seq", "final_url", "hops")
 
 
+def failed_tasks(spark: S, d: str) -> D:
+    """AG14: failures per batch of the events and in total."""
+    e = _events(spark, d).select("seq", F.col("kind").isin("timeout", "http_5xx").alias("failed"))
+    return stats.failed_tasks(e, select.batch_number(F.col("seq")))
+
+
+def error_rows(spark: S, d: str) -> D:
+    """MAC5: outcome rows of errors that weren't logged before."""
+    t = table(spark, d, "output_record").filter(~missing(F.col("error")))
+    f = t.select(F.col("record_id").alias("seq"), "id", F.col("sourceurl").alias("url"), F.when(F.col("error").contains("timed out"), "timeout").otherwise("blocked").alias("kind"), F.col("error").alias("message"))
+    logged = t.filter(F.pmod("record_id", F.lit(4)) == 0).select(F.col("record_id").alias("seq"))
+    return select.error_rows(f, logged).select("seq", "outcome", "valid", "retry")
+
+
+def outcome_union(spark: S, d: str) -> D:
+    """SET1: several outcome streams as one."""
+    t = table(spark, d, "output_record")
+    a = t.filter("docordataseturl = 'unreachable'").select("record_id", F.lit("unreachable").alias("outcome"), "error")
+    b = t.filter("docordataseturl = 'duplicate'").select("record_id", F.lit("duplicate").alias("outcome"))
+    return output.union([a, b]).groupBy("outcome", F.col("error").isNull().alias("no_error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def request_methods(spark: S, d: str) -> D:
+    """MAC15 on the event domains."""
+    k = F.pmod("seq", F.lit(4))
+    m = mime.request_method(k == 0, k == 1, k == 2, F.lit(False), F.coalesce("domain", F.lit("")))
+    return _events(spark, d).groupBy(m.alias("method")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mime_table(spark: S, d: str) -> D:
+    """SRC9-10: the known types and how many records have them."""
+    t = table(spark, d, "output_record").groupBy("mimetype").agg(F.count(F.lit(1)).alias("n"))
+    return mime.mime_dimension(spark).join(t, "mimetype").select("mimetype", "category", "n")
+
+
+def page_mimes(spark: S, d: str) -> D:
+    """FLT20: types that would be pages (rows-only: look-ahead)."""
+    m = F.lower("mimetype")
+    return table(spark, d, "output_record").filter(~missing(m)).groupBy("mimetype").agg(F.first(filters.page_mime(m)).alias("is_page"))
+
+
+def link_rules(spark: S, d: str) -> D:
+    """FLT14-16, 23, 25 and 26 on source and page urls."""
+    u, p = F.col("sourceurl"), F.col("pageurl")
+    return table(spark, d, "output_record").filter(p.isNotNull()).select(
+        "record_id", filters.content_page_skip(u).alias("content_page"), filters.shared_site_session(u).alias("shared"), filters.dynamic_link(u).alias("dynamic"),
+        F.coalesce(filters.same_site(u, urls.domain(p)), F.lit(False)).alias("same_site"), filters.document_text(F.lower(F.element_at(F.split(u, "/"), -1))).alias("named"),
+    )
+
+
 def flagship(spark: S, d: str) -> D:
     """Input pairs to outcomes: the followed url of each id, its site, and how records of that url ended."""
     best = select.best_urls(_accepted(spark, d))
@@ -519,7 +569,8 @@ _NAMES = (
     batch_progress, recrossed_urls, anti_duplicate, anti_blacklist, anti_403_path, known_mime, hash_dedup, mime_classify, mime_plain, body_sniff, retry_classify, status_action, outcome_flags, output_json,
     file_md5_size, file_number, file_dup_suffix, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff,
     prediction_breaker, model_phases, run_statistics, run_statistics_by_load, domain_hits, domains_by_connections, politeness_delay, log_counts, log_gaps, sorted_average, elapsed_time, learned_paths,
-    path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, redirect_chains, best_sites,
+    path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, redirect_chains, best_sites, failed_tasks, error_rows, outcome_union,
+    request_methods, mime_table, page_mimes, link_rules,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -529,7 +580,8 @@ from ..functions import patterns as P  # noqa: E402
 
 _PD, _DOC, _SET = (_q(P.full(x)) for x in (P.PLAIN_DOMAIN, P.document_url(), P.dataset_url()))
 _CAND = f"(regexp_matches(lower(url), '{_DOC}') OR regexp_matches(lower(url), '{_SET}'))"
-_BEST = f"""a AS (SELECT seq, id, url, seq % 50 = 0 AS f FROM sample_input WHERE NOT regexp_matches(lower(url), '{_PD}')),
+_A = f"a AS (SELECT seq, id, url, seq % 50 = 0 AS f FROM sample_input WHERE NOT regexp_matches(lower(url), '{_PD}'))"
+_BEST = f"""{_A},
 c AS (SELECT *, CASE WHEN f THEN 're-crossed' WHEN {_CAND} THEN 'candidate' END AS s FROM a),
 r AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_urls, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN s IS NOT NULL THEN 0 WHEN contains(url, '/handle/') THEN 1 WHEN NOT contains(url, 'doi.org') THEN 2 ELSE 3 END,
   CASE WHEN s IS NOT NULL THEN seq ELSE -seq END) AS rn FROM c),
@@ -585,7 +637,35 @@ _SITE = f"coalesce(nullif(regexp_extract(domain, '{_q(P.full(P.TOP_THREE))}', 1)
 _PAGE = f"'https://' || coalesce({_dom('sourceurl')}, 'e.org') || '/item/' || record_id"
 _CLEAN = r"lower(regexp_replace(url, '[^\x21-\x7e]', '', 'g'))"
 
+_A0 = _A.replace("seq % 50 = 0", "false")
+_BEST0 = _BEST.replace(_A, _A0)
+_BEST2 = _BEST0.replace(_A0, "a AS (SELECT b.* FROM a1 b WHERE id IN (SELECT id FROM failed) AND seq NOT IN (SELECT seq FROM failed))")
+_DM = f"coalesce({_dom('sourceurl')}, 'e.org')"
+_PG = f"pg AS (SELECT record_id, record_id % 10 AS k, {_DM} AS dm FROM output_record)"
+_ST = "e'a\\ndiv_main\\nbody\\nhtml\\n'"
+_SF = "e'form\\ndiv_main\\nbody\\nhtml\\n'"
+_MIME_ROWS = ", ".join(f"('{m}', 'document')" for m in mime.document_mimes()) + ", " + ", ".join(f"('{m}', 'dataset')" for m in P.DATASET_MIMES)
+
 SQL = {
+    "next_best_url": f"WITH a1 AS (SELECT * FROM (WITH {_A0} SELECT * FROM a)), failed AS (SELECT id, seq FROM (WITH {_BEST0} SELECT * FROM best) WHERE seq % 3 = 0), {_BEST2} SELECT id, seq FROM best",
+    "html_decisions": """WITH n AS (SELECT record_id % 10 AS k, count(*) AS n FROM output_record GROUP BY ALL), t(k, tag, decision, m) AS (VALUES (0, 'a', 'gather', 2), (1, 'a', 'gather', 2), (2, 'a', 'found', 1), (3, 'a', 'skip', 1), (4, 'a', 'dynamic', 1),
+  (4, 'a', 'gather', 1), (5, 'form', 'found', 1), (6, 'a', 'found', 1), (7, 'a', 'skip', 2), (8, 'a', 'gather', 2), (9, 'a', 'gather', 2)) SELECT k, tag, decision, n * m AS n FROM t JOIN n USING (k)""",
+    "dom_structures": f"""WITH t(k, structure, m) AS (VALUES (0, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (1, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (8, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (9, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2),
+  (2, {_ST}, 1), (4, {_ST}, 2), (6, {_ST}, 1), (7, {_ST}, 2), (3, e'a\\nfooter\\ndiv_main\\nbody\\nhtml\\n', 1), (5, {_SF}, 1)) SELECT structure, sum(m)::BIGINT AS n FROM output_record o JOIN t ON t.k = o.record_id % 10 GROUP BY ALL""",
+    "dom_predict": f"""WITH {_PG}, l AS (SELECT DISTINCT dm FROM pg WHERE k IN (2, 6)) SELECT {_ST} AS structure, count(*) AS n FROM pg JOIN l USING (dm) WHERE k IN (2, 4, 6, 7) HAVING count(*) > 0
+UNION ALL SELECT {_SF}, count(*) FROM pg WHERE k = 5 HAVING count(*) > 0""",
+    "candidate_links": f"""WITH {_PG} SELECT record_id::VARCHAR AS page_key, 'https://' || dm || '/files/' || record_id || '.pdf' AS target, 'candidate' AS part, 1 AS rank FROM pg WHERE k IN (0, 1, 8, 9)
+UNION ALL SELECT record_id::VARCHAR, url, CASE WHEN {_CAND} THEN 'candidate' ELSE 'remaining' END, CASE WHEN {_CAND} THEN 2 ELSE 1 END FROM (SELECT *, 'https://' || dm || '/item/' || record_id || '/more' AS url FROM pg WHERE k IN (0, 1, 8, 9))""",
+    "crawl_outcomes": f"""WITH {_PG}, o AS (SELECT *, CASE WHEN k = 1 THEN 'restricted' WHEN k = 4 THEN 'domain blocked' WHEN k IN (3, 7) OR record_id % 3 = 0 THEN 'no link' ELSE 'found' END AS outcome FROM pg)
+SELECT record_id::VARCHAR AS page_key, outcome, CASE WHEN outcome = 'found' THEN CASE k WHEN 0 THEN 'https://e.org/m/' WHEN 6 THEN 'https://e.org/files/' ELSE 'https://' || dm || '/files/' END || record_id || '.pdf' END AS target_url,
+  CASE WHEN outcome = 'found' THEN 'application/pdf' END AS mime_type FROM o""",
+    "failed_tasks": "SELECT (seq - 1) // 3000 + 1 AS batch, count(*) AS n_tasks, count(*) FILTER (kind IN ('timeout', 'http_5xx')) AS n_failed FROM domain_event GROUP BY ROLLUP ((seq - 1) // 3000 + 1)",
+    "error_rows": f"""SELECT record_id AS seq, 'load error' AS outcome, 'true' AS valid, 'true' AS retry FROM output_record WHERE error IS NOT NULL AND error <> 'null' AND record_id % 4 <> 0""",
+    "outcome_union": """SELECT docordataseturl AS outcome, CASE WHEN docordataseturl = 'duplicate' THEN true ELSE error IS NULL END AS no_error, count(*) AS n FROM output_record WHERE docordataseturl IN ('unreachable', 'duplicate') GROUP BY ALL""",
+    "request_methods": "SELECT CASE WHEN seq % 4 IN (0, 2) OR contains(coalesce(domain, ''), 'meetingorganizer.copernicus.org') THEN 'GET' ELSE 'HEAD' END AS method, count(*) AS n FROM domain_event GROUP BY ALL",
+    "mime_table": f"WITH m(mimetype, category) AS (VALUES {_MIME_ROWS}) SELECT mimetype, category, count(*) AS n FROM m JOIN output_record USING (mimetype) GROUP BY ALL",
+    "link_rules": f"""SELECT record_id, contains(sourceurl, 'viewcontent.cgi') AS content_page, contains(lower(sourceurl), 'sharedsitesession') AS shared, contains(sourceurl, '{{{{') OR contains(sourceurl, '<?') AS dynamic,
+  coalesce(contains(sourceurl, {_dom('pageurl')}), false) AS same_site, regexp_full_match(lower(string_split(sourceurl, '/')[-1]), '{_q(P.DOCUMENT_TEXT)}') AS named FROM output_record WHERE pageurl IS NOT NULL""",
     "parse_json_input": """SELECT seq, CASE seq % 10 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 1 THEN seq::VARCHAR WHEN 2 THEN 'null' WHEN 4 THEN seq::VARCHAR ELSE id END AS id,
   CASE seq % 10 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'u' || seq WHEN 4 THEN 'u' ELSE url END AS url,
   CASE seq % 10 WHEN 0 THEN 'bad' WHEN 3 THEN 'empty' WHEN 5 THEN 'bad' WHEN 1 THEN 'unreachable' ELSE 'ok' END AS status FROM sample_input""",
