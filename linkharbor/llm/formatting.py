@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize, present
+from ..shared import materialize, present, spread
 
 PRIME = (1 << 61) - 1
 #: A group with more than 1/HOT of all rows is hot; there are at most HOT of them.
@@ -73,7 +73,7 @@ def _fingerprint(spec: TableSpec, bits: int) -> Column:
 
 def _normal(df: DataFrame, spec: TableSpec, bits: int) -> DataFrame:
     """(copy_key, the compared fields, f), written once; ``bits`` < 61 shortens fingerprints, for tests."""
-    rows = df.filter(F.col(spec.key).isNotNull()).select(
+    rows = spread(df.filter(F.col(spec.key).isNotNull()).select(spec.key, *spec.exact, *spec.urls)).select(
         F.col(spec.key).cast("bigint").alias("copy_key"), *[F.col(x).alias(x) for x in spec.exact], *[clean(F.col(x)).alias(x) for x in spec.urls]
     )
     return materialize(rows.withColumn("f", _fingerprint(spec, bits)))

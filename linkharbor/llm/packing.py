@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, spread
 from .tokens import VOCABULARY, encoder
 from .tokens import count as count_tokens
 
@@ -186,7 +186,7 @@ def items(df: DataFrame, capacities: dict[int, int], path: str = VOCABULARY) ->
                         {"doc_id": pdf["doc_id"].to_numpy()[a], "n_tokens": n[a], "spec_id": spec, "piece": piece + 1, "n_pieces": k[a], "length": length, "pid": pid, "nth": nth}
                     )
 
-    return materialize(df.select("doc_id", "text").mapInPandas(run, _ITEMS))
+    return materialize(spread(df.select("doc_id", "text")).mapInPandas(run, _ITEMS))
 
 
 _PLACED = "spec_id int, doc_id long, piece int, n_pieces int, n_tokens int, container_id long, place int, start_at int"

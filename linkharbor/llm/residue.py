@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import lookup
-from ..shared import materialize, missing, small_or_plain
+from ..shared import materialize, missing, small_or_plain, spread
 
 # What template engines and forms leave behind when nothing was filled in. --------------------
 
@@ -295,7 +295,7 @@ def facts(df: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "low", "body", "title_in_body", "words"])
             yield out.astype({"title_in_body": "boolean"})
 
-    return df.select("doc_id", "host", "id", "text").mapInPandas(run, _FACTS)
+    return spread(df.select("doc_id", "host", "id", "text")).mapInPandas(run, _FACTS)
 
 
 def slugs(inputs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 #: Default place of the vocabulary (tiktoken ranks); never copied into this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to that vocabulary.
@@ -59,4 +61,4 @@ def token_counts(df: DataFrame, keep: list[str], path: str = VOCABULARY) -> Data
         for texts in batches:
             yield pd.Series(np.fromiter((count(t, path) for t in texts), dtype="int64", count=len(texts)))
 
-    return df.select(*keep, counts("text").alias("n_tokens"))
+    return spread(df.select(*keep, "text")).select(*keep, counts("text").alias("n_tokens"))
