@@ -146,7 +146,7 @@ def crawl(pages: DataFrame, resources: DataFrame, config: Config = _DEFAULT) ->
     meta = metadata_action(pages, config).withColumn("page_key", F.col("page_id").cast("string"))
     asked = resolved(meta.filter(F.col("action") == "fetch").select("page_key", F.col("url").alias("page_url"), F.col("meta_url").alias("target")), resources, config)
     by_meta = asked.filter(F.col("category") == "document").select("page_key", "target", "mime_type", F.lit(0).alias("p"))
-    links = page_links(html.elements(pages.join(meta.filter(F.col("action").isin("crawl", "fetch")).select("page_id"), "page_id", "left_semi")), config)
+    links = page_links(html.elements(meta.filter(F.col("action").isin("crawl", "fetch"))), config)
     ends = link_outcomes(links)
     named = links.filter(F.col("decision") == "found").withColumn("target", urls.resolve(F.col("page_url"), F.col("link")))
     named = resolved(named.select("page_key", "page_url", "target"), resources, config).filter(F.col("category").isin("document", "dataset"))

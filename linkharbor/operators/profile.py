@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
-from ..shared import materialize, missing
+from ..shared import materialize, missing, spread
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def curves(df: DataFrame, specs: tuple[ColumnSpec, ...], load: str, by_class: bo
     the compared classes instead of the raw values.
     """
     spark = df.sparkSession
-    c = cells(df, specs, load, None)
+    c = cells(spread(df.select(*{load: 0, **{s.name: 0 for s in specs}})), specs, load, None)
     if by_class:
         c = c.withColumn("value", F.col("klass")).withColumn("num", F.lit(None).cast("double"))
     counted = c.groupBy("column_name", "is_missing", "num", "value", F.col("load_id").cast("long").alias("load_id")).agg(

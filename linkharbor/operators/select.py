@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import filters, urls
+from ..shared import spread
 from .scale import first_by_key
 
 _DEFAULT = Config()
@@ -52,7 +53,7 @@ def checked(pairs: DataFrame, config: Config = _DEFAULT, blacklisted: DataFrame
     Adds ``clean_url`` and ``reject`` (NULL if accepted).  ``blacklisted`` (domain), ``blocked_paths`` (domain,
     path) and ``seen`` (url) hold distinct rows; each is one left join whose strategy the optimizer chooses by size.
     """
-    rows = pairs.select("*", urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"), urls.strip_temporal_id(F.col("url")).alias("bare__"))
+    rows = spread(pairs).select("*", urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"), urls.strip_temporal_id(F.col("url")).alias("bare__"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     for table, keys, name in ((blacklisted, ["domain"], "black__"), (blocked_paths, ["domain", "path"], "path__")):
         rows = rows.join(table.withColumn(name, F.lit(True)), keys, "left") if table is not None else rows.withColumn(name, F.lit(False))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import filters, special_sites, urls
 from ..functions import patterns as P
-from ..shared import table
+from ..shared import spread, table
 
 S, D = SparkSession, DataFrame
 
 
 def _urls(spark: S, d: str) -> D:
     """Distinct-free view of all source urls with their key."""
-    return table(spark, d, "output_record").select("record_id", F.col("sourceurl").alias("u"))
+    return spread(table(spark, d, "output_record").select("record_id", F.col("sourceurl").alias("u")))
 
 
 def _made(spark: S, d: str) -> D:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import filters, html, mime, outcomes, urls
 from ..operators import breakers, files, learned, output, pages, scale, select, stats
-from ..shared import missing, table
+from ..shared import materialize, missing, table
 from ..sources import inputs
 from .address_queries import _did, _dom, _pth, _q
 
@@ -552,7 +552,7 @@ def link_rules(spark: S, d: str) -> D:
 
 def flagship(spark: S, d: str) -> D:
     """Input pairs to outcomes: the followed url of each id, its site, and how records of that url ended."""
-    best = select.best_urls(_accepted(spark, d))
+    best = materialize(select.best_urls(_accepted(spark, d)))  # the lookup reads it several times
     o = table(spark, d, "output_record").groupBy(F.col("sourceurl").alias("url")).agg(F.count(F.lit(1)).alias("n_records"), F.count(F.when(F.col("docordataseturl").startswith("http"), 1)).alias("n_found"))
     j = scale.lookup(best, o, ["url"])
     site = urls.top_three_levels(urls.domain(F.col("url")))

@@ -134,7 +134,7 @@ def test_elements(spark):
     assert by["a", "/a.pdf"][13] == "a\nli\nul\ndiv_main\nbody\nhtml\n"
     e = html.elements(spark.createDataFrame([(1, "https://e.org/p", PAGE), (2, "https://e.org/q", None)], "page_id long, url string, html string"))
     d = {r.pos: (r.decision, r.link) for r in html.element_decisions(e).collect()}
-    assert d == {0: ("gather", "/a.pdf"), 1: ("invalid", "/download/b"), 2: ("skip", None), 3: ("found", "/d.pdf"), 4: ("skip", None), 5: ("found", "/get/e.pdf"), 6: ("found", "/f"), 7: ("skip", None)}
+    assert d == {0: ("gather", "/a.pdf"), 1: ("found", "/download/b"), 2: ("skip", None), 3: ("found", "/d.pdf"), 4: ("skip", None), 5: ("found", "/get/e.pdf"), 6: ("found", "/f"), 7: ("skip", None)}
 
 
 def test_many_links_discard_the_page(spark):
