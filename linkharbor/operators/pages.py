@@ -143,10 +143,12 @@ def crawl(pages: DataFrame, resources: DataFrame, config: Config = _DEFAULT) ->
 
     Metadata first, then a link that names the document, then the ranked candidates.
     """
-    meta = metadata_action(pages, config).withColumn("page_key", F.col("page_id").cast("string"))
+    meta = metadata_action(pages, config).select(F.col("page_id").cast("string").alias("page_key"), "url", "meta_url", "action")
+    meta = materialize(meta)  # a few short columns; the pages themselves are never shuffled
     asked = resolved(meta.filter(F.col("action") == "fetch").select("page_key", F.col("url").alias("page_url"), F.col("meta_url").alias("target")), resources, config)
     by_meta = asked.filter(F.col("category") == "document").select("page_key", "target", "mime_type", F.lit(0).alias("p"))
-    links = page_links(html.elements(meta.filter(F.col("action").isin("crawl", "fetch"))), config)
+    open_ = meta.filter(F.col("action").isin("crawl", "fetch")).select("page_key")
+    links = page_links(html.elements(pages), config).join(open_, "page_key", "left_semi")
     ends = link_outcomes(links)
     named = links.filter(F.col("decision") == "found").withColumn("target", urls.resolve(F.col("page_url"), F.col("link")))
     named = resolved(named.select("page_key", "page_url", "target"), resources, config).filter(F.col("category").isin("document", "dataset"))

@@ -267,5 +267,5 @@ SELECT record_id, CASE WHEN s AND NOT regexp_matches(x, '{_END}') THEN x || '/'
     "access_rights": """SELECT seq, CASE seq % 8 WHEN 0 THEN 'restricted' WHEN 2 THEN 'embargoed' WHEN 3 THEN 'prohibited' WHEN 4 THEN 'closed' WHEN 5 THEN 'metadata only' WHEN 6 THEN 'prohibited' WHEN 7 THEN 'prohibited' END AS reason FROM sample_input""",
     "content_size_gate": """WITH t AS (SELECT record_id, CASE WHEN regexp_full_match(filesize, '[1-9][0-9]{0,8}') AND TRY_CAST(filesize AS BIGINT) <= 536870912 THEN TRY_CAST(filesize AS BIGINT) END AS n FROM output_record)
 SELECT record_id, CASE WHEN n IS NULL THEN -2 WHEN n <= 0 OR n > 536870912 THEN -1 ELSE n END AS full_text, CASE WHEN n IS NULL THEN -2 WHEN n <= 0 OR n > 5242880 THEN -1 ELSE n END AS page,
-  CASE WHEN coalesce(n, -2) <= 52428800 THEN 45000 WHEN n <= 104857600 THEN 70000 WHEN n <= 209715200 THEN 140000 WHEN n <= 314572800 THEN 210000 ELSE 330000 END AS budget_ms FROM t""",
+  CASE WHEN coalesce(n, -2) <= 52428800 THEN 45000 WHEN n <= 104857600 THEN 70000 WHEN n <= 209715200 THEN 140000 WHEN n <= 314572800 THEN 210000 ELSE 330000 END::BIGINT AS budget_ms FROM t""",
 }

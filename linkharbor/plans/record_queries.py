@@ -591,7 +591,7 @@ best AS (SELECT id, n_urls, seq, url, coalesce(s, CASE WHEN contains(url, '/hand
 def _breaker(kind: str, n: int, good: bool = True, name: str | None = None) -> str:
     g = "sum((kind = 'ok_doc')::INT) OVER w" if good else "0"
     return f"""SELECT domain, '{name or kind}' AS kind, min(seq) AS block_seq, arg_min(bad, seq) AS bad, arg_min(good, seq) AS good FROM (
-  SELECT seq, domain, kind, sum((kind = '{kind}')::INT) OVER w AS bad, {g} AS good FROM domain_event WHERE kind IN ('{kind}', 'ok_doc') AND domain IS NOT NULL
+  SELECT seq, domain, kind, (sum((kind = '{kind}')::INT) OVER w)::BIGINT AS bad, ({g})::BIGINT AS good FROM domain_event WHERE kind IN ('{kind}', 'ok_doc') AND domain IS NOT NULL
   WINDOW w AS (PARTITION BY domain ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE kind = '{kind}' AND bad > {n} + good AND domain NOT IN ('zenodo.org', 'doi.org', 'dx.doi.org') GROUP BY domain"""
 
 
@@ -649,7 +649,7 @@ _MIME_ROWS = ", ".join(f"('{m}', 'document')" for m in mime.document_mimes()) +
 SQL = {
     "next_best_url": f"WITH a1 AS (SELECT * FROM (WITH {_A0} SELECT * FROM a)), failed AS (SELECT id, seq FROM (WITH {_BEST0} SELECT * FROM best) WHERE seq % 3 = 0), {_BEST2} SELECT id, seq FROM best",
     "html_decisions": """WITH n AS (SELECT record_id % 10 AS k, count(*) AS n FROM output_record GROUP BY ALL), t(k, tag, decision, m) AS (VALUES (0, 'a', 'gather', 2), (1, 'a', 'gather', 2), (2, 'a', 'found', 1), (3, 'a', 'skip', 1), (4, 'a', 'dynamic', 1),
-  (4, 'a', 'gather', 1), (5, 'form', 'found', 1), (6, 'a', 'found', 1), (7, 'a', 'skip', 2), (8, 'a', 'gather', 2), (9, 'a', 'gather', 2)) SELECT k, tag, decision, n * m AS n FROM t JOIN n USING (k)""",
+  (4, 'a', 'gather', 1), (5, 'form', 'found', 1), (6, 'a', 'found', 1), (7, 'a', 'skip', 2), (8, 'a', 'gather', 2), (9, 'a', 'gather', 2)) SELECT n.k, tag, decision, n * m AS n FROM n JOIN t ON n.k = t.k""",
     "dom_structures": f"""WITH t(k, structure, m) AS (VALUES (0, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (1, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (8, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2), (9, e'a\\nli\\np\\ndiv_main\\nbody\\nhtml\\n', 2),
   (2, {_ST}, 1), (4, {_ST}, 2), (6, {_ST}, 1), (7, {_ST}, 2), (3, e'a\\nfooter\\ndiv_main\\nbody\\nhtml\\n', 1), (5, {_SF}, 1)) SELECT structure, sum(m)::BIGINT AS n FROM output_record o JOIN t ON t.k = o.record_id % 10 GROUP BY ALL""",
     "dom_predict": f"""WITH {_PG}, l AS (SELECT DISTINCT dm FROM pg WHERE k IN (2, 6)) SELECT {_ST} AS structure, count(*) AS n FROM pg JOIN l USING (dm) WHERE k IN (2, 4, 6, 7) HAVING count(*) > 0
@@ -718,7 +718,7 @@ SELECT seq, CASE WHEN is_duplicate THEN NULL WHEN k > 0 THEN id || '(' || k || '
     "breaker_403": f"{_paths(1)} UNION ALL SELECT domain, '(domain)', block_seq FROM ({_by_paths(1, 2)})",
     "breaker_all": f"WITH {_ALL} SELECT * FROM al",
     "breaker_suppressed": f"WITH {_ALL} SELECT e.domain, count(*) FILTER (coalesce(e.seq > al.block_seq, false)) AS n_suppressed, count(*) AS n_events FROM domain_event e LEFT JOIN al ON al.domain = e.domain GROUP BY e.domain",
-    "adaptive_cutoff": """WITH t AS (SELECT seq, kind = 'ok_doc' AS hit, row_number() OVER w AS n_checked, sum((kind = 'ok_doc')::INT) OVER w AS n_hits FROM domain_event WHERE kind IN ('ok_doc', 'no_docs') WINDOW w AS (ORDER BY seq)),
+    "adaptive_cutoff": """WITH t AS (SELECT seq, kind = 'ok_doc' AS hit, row_number() OVER w AS n_checked, (sum((kind = 'ok_doc')::INT) OVER w)::BIGINT AS n_hits FROM domain_event WHERE kind IN ('ok_doc', 'no_docs') WINDOW w AS (ORDER BY seq)),
 s AS (SELECT min(seq) FILTER (n_checked >= 20 AND n_hits * 100.0 / n_checked < 45) AS s FROM t) SELECT seq, hit, n_checked, n_hits, coalesce(seq < s, true) AS goes_on FROM t, s""",
     "prediction_breaker": "SELECT domain, seq AS block_seq FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS k FROM domain_event WHERE kind <> 'ok_doc' AND domain IS NOT NULL) WHERE k = 11 AND domain NOT IN ('zenodo.org', 'doi.org', 'dx.doi.org')",
     "run_statistics": f"WITH s AS ({_STATS} FROM output_record) SELECT *, " + ", ".join(f"{_pct('n_' + k)} AS pct_{k}" for k in ("found", "direct", "duplicates", "unreachable", "invalid", "files", "errors")) + ", greatest(n_checked - n_found - n_errors, 0) AS n_rest FROM s",
@@ -739,7 +739,7 @@ SELECT kind, s // 86400 AS days, s % 86400 // 3600 AS hours, s % 3600 // 60 AS m
 n AS (SELECT *, count(*) OVER (PARTITION BY page_path) AS n FROM t WHERE page_path IS NOT NULL AND doc_path IS NOT NULL) SELECT page_path, doc_path FROM n WHERE n <= 5""",
     "html_meta": """SELECT record_id AS page_id, CASE record_id % 10 WHEN 0 THEN 'https://e.org/m/' || record_id || '.pdf' END AS meta_url, CASE record_id % 10 WHEN 1 THEN 'restricted access -- ' END AS rights,
   CASE record_id % 10 WHEN 0 THEN 'fetch' WHEN 1 THEN 'restricted' ELSE 'crawl' END AS action FROM output_record""",
-    "html_links": "SELECT record_id::VARCHAR AS page_key, CASE WHEN record_id % 10 IN (2, 3, 5, 6) THEN 1 ELSE 2 END AS n_elements FROM output_record",
+    "html_links": "SELECT record_id::VARCHAR AS page_key, CASE WHEN record_id % 10 IN (2, 3, 5, 6) THEN 1 ELSE 2 END::BIGINT AS n_elements FROM output_record",
     "html_text": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS x FROM documents), g AS (SELECT doc_id, sum(length(x) + 1) - 1 AS n FROM l WHERE length(x) > 1 AND NOT regexp_full_match(x, '\s+') GROUP BY doc_id)
 SELECT doc_id, g.n::INT AS n_chars FROM documents LEFT JOIN g USING (doc_id)""",
     "first_page_link": f"""SELECT record_id::VARCHAR AS page_key, CASE record_id % 10 WHEN 4 THEN '{{{{url}}}}' WHEN 6 THEN 'javascript:pdflink(''a'',''https://e.org/files/' || record_id || '.pdf'' , 1)' WHEN 7 THEN 'mailto:x@e.org'
