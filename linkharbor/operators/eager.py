@@ -23,12 +23,13 @@ def compact(df: DataFrame, keys: list[str], sums: dict[str, Column] | None = Non
     return df.groupBy(*keys).agg(*aggs)
 
 
-def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], how: str = "inner") -> DataFrame:
+def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], how: str = "inner", finer: list[str] | None = None) -> DataFrame:
     """Join two compact states (columns ``n`` and values) and combine them algebraically.
 
     Gives the keys, ``n`` (left rows), ``right_n``, ``joined_n`` = n * right_n, each left value, and each
     value as it would be summed over the joined rows: ``joined_<value>``.  NULL keys never match.  With
-    ``how='left'`` unmatched keys have right_n 0 and joined_n 0.
+    ``how='left'`` unmatched keys have right_n 0 and joined_n 0.  ``finer`` names further group columns of the left
+    states, which may be finer than the join key.
     """
     l, r = left.alias("l"), right.alias("r")
     on = F.col(f"l.{keys[0]}") == F.col(f"r.{keys[0]}")
@@ -36,7 +37,7 @@ def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values:
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     n, m = F.col("l.n"), F.coalesce(F.col("r.n"), F.lit(0))
     return l.join(r, on, how).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], n.alias("n"), m.alias("right_n"), (n * m).alias("joined_n"),
+        *[F.col(f"l.{k}").alias(k) for k in [*keys, *(finer or [])]], n.alias("n"), m.alias("right_n"), (n * m).alias("joined_n"),
         *[F.col(f"l.{v}").alias(v) for v in left_values],
         *[(F.col(f"l.{v}") * m).alias(f"joined_{v}") for v in left_values],
         *[(F.coalesce(F.col(f"r.{v}"), F.lit(0)) * n).alias(f"joined_{v}") for v in right_values],
@@ -80,7 +81,12 @@ def totals(records: DataFrame, inputs: DataFrame, earlier: DataFrame) -> DataFra
     return j.withColumn("found_share", F.col("found_n") / F.col("n"))
 
 
-def hot(records: DataFrame, inputs: DataFrame, earlier: DataFrame, percent: int = 1) -> DataFrame:
-    """The values that hold more than ``percent`` percent of all rows of ``records``."""
-    n = records.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return totals(records, inputs, earlier).filter(F.col("n") * 100 > n * percent)
+def hot(records: DataFrame, percent: int = 1) -> DataFrame:
+    """The values that hold more than ``percent`` percent of all rows of ``records``.
+
+    The states of the values are joined to the states of their fields (one row per field, so it may be broadcast),
+    whose count includes rows where the value is missing.  An empty table gives no rows.
+    """
+    fields = compact(records.select(F.explode(F.array(F.lit("sourceurl"), F.lit("docordataseturl"))).alias("field_name")), ["field_name"])
+    j = eager_join(outcome_states(records), F.broadcast(fields), ["field_name"], ["found_n", "total_size"], [], finer=["key_value"])
+    return j.filter(F.col("n") * 100 > F.col("right_n") * percent)

@@ -38,7 +38,7 @@ def p2_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return eager.hot(table(spark, d, "output_record"), table(spark, d, "sample_input"), table(spark, d, "earlier_key")).select("field_name", "key_value")
+    return eager.hot(table(spark, d, "output_record")).select("field_name", "key_value")
 
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -32,8 +32,8 @@ def test_totals_equal_the_joined_rows(spark):
 
 def test_hot_and_empty(spark):
     o, i, e = data(spark)
-    assert {(r.field_name, r.key_value) for r in eager.hot(o, i, e).collect()} == {("sourceurl", "hot"), ("docordataseturl", "http://d"), ("docordataseturl", "unreachable")}
-    assert eager.hot(o.limit(0), i, e).count() == 0 and eager.totals(o.limit(0), i.limit(0), e.limit(0)).count() == 0
+    assert {(r.field_name, r.key_value) for r in eager.hot(o).collect()} == {("sourceurl", "hot"), ("docordataseturl", "http://d"), ("docordataseturl", "unreachable")}
+    assert eager.hot(o.limit(0)).count() == 0 and eager.totals(o.limit(0), i.limit(0), e.limit(0)).count() == 0
 
 
 def test_right_values(spark):
