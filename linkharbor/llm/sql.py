@@ -14,7 +14,18 @@ def _canon(c: str) -> str:
 
 _SIZE = "regexp_full_match(filesize, '[1-9][0-9]{0,8}') AND TRY_CAST(filesize AS BIGINT) <= 536870912"
 
+_T = "(coalesce(logged_at, TIMESTAMP '0001-01-01'), record_id)"
+_REST = ("sourceurl", "pageurl", "docordataseturl", "wasurlchecked", "wasurlvalid", "wasdirectlink", "filehash", "mimetype", "filepath", "error")
+_FORMS = {"filehash": "regexp_full_match(filehash, '[0-9a-f]{32}')", "mimetype": "(mimetype = 'unspecified' OR regexp_full_match(mimetype, '[a-z0-9.+-]+/[a-z0-9.+-]+')) AND length(mimetype) <= 255", "docordataseturl": "docordataseturl LIKE 'http%'"}
+_PICKS = ", ".join(f"arg_max({c}, {_T}) FILTER ({c} IS NOT NULL AND {c} <> 'null' AND {_FORMS.get(c, 'true')}) AS {c}" for c in _REST)
+
 SQL = {
+    "p5_survivors": f"""
+SELECT id, count(*) AS n_records,
+  nullif(coalesce(arg_max(wasdocumentordatasetaccessible, {_T}) FILTER (wasdocumentordatasetaccessible = 'true'), arg_max(wasdocumentordatasetaccessible, {_T}) FILTER (wasdocumentordatasetaccessible = 'false'),
+    arg_max_null(wasdocumentordatasetaccessible, {_T})), 'null') AS wasdocumentordatasetaccessible,
+  arg_max(filesize, {_T}) FILTER ({_SIZE}) AS filesize, arg_max(couldretry, {_T}) FILTER (couldretry IN ('true', 'false')) AS couldretry, {_PICKS}
+FROM output_record WHERE id IS NOT NULL AND id NOT IN ('null', 'unretrievable') GROUP BY id""",
     "p3_found": """
 WITH k AS (
   SELECT record_id, 'docordataseturl' AS field_name, docordataseturl AS v FROM output_record WHERE docordataseturl LIKE 'http%'
