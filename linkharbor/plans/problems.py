@@ -60,7 +60,25 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_valid, p2_
 
 _SIZE = "regexp_full_match(filesize, '[1-9][0-9]{0,8}') AND TRY_CAST(filesize AS BIGINT) <= 536870912"
 
+_FORMS = {
+    "wasurlvalid": "v IN ('true', 'false')", "filehash": "regexp_full_match(v, '[0-9a-f]{32}')", "filesize": _SIZE.replace("filesize", "v"),
+    "mimetype": "(v = 'unspecified' OR regexp_full_match(v, '[a-z0-9.+-]+/[a-z0-9.+-]+')) AND length(v) <= 255",
+}
+_CELLS = " UNION ALL ".join(f"SELECT load_id, '{s.name}' AS column_name, nullif({s.name}, 'null') AS v FROM output_record" for s in ALL_SPECS)
+_OK = "CASE column_name " + " ".join(f"WHEN '{c}' THEN {f}" for c, f in _FORMS.items()) + " ELSE true END"
+_RANKS = {"min_value": "1", "q25": "ceil((n_rows - n_missing) * 0.25)", "q50": "ceil((n_rows - n_missing) * 0.5)", "q75": "ceil((n_rows - n_missing) * 0.75)", "max_value": "n_rows - n_missing"}
+
 SQL = {
+    "p1_profile": f"""WITH cell AS ({_CELLS}),
+f AS (SELECT *, v IS NULL AS gone, v IS NOT NULL AND NOT ({_OK}) AS broken FROM cell),
+g AS (SELECT column_name, load_id, v, gone, CASE WHEN column_name = 'filesize' AND NOT gone AND NOT broken THEN v::DOUBLE END AS num, count(*) AS c, sum(broken::INT)::BIGINT AS b FROM f GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER (PARTITION BY column_name, load_id ORDER BY gone DESC, num NULLS FIRST, v NULLS FIRST)::BIGINT AS cl, sum(c) OVER (PARTITION BY column_name ORDER BY gone DESC, num NULLS FIRST, v NULLS FIRST)::BIGINT AS ca,
+  sum(c) OVER (PARTITION BY column_name, gone, num, v)::BIGINT AS vc, sum(c) OVER (PARTITION BY column_name, load_id)::BIGINT AS nl, sum(c) OVER (PARTITION BY column_name)::BIGINT AS na FROM g),
+k AS (SELECT *, greatest(abs(cl / nl - (ca - cl) / nullif(na - nl, 0)), abs((cl - c) / nl - (ca - vc - cl + c) / nullif(na - nl, 0))) AS ks FROM w),
+p AS (SELECT column_name, load_id, max(nl) AS n_rows, coalesce(sum(c) FILTER (gone), 0)::BIGINT AS n_missing, count(*) FILTER (NOT gone) AS n_distinct, sum(b)::BIGINT AS n_malformed, min(num) AS min_number, max(num) AS max_number, max(ks) AS ks_distance FROM k GROUP BY ALL)
+SELECT p.column_name, p.load_id, n_rows, n_missing, n_missing / n_rows AS missing_rate, n_distinct, min_number, max_number, n_malformed, ks_distance,
+  {', '.join(f"(max(v) FILTER (NOT gone AND cl - c < n_missing + {r} AND n_missing + {r} <= cl)) AS {n}" for n, r in _RANKS.items())}
+FROM p JOIN k ON k.column_name = p.column_name AND k.load_id IS NOT DISTINCT FROM p.load_id GROUP BY ALL""",
     "p1_found": f"""
 WITH cell AS (
   SELECT record_id, load_id, 'wasurlvalid' AS column_name, nullif(wasurlvalid, 'null') AS v FROM output_record
