@@ -10,6 +10,8 @@ from . import patterns as P
 from .filters import dataset_candidate
 
 _DEFAULT = Config()
+# Fixed value: a site that names the type of its files only in answers to GET.
+_GET_ONLY = "meetingorganizer.copernicus.org"
 
 
 def document_mimes(config: Config = _DEFAULT) -> tuple[str, ...]:
@@ -87,5 +89,5 @@ def download_budget_ms(size: Column) -> Column:
 
 def request_method(for_page: Column, possible_target: Column, weird: Column, head_unsupported: Column, domain: Column, config: Config = _DEFAULT) -> Column:
     """GET where content is wanted or HEAD is useless, else HEAD."""
-    get = (for_page & ~possible_target) | (possible_target & F.lit(config.download_docs)) | weird | head_unsupported | domain.contains("meetingorganizer.copernicus.org")
+    get = (for_page & ~possible_target) | (possible_target & F.lit(config.download_docs)) | weird | head_unsupported | domain.contains(_GET_ONLY)
     return F.when(get, "GET").otherwise("HEAD")

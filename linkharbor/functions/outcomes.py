@@ -35,6 +35,20 @@ OUTCOMES = {
 }
 FLAGS = ("wasUrlChecked", "wasUrlValid", "wasDocumentOrDatasetAccessible", "wasDirectLink", "couldRetry")
 
+# Retry classification, (was valid, could retry, message tail) by case.
+RETRY = {
+    "invalid": ("false", "false", "the url is invalid and lead to http-client-error."),
+    "again": ("true", "true", "the url had a non-fatal http-error."),
+    "serious": ("true", "false", "there is a serious unspecified error."),
+    "silent": ("true", "false", "there is an unspecified runtime error."),
+    "timeout": ("true", "true", "the url had a connection-timeout."),
+    "head_unsupported": ("true", "true", "the url does not support HEAD method for checking most of the internal links."),
+    "blocked": ("true", "true", "the url had its initial or redirected domain blocked."),
+}
+# Texts and names that outputs carry.
+DOWNLOADED, DETECTED, AND_URL = "This file is probably already downloaded by ID=", "This url was already detected by ID=", " and SourceUrl="
+LOST_NAME = "unretrievableDocName.pdf"
+
 # What an outcome of link extraction is called.
 LINK_ERRORS = {
     "no links": "no internal links were found", "too many links": "more internal links than are checked", "dynamic links": "its domain gives dynamic links",
@@ -64,20 +78,14 @@ def retry_class(kind: Column, message: Column, url: Column, config: Config = _DE
     server = r".*503 Server Error.*" if config.block_most_5xx else r".*(?<!511) Server Error.*"
     invalid, again = message.rlike(P.full(P.INVALID_STATUS)), message.rlike(P.full(P.RETRY_CLIENT)) | message.rlike(P.full(server))
 
-    def row(valid: str, retry: str, tail: str) -> Column:
-        return F.struct(F.lit(valid).alias("was_valid"), F.lit(retry).alias("could_retry"), F.lit(tail).alias("tail"))
+    def row(case: str) -> Column:
+        return F.struct(*[F.lit(v).alias(n) for v, n in zip(RETRY[case], ("was_valid", "could_retry", "tail"))])
 
-    serious = row("true", "false", "there is a serious unspecified error.")
-    runtime = (
-        F.when(message.isNull(), row("true", "false", "there is an unspecified runtime error."))
-        .when(invalid, row("false", "false", "the url is invalid and lead to http-client-error.")).when(again, row("true", "true", "the url had a non-fatal http-error."))
-        .otherwise(serious)
-    )
-    r = (
-        F.when(kind == "runtime", runtime).when(kind == "timeout", row("true", "true", "the url had a connection-timeout."))
-        .when(kind == "head_unsupported", row("true", "true", "the url does not support HEAD method for checking most of the internal links."))
-        .when(kind == "blocked", row("true", "true", "the url had its initial or redirected domain blocked.")).otherwise(serious)
-    )
+    runtime = F.when(message.isNull(), row("silent")).when(invalid, row("invalid")).when(again, row("again")).otherwise(row("serious"))
+    r = F.when(kind == "runtime", runtime)
+    for case in ("timeout", "head_unsupported", "blocked"):
+        r = r.when(kind == case, row(case))
+    r = r.otherwise(row("serious"))
     raised = (r["was_valid"] == "true") & F.coalesce(retry_domain(low), F.lit(False))
     return F.struct(r["was_valid"].alias("was_valid"), F.when(raised, "true").otherwise(r["could_retry"]).alias("could_retry"), r["tail"].alias("tail"))
 

@@ -14,6 +14,9 @@ from pyspark.sql.types import StringType
 
 from . import patterns as P
 
+# The repository that moved its handles.
+_MOVED, _OLD_HANDLE, _NEW_HANDLE = "ir.lib.u-ryukyu.ac.jp", "/123456789/", "/20.500.12000/"
+
 _TRIPLE = "(?i)" + P.full(P.URL_TRIPLE)
 
 
@@ -87,8 +90,8 @@ def needs_get(c: Column) -> Column:
 
 def rewrite_handle(c: Column) -> Column:
     """One repository moved its handles; every other url gets its ampersands repaired."""
-    moved = c.contains("ir.lib.u-ryukyu.ac.jp") & c.contains("/handle/123456789/")
-    return F.when(moved, F.replace(c, F.lit("/123456789/"), F.lit("/20.500.12000/"))).otherwise(repair_ampersands(c))
+    moved = c.contains(_MOVED) & c.contains("/handle" + _OLD_HANDLE)
+    return F.when(moved, F.replace(c, F.lit(_OLD_HANDLE), F.lit(_NEW_HANDLE))).otherwise(repair_ampersands(c))
 
 
 def same_but_protocol(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -43,7 +43,7 @@ def original_names(files: DataFrame, folder: str = "") -> DataFrame:
     missing or too long are ``unretrievableDocName(k).pdf``."""
     named = files.withColumn("name__", outcomes.original_name(F.col("disposition"), F.col("url"), folder))
     r = running(named.withColumn("all__", F.lit(1)), ["all__"], "seq", {"k__": F.col("name__").isNull().cast("int")})
-    lost = outcomes.numbered_name(F.lit("unretrievableDocName.pdf"), F.col("k__") - 1)
+    lost = outcomes.numbered_name(F.lit(outcomes.LOST_NAME), F.col("k__") - 1)
     return r.withColumn("file_name", F.coalesce("name__", lost)).drop("name__", "k__", "all__")
 
 
@@ -69,7 +69,3 @@ def plan_downloads(found: DataFrame, config: Config = _DEFAULT) -> DataFrame:
     else:
         named = id_names(keep).drop("file_name")
     return named.unionByName(again.withColumn("final_name", F.lit(None).cast("string")))
-
-
-def already_downloaded(by_id: Column, by_url: Column) -> Column:
-    return F.concat(F.lit("This file is probably already downloaded by ID="), by_id, F.lit(" and SourceUrl="), by_url)

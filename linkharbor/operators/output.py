@@ -47,8 +47,8 @@ def recrossed(targets: DataFrame, for_page: bool = True, config: Config = _DEFAU
     f = first_by_key(targets, ["url"], "seq", ["id", "source_url", "mime_type"])
     f = f.select("url", F.col("seq").alias("first_seq"), F.col("id").alias("first_id"), F.col("source_url").alias("first_source"), F.col("mime_type").alias("first_mime"))
     j = lookup(targets, f, ["url"])
-    verb = "This file is probably already downloaded by ID=" if config.downloads else "This url was already detected by ID="
-    said = F.concat(F.lit(verb), F.coalesce("first_id", F.lit("null")), F.lit(" and SourceUrl="), F.col("first_source"))
+    verb = outcomes.DOWNLOADED if config.downloads else outcomes.DETECTED
+    said = F.concat(F.lit(verb), F.coalesce("first_id", F.lit("null")), F.lit(outcomes.AND_URL), F.col("first_source"))
     first = F.col("seq") == F.col("first_seq")
     return j.withColumns({"is_first": first, "outcome": F.when(first, "found").otherwise("re-crossed"), "file_path": F.when(~first, said)})
 
