@@ -19,6 +19,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import and_
+from re import _constants as C
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -154,24 +157,82 @@ _LATIN = frozenset(
     "plena cursus arbor neque arcta vestra lacus gravis turpis porta morbi rhonca ornat massa tellu tellus donum velum sapien vitae fauces feris nocti".split()
 )
 
-# A line is looked at only if one of these occurs in it (lower case): each slot and each notice needs one of them.
-_TRIGGERS = tuple(
-    "{|$|#{|##|<|&lt;|[|@@|__|%(|%1|%2|%s|%d|%@|~|_placeholder|***|«|???|(enter|(insert|(add|(type|(unset|(null|xxxx|metadata.dc|undefined|null|none|nan|nil|invalid date|#ref|#n/a|#value|#name|#div|"
-    "click to edit|missing translation|replace this|enter your|type your|script|skript|400|401|403|404|408|410|429|500|501|502|503|504|error|erreur|fehler|erro |not found|introuvable|nicht gefunden|"
-    "encontrada|gateway|bad request|request|forbidden|denied|denegado|negado|refusé|verweigert|unauthorized|unavailable|indispon|no disponible|nicht verfügbar|expired|expirou|expirée|expiré|caducado|abgelaufen|"
-    "maintenance|wartung|mantenimiento|manutenção|under construction|went wrong|salió mal|correu mal|schiefgelaufen|oops|sorry|nothing here|nothing to see|could not be|cannot be|one more step|system message|"
-    "ray reference|ray id|incident|support id|exception|try again|log in again|sign in again|home page|unusual traffic|not a robot|are human|your connection|your browser|to the database|database|mistyped|permission|"
-    "not authori|not allowed|no such |did not re|did not answer|cookies|problem persists|your ip|your address|you asked for|you requested|you are looking|fatal error|parse error|warning:|notice:|traceback|"
-    "base de datos|inténtelo|permiso|solicitad|vuelva a iniciar|base de dados|tente |permissão|pedido não|pedida não|inicie sessão|connexion|réessayer|autorisé|demandé|identifier à|connecter|datenbank|"
-    "bitte versuchen|berechtig|angeforderte|bitte melden|reload when|plain text version|help page|reader cannot|loading|navegador|navigateur|"
-    "sample text|sample para|sample cont|dummy|placeholder|example text|example para|example cont|coming soon|available soon|to be written|to be done|to be added|to be completed|to be announced|to be determined|tba|tbc|tbd|"
-    "could be your|body copy|will follow|show the font|column looks full|two three four|lazy layout|goes here|comes here|no content|texto de e|texte provisoire|à venir|beispieltext|blindtext|platzhalter|kein inhalt|"
-    "em breve|próximamente|demnächst|bientôt|faux texte|pendiente|à compléter|einfügen|a preencher|titel]|jahr]|title]|year]|date]".split("|")
-)
-_PERCENT = re.compile(r"(?<![\w%])%[^\W\d][\w.]*%")
-_LATIN_TRIGGERS = ("lorem", "semper", "cursus", "auget", "dictu", "elim ", "morbi", "turpis", "rhonca", "ligna", "vestra", "pulvis", "lacus", "arcta", "neque", "plena", "porta", "tellu", "ornat", "tempor", "ipsum")
+_MOST = 64
+
+
+def _runs(tree) -> list[set[str] | None]:
+    """The parts of a parsed pattern in order: all strings a part can be, or None where they are too many to list."""
+    out: list[set[str] | None] = []
+    for op, arg in tree:
+        if op is C.LITERAL:
+            out.append({chr(arg).lower()})
+        elif op is C.IN and all(k is C.LITERAL for k, _ in arg):
+            out.append({chr(c).lower() for _, c in arg})
+        elif op is C.SUBPATTERN:
+            out.extend(_runs(arg[3]))
+        elif op is C.BRANCH:
+            ways = [_runs(b) for b in arg[1]]
+            exact = [_product(w) for w in ways]
+            if all(e is not None for e in exact) and len(set().union(*exact)) <= _MOST:
+                out.append(set().union(*exact))
+            else:  # a break on either side: what the branch needs does not continue its neighbours
+                need = [_best(w) for w in ways]
+                out += [None, set().union(*need) if all(need) else None, None]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            least, most, inner = arg
+            part = _product(_runs(inner))
+            if part is not None and least == 0 and most == 1:
+                out.append(part | {""})
+            else:
+                out += _runs(inner) * min(least, 4) + ([None] if most != least or least > 4 else [])
+        elif op is not C.AT:
+            out.append(None)
+    return out
+
+
+def _product(parts: list[set[str] | None]) -> set[str] | None:
+    got = {""}
+    for p in parts:
+        if p is None or len(got) * len(p) > _MOST:
+            return None
+        got = {g + x for g in got for x in p}
+    return got
+
+
+def _rarity(s: str) -> int:
+    """A bracket or another sign is as rare as four letters."""
+    return sum(1 if c.isalnum() or c in " %.:" else 4 for c in s)
+
+
+def _best(parts: list[set[str] | None]) -> set[str] | None:
+    """Strings of which each match holds one, as long as the pattern allows; None if it names none."""
+    best: set[str] | None = None
+    for i in range(len(parts)):
+        got = {""}
+        for p in parts[i:]:
+            if p is None or (len(got) > 1 and len(got) * len(p) > _MOST):
+                break
+            got = {g + x for g in got for x in p}
+            if best is None or (min(map(_rarity, got)), -len(got)) > (min(map(_rarity, best)), -len(best)):
+                best = got
+    # a single letter or digit occurs everywhere
+    return best if best and all(len(x) > 1 or (x and not x.isalnum() and x not in " %") for x in best) else None
+
+
+def triggers(pattern: str) -> set[str] | None:
+    """Lower-case strings of which every match of ``pattern`` holds one; None if only a pattern can say."""
+    return _best(_runs(_parser.parse(pattern)))
+
+
+# A line is looked at only if a trigger occurs in it (lower case).  They are derived from the patterns; the few patterns
+# without fixed words (percent signs, status codes) are found by the two expressions, pseudo-Latin by its words.
+_DERIVED = {p: triggers(p) for p in (*_SLOT, *_NOTICES)}
+_TRIGGERS = tuple(sorted(set().union(*(t for t in _DERIVED.values() if t))))
+_PERCENT = re.compile(rf"(?<![\w%])%(?:{_NAME}%|\({_NAME}\)[sd]|(?:\d+\$)?[sd@](?!\w))", re.IGNORECASE)
+_CODE = re.compile(r"(?<!\d)[45]\d\d(?!\w)")
 
 _REPEAT = re.compile(r"(?<!\S)(\S{1,20})(?:\s+\1){7,}(?!\S)")
+_WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[.!?]*\s+|\s+[-–—|]\s+|\n+")
 _LABELLED = re.compile(r"[^\W\d][^:.\n]{1,24}\s?[:.]\s+(.+)", re.DOTALL)
 _CITED = re.compile(r"\s\(\d{4}\)\.?\s|;\s|\.\s")
@@ -182,17 +243,12 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in (*_anchor_words(), *_LATIN_TRIGGERS):
+    for w in _TRIGGERS:
         a.add_word(w, len(w))
     a.make_automaton()
     return a
 
 
-def _anchor_words() -> tuple[str, ...]:
-    """Characters and words without which no slot, notice or filler sentence matches."""
-    return tuple(dict.fromkeys(w for w in _TRIGGERS if w))
-
-
 def _slot(part: str) -> bool:
     return bool(_SLOT_ANY.fullmatch(part.strip()))
 
@@ -219,7 +275,7 @@ def residue_in_line(line: str) -> str | None:
 
 
 def _filler(sentence: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    words = _WORD.findall(sentence.lower())
     return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.8 * len(words)
 
 
@@ -236,6 +292,17 @@ def notice_in_line(line: str) -> str | None:
     return None
 
 
+def _latin_lines(text: str, low: str) -> Iterator[int]:
+    """Ends of the lines with a filler sentence; such a sentence has two words of the list next to each other."""
+    known = [w in _LATIN for w in _WORD.findall(low)]
+    if any(map(and_, known, known[1:])):
+        at = 0
+        for line in text.split("\n"):
+            if any(map(_filler, _SENTENCE.split(line))):
+                yield at + len(line) - 1
+            at += len(line) + 1
+
+
 def detect(text: str | None) -> str | None:
     """The first kind of residue in a text, or None; NULL and empty texts hold none."""
     if not text:
@@ -245,10 +312,14 @@ def detect(text: str | None) -> str | None:
     low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer would shift positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for odd, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):  # equal to these where case is ignored
+        low = low.replace(odd, plain)
     last = -1
     # every line with a trigger is parsed once
     ends = {end for end, _ in _automaton().iter(low)}
     ends.update(m.end() - 1 for m in _PERCENT.finditer(text))
+    ends.update(m.end() - 1 for m in _CODE.finditer(text))
+    ends.update(_latin_lines(text, low))
     for end in sorted(ends):
         if end < last:
             continue

@@ -66,3 +66,51 @@ def test_tables(spark):
     assert got == sorted([(k, "duplicated") for k in range(6)] + [(14, "placeholder")] * 2 + [(-1, "placeholder")])
     assert {r.doc_id for r in residue.cleaned(d, i).collect()} == {10, 11, 12, 13, None}
     assert residue.flagged(d.limit(0), i.limit(0)).count() == 0 and residue.cleaned(d, i).columns == d.columns
+
+
+def shortest(tree) -> list[str]:
+    """For every alternative of a parsed pattern a short match that takes it."""
+    from re import _constants as C
+
+    out = [""]
+    for op, arg in tree:
+        if op is C.LITERAL:
+            new = [chr(arg)]
+        elif op is C.IN:
+            new = [chr(v) if k is C.LITERAL else {C.CATEGORY_DIGIT: "7", C.CATEGORY_SPACE: " "}.get(v, "q") for k, v in arg if k is not C.NEGATE][:4] if arg[0][0] is not C.NEGATE else ["q"]
+        elif op is C.SUBPATTERN:
+            new = shortest(arg[3])
+        elif op is C.BRANCH:
+            new = [x for b in arg[1] for x in shortest(b)]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            some = shortest(arg[2])
+            new = [x * max(arg[0], k) for k in ((0, 1) if arg[0] == 0 and arg[1] == 1 else (0,)) for x in some]
+        else:
+            new = [""] if op is C.AT else ["q"]
+        new = list(dict.fromkeys(new))
+        # every way of the part once, with the first way of the others, and all pairs while they are few
+        out = [a + b for a in out for b in new] if len(out) * len(new) <= 400 else [out[0] + b for b in new] + [a + new[0] for a in out[1:]]
+    return out
+
+
+def test_each_alternative_has_a_trigger():
+    from re import _parser
+
+    n = 0
+    for p in (*residue._SLOT, *residue._NOTICES):
+        for text in shortest(_parser.parse(p)):
+            want = residue.residue_in_line(text) or residue.notice_in_line(text)
+            assert residue.detect(text) == want, (p[:80], text)
+            n += want is not None
+    assert n > 1000
+    assert all(residue.detect(" ".join([w, *["sed"] * 3])) == "filler" for w in residue._LATIN)
+
+
+@pytest.mark.parametrize("text", ["409 Conflict", "Status 422", "HTTP 451", "Status: 520", "Sessão expirada", "Ocorreu um erro.", "Merci de vous identifier.", "Please go back to the homepage", "A title\nBad requeſt"])
+def test_notices_without_a_listed_word(text):
+    assert residue.detect(text) == "notice"
+
+
+def test_dummy_sentences():
+    assert residue.detect(PROSE + "\nDuis aute irure dolor in reprehenderit voluptate velit esse cillum dolore eu fugiat nulla pariatur.") == "filler"
+    assert residue.detect(PROSE + " The pump ran in esse.") is None
