@@ -7,11 +7,11 @@ Evidence of three kinds is combined:
   a running sentence are its subject and no residue;
 * notice detectors: whole sentences that address the visitor of a failed page or a browser without scripts,
   and filler (repeated tokens, dummy sentences, pseudo-Latin);
-* host evidence: a text whose words answer neither its title nor the slug of its address, which carries little
-  information, and which many documents on several hosts give in the same words up to numbers.
+* host evidence: a text whose words answer neither its title nor the slug of its address, and which many
+  addresses on several hosts give in the same words up to numbers.
 
 The first two look at one text at a time, whole, in one pass: an Aho-Corasick scan finds the few lines worth
-parsing.  Only short texts without such a finding go on to the third, as fingerprints.
+parsing.  Texts without such a finding go on to the third, as fingerprints.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from operator import and_
 from re import _constants as C
 from re import _parser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import lookup
@@ -336,60 +337,92 @@ def detect(text: str | None) -> str | None:
 
 # Evidence of duplicated low information -------------------------------------------------------------------
 
-#: Texts of at most this many words may be duplicated responses; longer ones carry information.
-LOW_WORDS = 60
-#: A response is duplicated if so many documents on so many hosts give it.
+#: The least evidence: so many addresses (ids) on so many hosts gave the text.
 MIN_DOCS, MIN_HOSTS = 5, 3
+#: A text answers an address or title if it holds terms with this share of their weight.
+ANSWERED = 1 / 3
+#: Without terms to judge by, a text must be this share of all documents of its hosts to be a response.
+HOST_SHARE = 0.01
+#: A term in more than this share of all urls or titles, and ten more, has no weight.
+COMMON = 0.01
 
-_FACTS = "doc_id long, host string, id string, kind string, low boolean, body string, title_in_body boolean, words array<string>"
+_FACTS = "doc_id long, host string, id string, kind string, body binary, title string, words array<string>"
+_TERM = re.compile(r"[^\W\d_]{4,}")
 
 
 def facts(df: DataFrame) -> DataFrame:
-    """Per document: the residue found, and for short texts the body up to numbers, its words and whether the
-    title's terms occur in it."""
+    """Per document: the residue found; else a 128-bit fingerprint of the whole body up to numbers, the title line
+    (NULL without a body below it) and the terms of the body."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, host, id_, text in zip(pdf["doc_id"], pdf["host"], pdf["id"], pdf["text"]):
                 kind = detect(text)
-                low = body = in_body = words = None
-                if kind is None and text and len(text) < 12 * LOW_WORDS:
-                    title, _, rest = text.strip().partition("\n")
-                    found = re.findall(r"[^\W\d_]{4,}", rest.lower()) if rest else []
-                    if len(text.split()) <= LOW_WORDS:
-                        low = True
-                        body = re.sub(r"\d+", "0", " ".join((rest or title).lower().split()))
-                        in_body = bool(set(re.findall(r"[^\W\d_]{4,}", title.lower())) & set(found)) if rest else False
-                        words = sorted(set(re.findall(r"[^\W\d_]{4,}", text.lower())))
-                rows.append((doc, host, id_, kind, bool(low), body, in_body, words))
-            out = pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "low", "body", "title_in_body", "words"])
-            yield out.astype({"title_in_body": "boolean"})
+                body = title = words = None
+                if kind is None and text and text.strip():
+                    title, _, rest = text.strip().lower().partition("\n")
+                    title, rest = (" ".join(title.split()), rest) if rest else (None, title)
+                    body = blake2b(re.sub(r"\d+", "0", " ".join(rest.split())).encode("utf-8", "replace"), digest_size=16).digest()
+                    words = list(set(_TERM.findall(rest)))
+                rows.append((doc, host, id_, kind, body, title, words))
+            yield pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "body", "title", "words"])
 
     return spread(df.select("doc_id", "host", "id", "text")).mapInPandas(run, _FACTS)
 
 
+def _terms(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+
+
 def slugs(inputs: DataFrame) -> DataFrame:
-    """(id, slug): words of the paths of an id's addresses; missing ids and urls have none."""
+    """(id, url, terms): words of the path of each address; missing urls have none."""
     path = F.regexp_extract(F.lower(F.regexp_replace("url", r"[?#].*", "")), r"^[^/]*//[^/]+/(.*)$", 1)
-    words = F.filter(F.split(path, r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
-    return inputs.filter(~missing(F.col("id"))).select("id", F.explode(words).alias("slug"))
+    return inputs.select("id", "url", F.coalesce(_terms(path), F.array().cast("array<string>")).alias("terms"))
+
+
+def _shares(asked: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, share): the share of the weight of a row's ``terms`` that its ``words`` hold; rows whose terms have no
+    weight are left out.  A term weighs the more the fewer rows of ``every`` (terms) have it."""
+    n = every.count()
+    weight = every.select(F.explode("terms").alias("term")).groupBy("term").agg(F.greatest(F.lit(0.0), F.log((n * COMMON + 10) / F.count(F.lit(1)))).alias("w"))
+    rows = asked.select(*keys, F.explode("terms").alias("term"), "words").select(*keys, "term", F.array_contains("words", F.col("term")).alias("held"))
+    used = weight.join(small_or_plain(rows.select("term").distinct()), "term", "left_semi")
+    got = lookup(rows, used, ["term"]).groupBy(*keys).agg(F.sum("w").alias("all__"), F.sum(F.when(F.col("held"), F.col("w")).otherwise(0.0)).alias("held__"))
+    return got.filter("all__ > 0").select(*keys, (F.col("held__") / F.col("all__")).alias("share"))
 
 
 def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(doc_id) of short texts that answer neither title nor slug and that many documents on several hosts repeat.
+    """(doc_id) of texts that answer neither title nor slug and that many addresses on several hosts give.
 
-    Texts without a title line have no title to answer; documents without an id no slug.
+    Texts of any length are compared whole.  A title that half of a body's documents have belongs to the response and
+    says nothing; a title or slug of common words only can't be judged.  Besides repetition there must be evidence:
+    half of the body's documents can be judged and answer nothing, or the body is ``HOST_SHARE`` of its hosts' documents.
     """
-    low = f.filter(F.col("low") & ~F.coalesce(F.col("title_in_body"), F.lit(False)))
-    many = low.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("host", 0.02).alias("hosts"))
-    many = many.filter((F.col("n") >= MIN_DOCS) & (F.col("hosts") >= MIN_HOSTS)).select("body")
-    suspects = lookup(low, many, ["body"], "inner").select("doc_id", "id", "words")  # one text may fill a third of all documents
-    ids = suspects.filter(~missing(F.col("id"))).select("id").distinct()
-    asked = inputs.join(small_or_plain(ids), "id", "left_semi")
-    # a slug term in the text shows that the page answers its address
-    answered = suspects.select("doc_id", "id", F.explode("words").alias("slug")).join(slugs(asked), ["id", "slug"], "left_semi").select("doc_id").distinct()
-    return suspects.join(answered, "doc_id", "left_anti").select("doc_id")
+    has = f.filter(F.col("body").isNotNull())
+    ids = has.select("body", F.when(missing(F.col("id")), F.lit(None)).otherwise(F.col("id")).alias("id")).groupBy("body", "id").agg(F.count(F.lit(1)).alias("n"))
+    # a document without an id is an address of its own
+    often = ids.groupBy("body").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(1)).alias("addresses")).filter(F.col("addresses") >= MIN_DOCS)
+    per_host = f.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("on_host"))
+    hosts = has.filter(F.col("host").isNotNull()).select("body", "host").distinct().join(small_or_plain(often.select("body")), "body", "left_semi")
+    hosts = hosts.join(per_host, "host").groupBy("body").agg(F.count(F.lit(1)).alias("hosts"), F.sum("on_host").alias("on_hosts")).filter(F.col("hosts") >= MIN_HOSTS)
+    many = often.join(hosts, "body").select("body", "n", "on_hosts")
+    suspects = materialize(lookup(has, many, ["body"], "inner").withColumn("row__", F.monotonically_increasing_id()))  # one text may fill a third of all documents
+    # the title is the response's own where half of the documents have it
+    plain = F.regexp_replace("title", r"\d+", "0")
+    own = suspects.filter("title is not null").groupBy("body", plain.alias("plain__"), "n").agg(F.count(F.lit(1)).alias("k")).filter("2 * k >= n").select("body", "plain__")
+    titled = suspects.filter("title is not null").withColumn("plain__", plain).join(small_or_plain(own), ["body", "plain__"], "left_anti").withColumn("terms", _terms(F.col("title")))
+    title = _shares(titled, f.filter("title is not null").select(_terms(F.col("title")).alias("terms")), ["row__"])
+    # of several addresses the one answered best counts
+    paths = slugs(inputs)
+    wanted = suspects.filter(~missing(F.col("id"))).select("id").distinct()
+    asked = suspects.select("row__", "id", "words").join(paths.join(small_or_plain(wanted), "id", "left_semi").distinct(), "id")
+    slug = _shares(asked, paths, ["row__", "url"])
+    best = title.unionByName(slug.select("row__", "share")).groupBy("row__").agg(F.max("share").alias("share"))
+    judged = materialize(suspects.select("row__", "doc_id", "body", "n", "on_hosts").join(best, "row__", "left"))
+    shown = judged.groupBy("body", "n", "on_hosts").agg(F.count(F.when(F.col("share") < ANSWERED, 1)).alias("unlike"))
+    shown = shown.filter((2 * F.col("unlike") >= F.col("n")) | (F.col("n") >= HOST_SHARE * F.col("on_hosts"))).select("body")
+    return lookup(judged.filter(F.coalesce(F.col("share"), F.lit(0.0)) < ANSWERED), shown, ["body"], "inner").select("doc_id")
 
 
 def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -114,3 +114,27 @@ def test_notices_without_a_listed_word(text):
 def test_dummy_sentences():
     assert residue.detect(PROSE + "\nDuis aute irure dolor in reprehenderit voluptate velit esse cillum dolore eu fugiat nulla pariatur.") == "filler"
     assert residue.detect(PROSE + " The pump ran in esse.") is None
+
+
+LONG = "The archive is offline for an upgrade. " + "Each of its shelves will be sorted before the doors are opened to all readers. " * 12
+
+
+def duplicated(spark, rows, urls):
+    d = spark.createDataFrame([(*r, "x", "y") for r in rows], DOC)
+    return sorted(r.doc_id for r in residue.flagged(d, spark.createDataFrame(urls, "id string, url string, slug int")).collect())
+
+
+def test_responses_with_words_of_title_and_route(spark):
+    """A response that repeats its own title, a route's word in every slug, and texts of any length."""
+    rows = [(k, f"Archive offline\nThe archive is offline for an upgrade {k}.", f"h{k % 4}", f"i{k}") for k in range(6)]
+    rows += [(10 + k, "This record lies behind the blue door", f"h{k % 4}", f"r{k}") for k in range(6)]
+    rows += [(20 + k, LONG, f"h{k % 4}", f"l{k}") for k in range(6)]
+    urls = [(f"r{k}", f"https://h.example/record/{k}", k) for k in range(6)] + [(f"x{k}", f"https://h.example/record/{k}", k) for k in range(400)]
+    assert duplicated(spark, rows, urls) == [*range(6), *range(10, 16), *range(20, 26)]
+
+
+def test_one_shared_rare_word_is_no_answer(spark):
+    rows = [(k, "The door of the reading room is blue", f"h{k % 4}", f"r{k}") for k in range(6)]
+    urls = [(f"r{k}", f"https://h.example/polar-glacier-reading-depth-{k}", k) for k in range(6)]
+    assert duplicated(spark, rows, urls) == [*range(6)]
+    assert duplicated(spark, rows, [(f"r{k}", f"https://h.example/reading-room-blue-{k}", k) for k in range(6)]) == []
