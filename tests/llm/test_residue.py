@@ -138,3 +138,14 @@ def test_one_shared_rare_word_is_no_answer(spark):
     urls = [(f"r{k}", f"https://h.example/polar-glacier-reading-depth-{k}", k) for k in range(6)]
     assert duplicated(spark, rows, urls) == [*range(6)]
     assert duplicated(spark, rows, [(f"r{k}", f"https://h.example/reading-room-blue-{k}", k) for k in range(6)]) == []
+
+
+def test_verdict_does_not_change_with_the_table(spark):
+    """A real sentence that a few of very many documents share is no response; mirrors of one id never are."""
+    real = "Between 17 and 3666 units of access status were lost before the annual phase began."
+    rows = [(k, real, f"h{k % 4}", f"i{k}") for k in range(6)] + [(100 + k, f"Wave {'abcdefghij'[k % 10]} {'abcdefghij'[k // 10 % 10]} {'abcdefghij'[k // 100]} was high", f"h{k % 4}", f"j{k}") for k in range(900)]
+    urls = [(f"i{k}", f"https://h.example/record/{k}", k) for k in range(400)]
+    assert duplicated(spark, rows, urls) == []
+    assert duplicated(spark, [(k, real, f"h{k % 6}", "one") for k in range(12)], urls[100:]) == []
+    # as many copies at addresses that ask for something else are responses
+    assert duplicated(spark, rows, [(f"i{k}", f"https://h.example/polar-glacier-{k}", k) for k in range(6)]) == [*range(6)]
