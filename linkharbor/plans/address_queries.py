@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -89,15 +89,25 @@ def url_normalized(spark: S, d: str) -> D:
     return _urls(spark, d).select("record_id", urls.normalize("u").alias("canonical"))
 
 
+def _links() -> Column:
+    k = F.pmod("record_id", F.lit(4))
+    return F.when(k == 0, "/files/x.pdf").when(k == 1, "?view=pdf&amp;n=1").when(k == 2, "https://other.example/y.pdf").otherwise("//cdn.example/z.pdf")
+
+
 def link_resolve(spark: S, d: str) -> D:
-    """URL13: links of several forms against the page of each record."""
+    """URL13: links of several forms against plain pages, as its SQL has it; all pages are in ``link_resolve_all``."""
     t = table(spark, d, "output_record").filter("pageurl is not null and pageurl <> 'null'").select("record_id", F.lower(F.regexp_replace("pageurl", r"[^\x21-\x7e]", "")).alias("page"))
-    k = F.pmod("record_id", F.lit(4))
-    link = F.when(k == 0, "/files/x.pdf").when(k == 1, "?view=pdf&amp;n=1").when(k == 2, "https://other.example/y.pdf").otherwise("//cdn.example/z.pdf")
+    link = _links()
     good = F.col("page").rlike("^https?://[a-z0-9.-]+/[^?#]*$")
     return t.filter(good).select("record_id", urls.resolve_simple(F.col("page"), link).alias("target"), (urls.resolve(F.col("page"), link) == urls.resolve_simple(F.col("page"), link)).alias("agrees"))
 
 
+def link_resolve_all(spark: S, d: str) -> D:
+    """URL13: links of several forms against every present page as it is written."""
+    t = spread(table(spark, d, "output_record").filter("pageurl is not null and pageurl <> 'null'").select("record_id", "pageurl"))
+    return t.select("record_id", urls.resolve(F.col("pageurl"), _links()).alias("target"))
+
+
 def url_redirect_kinds(spark: S, d: str) -> D:
     """URL14-16 between the source and page url of each record."""
     a, b = F.col("sourceurl"), F.col("pageurl")
@@ -219,7 +229,7 @@ def content_size_gate(spark: S, d: str) -> D:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_parts, url_top3, url_strip_token, url_strip_anchor, url_repairs, url_normalized, link_resolve, url_redirect_kinds, direct_link_flag, url_offline_upgrade, url_text_rules, special_site_rewrite,
+        url_parts, url_top3, url_strip_token, url_strip_anchor, url_repairs, url_normalized, link_resolve, link_resolve_all, url_redirect_kinds, direct_link_flag, url_offline_upgrade, url_text_rules, special_site_rewrite,
         special_site_dead, filter_flags, filter_lookaround, reject_reasons, accepted_links, access_rights, content_size_gate,
     )
 }

@@ -110,3 +110,17 @@ def test_arguments():
     for bad in (["-firstFileNum"], ["-downloadDocFiles", "-downloadJustHtmlFiles"], ["-retrieveDataType", "x"], ["x"] * 13):
         with pytest.raises(ValueError):
             parse_args(bad)
+
+
+def test_links_against_every_page(spark, tmp_path):
+    from urllib.parse import urljoin
+
+    from linkharbor.plans import registry
+
+    pages = ["https://e.org/a/login?next=/x", "http://E.org:8080/d/detail?collection=1&item=2", "https://e.org/record/1?ln=it#top", "https://e.org", "https://e.org/é/b", "HTTP://e.org/A/B/", "https://e.org/#/detail/5"]
+    links = ["/files/x.pdf", "?view=pdf&&n=1", "https://other.example/y.pdf", "//cdn.example/z.pdf"]
+    rows = [(4 * i + k, p) for i, p in enumerate(pages) for k in range(4)]
+    spark.createDataFrame([*rows, (900, None), (901, "null")], "record_id long, pageurl string").write.parquet(str(tmp_path / "output_record.parquet"))
+    got = {r.record_id: r.target for r in registry.queries()["link_resolve_all"](spark, str(tmp_path)).collect()}
+    # a link of parameters only is appended
+    assert got == {n: p + links[n % 4] if n % 4 == 1 else urljoin(p, links[n % 4]) for n, p in rows}
