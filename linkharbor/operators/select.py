@@ -17,14 +17,21 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "url").distinct()
 
 
-def urls_per_id(pairs: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, n_urls, urls): distinct urls of each id, sorted.  An id with more than ``most`` has NULL instead of an
-    array, as such a group must not be gathered in one row; its urls are rows of ``distinct_pairs``."""
+def urls_per_id(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, n_urls, urls): distinct urls of each id, sorted; NULL is an id, but no url.
+
+    All urls of an id are one array, so an id's urls must fit into a task; ``distinct_pairs`` has them as rows.  With
+    ``most``, an id with more urls has NULL instead and its urls are not gathered.
+    """
     d = distinct_pairs(pairs)
-    n = d.groupBy("id").agg(F.count(F.lit(1)).alias("n_urls"))
-    small = d.join(n.filter(F.col("n_urls") <= most).select("id"), "id", "left_semi")
-    lists = small.groupBy("id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    return n.join(lists, "id", "left")
+    lists = F.array_sort(F.collect_list("url")).alias("urls")
+    n = F.count("url").alias("n_urls")
+    if most is None:
+        return d.groupBy("id").agg(n, lists)
+    n = d.groupBy("id").agg(n)
+    a, b = d.alias("a"), n.filter(F.col("n_urls") <= most).select("id").alias("b")
+    small = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")), "left_semi").groupBy("id").agg(lists).alias("s")
+    return n.alias("n").join(small, F.col("n.id").eqNullSafe(F.col("s.id")), "left").select("n.id", "n_urls", "urls")
 
 
 def duplicates_flagged(pairs: DataFrame, batch: Column | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def input_dedup_emit(spark: S, d: str) -> D:
 def group_urls_by_id(spark: S, d: str) -> D:
     """AG1: distinct urls per id as a sorted array."""
     t = table(spark, d, "sample_input").select("id", F.lower(F.regexp_replace("url", r"[^\x21-\x7e]", "")).alias("url"))
-    return select.urls_per_id(t).select("id", "n_urls", F.array_join("urls", " ").alias("urls"))
+    return select.urls_per_id(t).select("id", "n_urls", F.when(F.col("n_urls") > 0, F.array_join("urls", " ")).alias("urls"))
 
 
 def _accepted(spark: S, d: str) -> D:

@@ -228,3 +228,11 @@ def test_learned_paths(spark):
     assert [tuple(r) for r in m.collect()] == [("https://a.org/item/", "https://a.org/dl/", ".pdf")]
     links = spark.createDataFrame([("https://a.org/item/77", "https://a.org/dl/77.pdf"), ("https://a.org/item/78", "https://a.org/other")], "page_url string, link string")
     assert [tuple(r) for r in learned.predicted(links.select("page_url"), m, links).collect()] == [("https://a.org/item/77", "https://a.org/dl/77.pdf")]
+
+
+def test_all_urls_of_an_id(spark):
+    rows = [("hot", f"u{k:05}") for k in range(12_000)] + [(None, "n"), ("empty", None), ("b", "v"), ("b", "v")]
+    df = spark.createDataFrame(rows, "id string, url string")
+    got = {r.id: (r.n_urls, r.urls) for r in select.urls_per_id(df).collect()}
+    assert got == {"hot": (12_000, [f"u{k:05}" for k in range(12_000)]), None: (1, ["n"]), "empty": (0, []), "b": (1, ["v"])}
+    assert {r.id: r.urls for r in select.urls_per_id(df, most=3).collect()}[None] == ["n"]
