@@ -245,11 +245,19 @@ def file_number(spark: S, d: str) -> D:
     return files.numbered(t, 100).select("seq", "file_number")
 
 
-def file_dup_suffix(spark: S, d: str) -> D:
-    """WN4: names of files numbered where they repeat."""
+def _found_names(spark: S, d: str) -> D:
     name = F.element_at(F.split(F.regexp_replace(F.lower("docordataseturl"), r"[?#].*", ""), "/"), -1)
-    t = table(spark, d, "output_record").filter("docordataseturl like 'http%'").select(F.col("record_id").alias("seq"), name.alias("file_name"))
-    return files.suffixed(t.filter("file_name like '%.pdf'")).select("seq", "final_name")
+    return table(spark, d, "output_record").filter("docordataseturl like 'http%'").select(F.col("record_id").alias("seq"), name.alias("file_name"))
+
+
+def file_dup_suffix(spark: S, d: str) -> D:
+    """WN4: names of pdf files numbered where they repeat, as its SQL has it; all files are in ``file_dup_suffix_all``."""
+    return files.suffixed(_found_names(spark, d).filter("file_name like '%.pdf'")).select("seq", "final_name")
+
+
+def file_dup_suffix_all(spark: S, d: str) -> D:
+    """WN4: names of all found files numbered where they repeat, with any extension and with none."""
+    return files.suffixed(_found_names(spark, d)).select("seq", "final_name")
 
 
 def original_filename(spark: S, d: str) -> D:
@@ -567,7 +575,7 @@ def best_sites(spark: S, d: str) -> D:
 _NAMES = (
     parse_json_input, plain_url_input, loaded_accounting, input_dedup_emit, group_urls_by_id, input_acceptance, best_url_per_id, best_url_accepted, skipped_urls, ids_without_url, next_best_url, every_pair,
     batch_progress, recrossed_urls, anti_duplicate, anti_blacklist, anti_403_path, known_mime, hash_dedup, mime_classify, mime_plain, body_sniff, retry_classify, status_action, outcome_flags, output_json,
-    file_md5_size, file_number, file_dup_suffix, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff,
+    file_md5_size, file_number, file_dup_suffix, file_dup_suffix_all, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff,
     prediction_breaker, model_phases, run_statistics, run_statistics_by_load, domain_hits, domains_by_connections, politeness_delay, log_counts, log_gaps, sorted_average, elapsed_time, learned_paths,
     path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, redirect_chains, best_sites, failed_tasks, error_rows, outcome_union,
     request_methods, mime_table, page_mimes, link_rules,

@@ -236,3 +236,18 @@ def test_all_urls_of_an_id(spark):
     got = {r.id: (r.n_urls, r.urls) for r in select.urls_per_id(df).collect()}
     assert got == {"hot": (12_000, [f"u{k:05}" for k in range(12_000)]), None: (1, ["n"]), "empty": (0, []), "b": (1, ["v"])}
     assert {r.id: r.urls for r in select.urls_per_id(df, most=3).collect()}[None] == ["n"]
+
+
+def test_names_of_all_files(spark, tmp_path):
+    from linkharbor.plans import registry
+
+    names = ["a.h5", "a.h5", "b.bin?x=1", "c", "c", "A.H5", "d.tar.zip", "d.tar.zip", "p.pdf", "p.pdf", ""] + ["hot"] * 20
+    spark.createDataFrame([(k, f"https://e.org/{n}") for k, n in enumerate(names)] + [(99, "unreachable")], "record_id long, docordataseturl string").write.parquet(str(tmp_path / "output_record.parquet"))
+    want, met = {}, {}
+    for k, n in enumerate(names):
+        n = n.lower().split("?")[0]
+        c = met[n] = met.get(n, -1) + 1
+        stem, dot, ext = n.rpartition(".") if "." in n else (n, "", "")
+        want[k] = f"{stem}({c}){dot}{ext}" if c else n
+    got = {r.seq: r.final_name for r in registry.queries()["file_dup_suffix_all"](spark, str(tmp_path)).collect()}
+    assert got == want
