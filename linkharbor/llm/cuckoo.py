@@ -152,18 +152,23 @@ class CuckooStore:
                 self.tables.append(CuckooTable(t.buckets * 2))
 
     def delete(self, h: int) -> bool:
+        """Remove one copy of a hash that was inserted before.  Where several tables hold its fingerprint, one copy may be
+        another key's, whose buckets differ in a larger table: then nothing is removed, and the hash stays seen."""
+        one, found = np.array([h], dtype=np.int64), []
         for k, t in enumerate(self.tables):
-            if t.delete(h):
-                return True
-            fp, b1, b2 = t.places(np.array([h], dtype=np.int64))
-            for b in (b1, b2):
-                key = (k, int(fp[0]), int(b[0]))
-                if self.stash.get(key):
-                    self.stash[key] -= 1
-                    if not self.stash[key]:
-                        del self.stash[key]
-                    return True
-        return False
+            fp, b1, b2 = t.places(one)
+            keys = [key for b in (b1, b2) if self.stash.get(key := (k, int(fp[0]), int(b[0])))]
+            if keys or t.contains(one)[0]:
+                found.append((t, keys))
+        if len(found) != 1:
+            return False
+        t, keys = found[0]
+        if t.delete(h):
+            return True
+        self.stash[keys[0]] -= 1
+        if not self.stash[keys[0]]:
+            del self.stash[keys[0]]
+        return True
 
     def ask(self, h: np.ndarray) -> np.ndarray:
         """For hashes in order of arrival: was it there?  What was not is inserted."""
@@ -319,13 +324,18 @@ def _spread(keys: DataFrame, parts: int) -> DataFrame:
     return keys.select("field_name", "key_value").distinct().select(_part(parts).alias("part"), key_hash("field_name", "key_value").alias("h"))
 
 
-def update_store(store: DataFrame | None, add: DataFrame, remove: DataFrame | None, parts: int, spark=None, buckets: int = 1 << 10) -> DataFrame:
-    """A new store table with keys removed and then added.  Both are (field_name, key_value); adding a key the
-    store already holds is a no-op, removing one it never held must not be asked for (it could remove another
-    key with the same fingerprint).  One task holds one partition's distinct keys of this load as hashes.
+def update_store(store: DataFrame | None, add: DataFrame, remove: DataFrame | None, parts: int, spark=None, buckets: int = 1 << 10, held: DataFrame | None = None) -> DataFrame:
+    """A new store table with keys removed and then added.  Both are (field_name, key_value).
+
+    Every added key gets a copy of its fingerprint, for fingerprints alone can't tell a key the store holds from a new
+    one.  Keys of ``held``, the exact keys in the store after the removal, are not added again; without it, a key added
+    twice needs two removals.  Removing a key the store never held must not be asked for (it could remove another key
+    with the same fingerprint).  One task holds one partition's distinct keys of this load as hashes.
     """
     if store is None:
         store = add.sparkSession.createDataFrame([], STORE)
+    if held is not None:
+        add = add.select("field_name", "key_value").join(held.select("field_name", "key_value"), ["field_name", "key_value"], "left_anti")
     ops = _spread(add, parts).withColumn("op", F.lit(1))
     if remove is not None:
         ops = ops.unionByName(_spread(remove, parts).withColumn("op", F.lit(0)))
@@ -336,7 +346,7 @@ def update_store(store: DataFrame | None, add: DataFrame, remove: DataFrame | No
             s.delete(int(h))
         h = np.sort(ops.loc[ops["op"] == 1, "h"].to_numpy(dtype=np.int64))
         if len(h):
-            s.ask(h)
+            s.insert(h)
         return _rows(int(key[0]), s)
 
     return store.groupBy("part").cogroup(ops.groupBy("part")).applyInPandas(run, STORE)

@@ -88,3 +88,26 @@ def test_store_over_loads(spark):
     s = cuckoo.update_store(s, keys(500, 700), keys(0, 100), 3)
     got = {r.key_value: r.seen for r in cuckoo.probe_store(s, keys(0, 900), 3).collect()}
     assert all(got[f"k{k}"] for k in range(100, 700)) and sum(got[f"k{k}"] for k in (*range(100), *range(700, 900))) < 10 and len(got) == 900
+
+
+def test_removal_forgets_no_other_key(spark, monkeypatch):
+    """With hashes of few values nearly all keys share a fingerprint with another one."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(cuckoo, "key_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(40)))
+    keys = lambda a, b: spark.createDataFrame([("filehash", f"k{k}") for k in range(a, b)], "field_name string, key_value string")
+    s = cuckoo.update_store(None, keys(0, 60), None, 1)
+    s = cuckoo.update_store(s, keys(50, 120), None, 1, held=keys(0, 60))
+    s = cuckoo.update_store(s, keys(0, 0), keys(60, 120), 1)
+    assert all(r.seen for r in cuckoo.probe_store(s, keys(0, 60), 1).collect())
+
+
+def test_removal_over_tables_forgets_no_other_key(monkeypatch):
+    real = cuckoo._mix
+    monkeypatch.setattr(cuckoo, "_mix", lambda x: real(x) & ~np.uint64(0xFFF0))  # fingerprints of four bits
+    keys = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 6000)
+    s = cuckoo.CuckooStore(16)
+    s.insert(keys)
+    for h in keys[3000:]:
+        s.delete(int(h))
+    assert len(s.tables) > 3 and s.contains(keys[:3000]).all()
