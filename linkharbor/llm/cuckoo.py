@@ -6,9 +6,9 @@ no key.  A fingerprint can be removed again.  When a table is saturated a furthe
 added, which keeps what the old one holds.  A table never forgets an inserted key, so "new" is certain, while
 "seen" may be wrong for about 8 in 65536 new keys and table; the audit finds exactly which.
 
-The distributed operator keeps keys out of memory: keys are reduced to one row per key and block of records
-before the shuffle (a key with a third of all rows is at most ``blocks`` rows), a partition's rows stream
-through its tables in order of arrival, and only fingerprints stay.
+The distributed operator keeps keys out of memory and out of the shuffle: a key leaves its row as 128 bits, is reduced to
+one row per block of records before the shuffle, a partition's rows stream through its tables in order of arrival, and
+only fingerprints stay.  The audit sorts a partition's answers where they are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import forms
@@ -171,14 +171,12 @@ class CuckooStore:
         return True
 
     def ask(self, h: np.ndarray) -> np.ndarray:
-        """For hashes in order of arrival: was it there?  What was not is inserted."""
+        """For hashes in order of arrival: was it there?  Each distinct hash that was not is inserted, also where its
+        fingerprint equals another's of the same batch, so that none is forgotten when the next table has other buckets."""
         seen = self.contains(h)
         new = np.flatnonzero(~seen)
         if len(new):
-            # a later arrival in this batch whose fingerprint and buckets equal an earlier new one's is seen
-            fp, b1, b2 = self.tables[-1].places(h[new])
-            ident = np.minimum(b1, b2) * np.int64(1 << 16) + fp
-            _, first = np.unique(ident, return_index=True)
+            _, first = np.unique(h[new], return_index=True)
             again = np.ones(len(new), dtype=bool)
             again[first] = False
             seen[new[again]] = True
@@ -204,70 +202,96 @@ class CuckooStore:
 
 
 def key_hash(*cols: Column) -> Column:
+    """The 64 bits a table sees of a key."""
     return F.xxhash64(*cols)
 
 
-_ASKED = "field_name string, key_value string, ord long, seen boolean"
+def key_check(*cols: Column) -> Column:
+    """Further 64 bits under another seed, which only the audit compares: with the hash, 128 bits stand for the key."""
+    return F.xxhash64(F.lit("check"), *cols)
+
+
+FIELDS = ("docordataseturl", "filehash")
+_KEY = "field int, h long, check long, ord long, seen boolean"
+_AUDITED = _KEY + ", wrong boolean"
 
 
 def ask(first_rows: DataFrame, partitions: int, buckets: int = 1 << 12) -> DataFrame:
-    """Stream rows (field_name, key_value, ord) through partitioned cuckoo stores in order of ``ord``.
+    """Stream rows (field, h, check, ord) through partitioned cuckoo stores in order of ``ord``; adds ``seen``.
 
-    Rows with negative ``ord`` (earlier keys) come first.  Adds ``seen``.  Memory per task: the fingerprints
-    of one partition and one Arrow batch.
+    Rows with negative ``ord`` (earlier keys) come first.  Memory per task: the fingerprints of one partition and one
+    Arrow batch.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = CuckooStore(buckets)
         for pdf in batches:
             if len(pdf):
-                seen = store.ask(pdf["h"].to_numpy(dtype=np.int64))
-                yield pdf[["field_name", "key_value", "ord"]].assign(seen=seen)
-
-    h = key_hash("field_name", "key_value")
-    return (
-        first_rows.select("field_name", "key_value", "ord", h.alias("h"))
-        .repartition(partitions, "h").sortWithinPartitions("ord")
-        .mapInPandas(run, _ASKED)
-    )
+                yield pdf.assign(seen=store.ask(pdf["h"].to_numpy(dtype=np.int64)))
+
+    return first_rows.select("field", "h", "check", "ord").repartition(partitions, "h").sortWithinPartitions("ord", "h", "check").mapInPandas(run, _KEY)
+
+
+def audit(asked: DataFrame) -> DataFrame:
+    """Answers with ``wrong``: a "seen" without an earlier row of its key.
+
+    All rows of a key sit in the partition that answered them, so a sort inside it (which spills) is enough: nothing is
+    shuffled, and nothing but the last key is held.  An answer "new" needs no check, for a table forgets no key.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            if len(pdf):
+                h, c = pdf["h"].to_numpy(), pdf["check"].to_numpy()
+                first = np.ones(len(pdf), dtype=bool)
+                first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                first[0] = (h[0], c[0]) != last
+                last = (h[-1], c[-1])
+                yield pdf.assign(wrong=first & pdf["seen"].to_numpy(dtype=bool))
+
+    return asked.sortWithinPartitions("h", "check", "ord").mapInPandas(run, _AUDITED)
+
+
+def _key(field: int, value: Column) -> Column:
+    name = F.lit(FIELDS[field])
+    return F.struct(F.lit(field).alias("field"), key_hash(name, value).alias("h"), key_check(name, value).alias("check"))
+
+
+def _has(field: int) -> Column:
+    """Does a record have a key in the field: a document's url, a well-formed file hash?"""
+    url, digest = F.col("docordataseturl"), F.col("filehash")
+    return F.coalesce(url.startswith("http") if field == 0 else forms.is_hash(digest), F.lit(False))
 
 
 def record_keys(records: DataFrame) -> DataFrame:
-    """(record_id, field_name, key_value): urls of documents and well-formed file hashes.
+    """(record_id, field, h, check): hashes of all keys; the keys themselves go no further.
 
     Other cells have no key, and rows without a record_id no place in the order: neither is asked."""
-    url, digest = F.col("docordataseturl"), F.col("filehash")
-    return records.select("record_id", F.inline(F.array(
-        F.struct(F.lit("docordataseturl").alias("field_name"), F.when(url.startswith("http"), url).alias("key_value")),
-        F.struct(F.lit("filehash").alias("field_name"), F.when(forms.is_hash(digest), digest).alias("key_value")),
-    ))).filter(F.col("key_value").isNotNull() & F.col("record_id").isNotNull())
+    both = F.array(*[F.when(_has(k), _key(k, F.col(c))) for k, c in enumerate(FIELDS)])
+    return records.filter("record_id is not null").select(F.col("record_id").cast("bigint").alias("record_id"), F.inline(F.filter(both, lambda x: x.isNotNull())))
 
 
 def earlier_keys(earlier: DataFrame) -> DataFrame:
-    """(field_name, key_value) of the log of earlier keys; unknown kinds and NULL values are no keys."""
-    field = F.when(F.col("key_kind") == "url", "docordataseturl").when(F.col("key_kind") == "hash", "filehash")
-    return earlier.select(field.alias("field_name"), "key_value").filter(F.col("field_name").isNotNull() & F.col("key_value").isNotNull())
+    """(field, h, check) of the log of earlier keys; unknown kinds and NULL values are no keys."""
+    kind = F.col("key_kind")
+    key = F.when(kind == "url", _key(0, F.col("key_value"))).when(kind == "hash", _key(1, F.col("key_value")))
+    return earlier.filter(F.col("key_value").isNotNull() & kind.isin("url", "hash")).select(key.alias("k")).select("k.*")
 
 
 def answers(keys: DataFrame, ids: DataFrame, earlier: DataFrame, blocks: int = 64) -> DataFrame:
-    """Answers of the tables, audited: (field_name, key_value, ord, seen, wrong), one row per key and block.
+    """Audited answers of the tables: (field, h, check, ord, seen, wrong), one row per key and block.
 
-    ``keys`` has (record_id, field_name, key_value), ``ids`` at least all its record_id, ``earlier`` (field_name,
-    key_value).  Records are cut into
-    at most ``blocks`` blocks of equal id ranges and the first of each key and block asks; a repeat inside the
-    block is seen without asking.  ``wrong`` marks a "seen" whose key is met for the first time: the exact
-    check compares the keys' bytes, grouped by key.
+    ``keys`` has (record_id, field, h, check), ``ids`` at least all its record_id, ``earlier`` (field, h, check).
+    Records are cut into at most ``blocks`` blocks of equal id ranges and the first of each key and block asks; a repeat
+    inside the block is seen without asking.  So a key with a third of all rows is at most one row per block and map task.
     """
-    spark = keys.sparkSession
     least, most = ids.agg(F.min("record_id").alias("x")).scalar(), ids.agg(F.max("record_id").alias("x")).scalar()
     block = F.floor((F.col("record_id") - least) * blocks / (most - least + 1)).cast("int")
-    firsts = keys.groupBy("field_name", "key_value", block.alias("block")).agg(F.min("record_id").alias("ord"))
-    known = earlier.distinct().select("field_name", "key_value", F.lit(-1).cast("bigint").alias("ord"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = ask(firsts.select("field_name", "key_value", "ord").unionByName(known), partitions)
-    # the first row of a key can't have been seen; a window of at most blocks + 1 rows per key
-    first = F.min("ord").over(Window.partitionBy("field_name", "key_value"))
-    return asked.withColumn("wrong", F.col("seen") & (F.col("ord") == first))
+    firsts = keys.groupBy("field", "h", "check", block.alias("block")).agg(F.min("record_id").alias("ord")).drop("block")
+    known = earlier.distinct().withColumn("ord", F.lit(-1).cast("bigint"))
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return audit(ask(firsts.unionByName(known), partitions))
 
 
 def seen_before(records: DataFrame, earlier: DataFrame, blocks: int = 64) -> DataFrame:
@@ -275,21 +299,23 @@ def seen_before(records: DataFrame, earlier: DataFrame, blocks: int = 64) -> Dat
 
     A record is new exactly if it asked and was answered "new", or was answered "seen" wrongly; all other
     records with a key were seen.  NULL and malformed cells have no key; records without an id have no place in the
-    order and are left out; rows repeated with their id are one record; keys of any length are compared whole;
-    further columns do no harm; an empty table gives no rows.
+    order and are left out; rows repeated with their id are one record; keys of any length are compared whole, by 128
+    bits; further columns do no harm; an empty table gives no rows.
     """
-    keys = record_keys(records)
-    got = answers(keys, records.select("record_id"), earlier_keys(earlier), blocks).filter("ord >= 0")
-    new = got.filter(~F.col("seen") | F.col("wrong")).select(F.col("ord").alias("record_id"), "field_name")
-    return keys.select("record_id", "field_name").join(new, ["record_id", "field_name"], "left_anti")
+    got = answers(record_keys(records), records.select("record_id"), earlier_keys(earlier), blocks).filter("ord >= 0")
+    new = got.filter(~F.col("seen") | F.col("wrong")).groupBy(F.col("ord").alias("record_id"))
+    new = new.agg(*[F.bool_or(F.col("field") == k).alias(f"new{k}") for k in range(len(FIELDS))])
+    rows = records.filter("record_id is not null").select(F.col("record_id").cast("bigint").alias("record_id"), *[_has(k).alias(f"has{k}") for k in range(len(FIELDS))]).filter("has0 or has1")
+    met = [F.when(F.col(f"has{k}") & ~F.coalesce(F.col(f"new{k}"), F.lit(False)), F.lit(f)) for k, f in enumerate(FIELDS)]
+    return rows.join(new, "record_id", "left").select("record_id", F.explode(F.array_compact(F.array(*met))).alias("field_name"))
 
 
 def error_rate(records: DataFrame, earlier: DataFrame, blocks: int = 64) -> DataFrame:
     """Per field: questions asked, answers "seen", wrong ones among them, truly new keys, and the rate of wrong
-    answers among the new keys (NULL without any)."""
+    answers among the new keys (NULL without any).  An answer "new" is never wrong."""
     got = answers(record_keys(records), records.select("record_id"), earlier_keys(earlier), blocks).filter("ord >= 0")
     new = F.count(F.when(~F.col("seen") | F.col("wrong"), 1))
-    return got.groupBy("field_name").agg(
+    return got.groupBy(F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("field") + 1).alias("field_name")).agg(
         F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("seen"), 1)).alias("answered_seen"),
         F.count(F.when(F.col("wrong"), 1)).alias("wrong_seen"), new.alias("new_keys"),
         (F.count(F.when(F.col("wrong"), 1)) / F.nullif(new, F.lit(0))).alias("error_rate"),

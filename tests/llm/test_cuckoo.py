@@ -21,6 +21,19 @@ def test_no_key_is_forgotten_while_growing():
     assert s.contains(other).mean() < len(s.tables) * 8 / 65536 * 1.5
 
 
+def test_asking_forgets_no_key():
+    """Batches larger than the tables, growths inside a batch, keys that share a fingerprint."""
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(1 << 62), 1 << 62, 1_000_000)
+    s, new = cuckoo.CuckooStore(64), 0
+    for k in range(0, len(keys), 100_000):
+        new += int((~s.ask(keys[k : k + 100_000])).sum())
+    assert s.contains(keys).all() and new > len(keys) * 0.99
+    one = cuckoo.CuckooStore(1 << 10)
+    one.ask(keys)
+    assert len(one.tables) > 5 and one.contains(keys).all() and one.ask(keys).all()
+
+
 def test_fill_and_delete():
     t = cuckoo.CuckooStore(1 << 10)
     keys = np.arange(3800, dtype=np.int64) * 7919
