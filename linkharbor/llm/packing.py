@@ -14,7 +14,6 @@ is ever gathered, even if a third of all items share one.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize, spread
+from ..shared import materialize
 from .tokens import VOCABULARY, encoder
 from .tokens import count as count_tokens
 
@@ -123,33 +122,41 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
+#: Ranks are below 2^40, lengths at most MOST_ROOM.
+_SHIFT = 40
+#: The sum of all capacities is at most so many tokens: as many rows at most reach the driver as histograms.
+MOST_ROOM = 1 << 20
+
+
 @dataclass(frozen=True)
 class _Places:
-    """Where the k-th item of each length goes: runs of ranks sorted per length."""
+    """Where the k-th item of each length goes: runs of ranks in one array, sorted by length and first rank."""
 
-    starts: dict[int, list[int]]
-    runs: dict[int, list[tuple[int, int, int]]]  # first container, place, start offset
+    keys: np.ndarray  # length << _SHIFT | first rank of the run
+    first: np.ndarray  # container of that rank
+    place: np.ndarray
+    offset: np.ndarray
 
     @staticmethod
     def of(patterns: list[Pattern]) -> tuple[_Places, int]:
-        starts: dict[int, list[int]] = {}
-        runs: dict[int, list[tuple[int, int, int]]] = {}
         used: dict[int, int] = {}
+        rows: list[tuple[int, int, int, int]] = []
         first = 0
         for p in patterns:
             offset = 0
             for place, x in enumerate(p.lengths, 1):
-                starts.setdefault(x, []).append(used.get(x, 0))
-                runs.setdefault(x, []).append((first, place, offset))
+                rows.append((x << _SHIFT | used.get(x, 0), first, place, offset))
                 used[x] = used.get(x, 0) + p.times
                 offset += x
             first += p.times
-        return _Places(starts, runs), first
+        a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+        return _Places(a[:, 0], a[:, 1], a[:, 2], a[:, 3]), first
 
-    def at(self, length: int, rank: int) -> tuple[int, int, int]:
-        k = bisect_right(self.starts[length], rank) - 1
-        first, place, offset = self.runs[length][k]
-        return first + rank - self.starts[length][k], place, offset
+    def at(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Containers, places and offsets of items."""
+        asked = length.astype(np.int64) << _SHIFT | rank
+        k = np.searchsorted(self.keys, asked, side="right") - 1
+        return self.first[k] + asked - self.keys[k], self.place[k], self.offset[k]
 
 
 _ITEMS = "doc_id long, n_tokens long, spec_id int, piece int, n_pieces int, length int, pid int, nth long"
@@ -186,7 +193,7 @@ def items(df: DataFrame, capacities: dict[int, int], path: str = VOCABULARY) ->
                         {"doc_id": pdf["doc_id"].to_numpy()[a], "n_tokens": n[a], "spec_id": spec, "piece": piece + 1, "n_pieces": k[a], "length": length, "pid": pid, "nth": nth}
                     )
 
-    return materialize(spread(df.select("doc_id", "text")).mapInPandas(run, _ITEMS))
+    return materialize(df.select("doc_id", "text").mapInPandas(run, _ITEMS))
 
 
 _PLACED = "spec_id int, doc_id long, piece int, n_pieces int, n_tokens int, container_id long, place int, start_at int"
@@ -197,35 +204,37 @@ def pack(df: DataFrame, specs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Containers are numbered from 1 per capacity; places from 1; ``start_at`` is the first token's offset.  Texts
     without tokens (NULL, empty) have container NULL and place 0; repeated documents are packed as often as they
-    occur; a NULL doc_id is kept; further columns do no harm; no texts or no capacities give no rows.  ``specs`` holds (spec_id, capacity_tokens); at most 1000
-    positive capacities of at most 2^20 tokens, which bounds the histograms the driver gets.
+    occur; a NULL doc_id is kept; further columns do no harm; no texts or no capacities give no rows.  ``specs`` holds (spec_id, capacity_tokens), whose
+    sum is at most MOST_ROOM, which bounds the histograms the driver gets.
     """
-    got = specs.filter("capacity_tokens > 0 and spec_id is not null").select("spec_id", "capacity_tokens").distinct().limit(1001).collect()
+    got = specs.filter("capacity_tokens > 0 and spec_id is not null").select("spec_id", "capacity_tokens").distinct().limit(MOST_ROOM + 1).collect()
     capacities = {r.spec_id: r.capacity_tokens for r in got}
-    if len(got) > 1000 or len(capacities) < len(got) or max(capacities.values(), default=1) > 1 << 20:
-        raise ValueError("capacities must be at most 1000, one per spec_id and at most 2^20 tokens")
+    if len(capacities) < len(got) or sum(r.capacity_tokens for r in got) > MOST_ROOM:
+        raise ValueError(f"capacities must be one per spec_id and sum up to at most {MOST_ROOM} tokens")
     it = items(df, capacities, path)
     per_part = it.filter("length > 0").groupBy("spec_id", "length", "pid").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("spec_id", "length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("spec_id", "length", "pid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    hist = per_part.groupBy("spec_id", "length").agg(F.sum("n").alias("n")).collect()  # at most C rows per capacity
+    hist = per_part.groupBy("spec_id", "length").agg(F.sum("n").alias("n")).toPandas()  # at most C rows per capacity
     places = {}
     for spec, cap in capacities.items():
-        places[spec] = _Places.of(plan({r.length: r.n for r in hist if r.spec_id == spec}, cap))[0]
+        mine = hist[hist["spec_id"] == spec]
+        places[spec] = _Places.of(plan(dict(zip(mine["length"].tolist(), mine["n"].tolist())), cap))[0]
     shared = df.sparkSession.sparkContext.broadcast(places)  # a few integers per pattern, as bounded as the histograms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rank = pdf["nth"] + pdf["before"].fillna(0).astype("int64")
-            at = [
-                shared.value[s].at(x, r) if x > 0 else (None, 0, 0)
-                for s, x, r in zip(pdf["spec_id"].tolist(), pdf["length"].tolist(), rank.tolist())
-            ]
+            rank = (pdf["nth"] + pdf["before"].fillna(0)).to_numpy(dtype=np.int64)
+            spec, length = pdf["spec_id"].to_numpy(), pdf["length"].to_numpy(dtype=np.int64)
+            box, place, start = np.full(len(pdf), -1, dtype=np.int64), np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
+            for s, where in shared.value.items():
+                k = np.flatnonzero((spec == s) & (length > 0))
+                if len(k):
+                    box[k], place[k], start[k] = where.at(length[k], rank[k])
             out = pdf[["spec_id", "doc_id", "piece", "n_pieces"]].copy()
             out["n_tokens"] = pdf["length"]
-            out["container_id"] = pd.array([None if a[0] is None else a[0] + 1 for a in at], dtype="Int64")
-            out["place"] = [a[1] for a in at]
-            out["start_at"] = [a[2] for a in at]
+            out["container_id"] = pd.Series(box + 1).astype("Int64").mask(box < 0).to_numpy()
+            out["place"], out["start_at"] = place, start
             yield out
 
     return it.join(offsets, ["spec_id", "length", "pid"], "left").mapInPandas(run, _PLACED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,14 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread
-
 #: Default place of the vocabulary (tiktoken ranks); never copied into this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A longer run without white space is cut there before encoding, as its cost grows with the square of its length.
-LONG_RUN = 20_000
+# Fixed value: white space as the pattern's ``\s`` has it.  Its look-ahead steps back over a run, too deep for very long ones.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=4)
@@ -31,25 +30,19 @@ def encoder(path: str):
 
 
 def count(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of a whole text; 0 for NULL and empty."""
+    """Tokens of a whole text of any length, exactly as the tokenizer gives them; 0 for NULL and empty.
+
+    The pre-tokenizer makes a long run of white space one piece, less its last character where text follows; that piece
+    is encoded by itself, and the text around it starts and ends at piece boundaries.
+    """
     if not text:
         return 0
-    enc = encoder(path)
-    if len(text) <= LONG_RUN:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
-    while at < len(text):  # cut a long text at white space, which tokens never span backwards
-        end = min(at + 16 * LONG_RUN, len(text))
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = cut if cut > at else end
-        part = text[at:end]
-        if max(map(len, part.split()), default=0) > LONG_RUN:
-            n += sum(len(enc.encode_ordinary(part[k : k + LONG_RUN])) for k in range(0, len(part), LONG_RUN))
-        else:
-            n += len(enc.encode_ordinary(part))
+    enc, n, at = encoder(path), 0, 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
         at = end
-    return n
+    return n + len(enc.encode_ordinary(text[at:] if at else text))
 
 
 def token_counts(df: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
@@ -61,4 +54,4 @@ def token_counts(df: DataFrame, keep: list[str], path: str = VOCABULARY) -> Data
         for texts in batches:
             yield pd.Series(np.fromiter((count(t, path) for t in texts), dtype="int64", count=len(texts)))
 
-    return spread(df.select(*keep, "text")).select(*keep, counts("text").alias("n_tokens"))
+    return df.select(*keep, counts("text").alias("n_tokens"))

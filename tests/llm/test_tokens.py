@@ -44,9 +44,13 @@ def test_plan_is_independent_of_the_number_of_items():
 @needs_vocabulary
 def test_counts():
     assert tokens.count(None) == tokens.count("") == 0 and tokens.count("Hello world") == 2
-    long = "alpha beta\n" * 60_000
-    assert tokens.count(long) == pytest.approx(len(tokens.encoder(tokens.VOCABULARY).encode_ordinary(long)), rel=0.001)
-    assert tokens.count("x" * 150_000) > 1000
+    enc = tokens.encoder(tokens.VOCABULARY)
+    for text in ("alpha beta\n" * 60_000, "x" * 150_000, "".join(chr(97 + k * k % 26) for k in range(100_000)), "0" * 50_000, "#!" * 40_000, "\u6f22\u5b57" * 30_000, "a " * 9000 + "b" * 30_000 + " c" * 9000):
+        assert tokens.count(text) == len(enc.encode_ordinary(text))
+    for space in (" ", "\n", "\t ", "\u3000"):  # short enough for the tokenizer to do it alone
+        for text in (space * 3000, "a" + space * 3000, space * 3000 + "b", "a." + space * 3000 + "'s b" + space * 2000 + "9"):
+            assert tokens.count(text) == len(enc.encode_ordinary(text))
+    assert tokens.count("a" + " " * 2_000_000 + "b") > 10
 
 
 @needs_vocabulary
