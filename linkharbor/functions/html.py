@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..shared import spread
 from . import filters, urls
 from . import patterns as P
 
@@ -180,7 +179,7 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html", url: st
             rows = [(k, u, *r) for k, u, h in zip(pdf["k"], pdf["u"], pdf["h"]) for r in elements_of(h)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = spread(pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(html).alias("h")))
+    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
     return rows.mapInPandas(run, f"page_key string, page_url string, {ELEMENT}")
 
 

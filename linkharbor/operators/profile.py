@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import forms
-from ..shared import materialize, missing, spread
+from ..shared import materialize, missing
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def curves(df: DataFrame, specs: tuple[ColumnSpec, ...], load: str, by_class: bo
     the compared classes instead of the raw values.
     """
     spark = df.sparkSession
-    c = cells(spread(df.select(*{load: 0, **{s.name: 0 for s in specs}})), specs, load, None)
+    c = cells(df, specs, load, None)
     if by_class:
         c = c.withColumn("value", F.col("klass")).withColumn("num", F.lit(None).cast("double"))
     counted = c.groupBy("column_name", "is_missing", "num", "value", F.col("load_id").cast("long").alias("load_id")).agg(
@@ -162,15 +162,30 @@ def _wide(c: Column) -> Column:
     return c.cast("decimal(19,0)")
 
 
+def ks_gaps() -> Column:
+    """Per row of the merged curves the larger of the two gaps between the load's curve and that of all other loads: at
+    the value, and just before it.  Between two values of a load its curve is flat and the other one only rises, so the
+    largest of these gaps is the exact Kolmogorov-Smirnov distance.  NULL if there is no other load."""
+    n, rest = F.col("n_load"), F.nullif(F.col("n_all") - F.col("n_load"), F.lit(0))
+    gap = F.abs(F.col("cum_load") / n - (F.col("cum_all") - F.col("cum_load")) / rest)
+    prior = F.abs((F.col("cum_load") - F.col("cnt")) / n - (F.col("cum_all") - F.col("value_cnt") - F.col("cum_load") + F.col("cnt")) / rest)
+    return F.greatest(gap, prior)
+
+
 def shifts(curve: DataFrame, points: int = 15) -> DataFrame:
     """(load_id, column_name) where some value's share in the load is more than ``points`` percent points off
-    its share in all other loads together; exact integer arithmetic.
+    its share in all other loads together.
 
-    A value's count is the step of the curves at it.  Only values that hold more than ``points`` percent of
-    some load or of some rest can differ that much, at most 200/points per load, so pairing these with every
-    load of the column (also those where the value is absent) stays small.
+    A value's share is the step of a curve at it, and two steps can't be further apart than twice the largest gap of the
+    curves: only loads whose Kolmogorov-Smirnov distance exceeds half the points are looked at.  There the steps
+    decide, in exact integer arithmetic.  Only values that hold more than ``points`` percent of some load or of some
+    rest can differ that much, at most 200/points per load, so pairing these with the loads of the column (also those
+    where the value is absent) stays small.
     """
-    loads = curve.select("column_name", "load_id", "n_load", "n_all").distinct()
+    apart = curve.groupBy("column_name", "load_id", "n_load", "n_all").agg(F.max(ks_gaps()).alias("ks"))
+    # a hair below the bound, for the gaps are floating-point numbers
+    far = apart.filter(F.col("ks") * 2 > points / 100 - 1e-9).drop("ks")
+    loads = apart.drop("ks")
     most = loads.groupBy("column_name").agg(F.max("n_load").alias("most"))
     value = ["column_name", "is_missing", "num", "value"]
     heavy = (
@@ -178,7 +193,7 @@ def shifts(curve: DataFrame, points: int = 15) -> DataFrame:
         .filter((F.col("cnt") * 100 > F.col("n_load") * points) | (F.col("value_cnt") * 100 > (F.col("n_all") - F.col("most")) * points))
         .select(*value, "value_cnt").distinct()
     )
-    h, p, k = heavy.alias("h"), loads.alias("p"), curve.alias("k")
+    h, p, k = heavy.alias("h"), far.alias("p"), curve.alias("k")
     here = F.coalesce(F.col("k.cnt"), F.lit(0))
     n, rest = _wide(F.col("p.n_load")), _wide(F.col("p.n_all") - F.col("p.n_load"))
     return (
@@ -210,10 +225,7 @@ def profile(df: DataFrame, specs: tuple[ColumnSpec, ...] = OUTCOME_SPECS, load:
     smallest value whose rank reaches ceil(q * non-missing rows).  An empty table gives no rows.
     """
     c = curves(df, specs, load)
-    n, rest = F.col("n_load"), F.col("n_all") - F.col("n_load")
-    gap = F.abs(F.col("cum_load") / n - (F.col("cum_all") - F.col("cum_load")) / F.nullif(rest, F.lit(0)))
-    prior = F.abs((F.col("cum_load") - F.col("cnt")) / n - (F.col("cum_all") - F.col("value_cnt") - F.col("cum_load") + F.col("cnt")) / F.nullif(rest, F.lit(0)))
-    c = c.withColumn("ks", F.greatest(gap, prior))
+    c = c.withColumn("ks", ks_gaps())
     per = c.groupBy("column_name", "load_id").agg(
         F.max("n_load").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("is_missing"), F.col("cnt"))), F.lit(0)).alias("n_missing"),

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import filters, special_sites, urls
 from ..functions import patterns as P
-from ..shared import spread, table
+from ..shared import table
 
 S, D = SparkSession, DataFrame
 
 
 def _urls(spark: S, d: str) -> D:
     """Distinct-free view of all source urls with their key."""
-    return spread(table(spark, d, "output_record").select("record_id", F.col("sourceurl").alias("u")))
+    return table(spark, d, "output_record").select("record_id", F.col("sourceurl").alias("u"))
 
 
 def _made(spark: S, d: str) -> D:
@@ -104,7 +104,7 @@ def link_resolve(spark: S, d: str) -> D:
 
 def link_resolve_all(spark: S, d: str) -> D:
     """URL13: links of several forms against every present page as it is written."""
-    t = spread(table(spark, d, "output_record").filter("pageurl is not null and pageurl <> 'null'").select("record_id", "pageurl"))
+    t = table(spark, d, "output_record").filter("pageurl is not null and pageurl <> 'null'").select("record_id", "pageurl")
     return t.select("record_id", urls.resolve(F.col("pageurl"), _links()).alias("target"))
 
 

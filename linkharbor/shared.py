@@ -87,17 +87,3 @@ def present(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row: keeps expressions that use a part many times small."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores before work that is heavy per row, if its scan has too few partitions for that.
-
-    Only a plan whose inputs hold less than half a scan partition per core is shuffled, which bounds what moves;
-    anything larger, and anything of unknown size, is left as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if size < part * cores / 2 else df
