@@ -23,13 +23,12 @@ def compact(df: DataFrame, keys: list[str], sums: dict[str, Column] | None = Non
     return df.groupBy(*keys).agg(*aggs)
 
 
-def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], how: str = "inner", finer: list[str] | None = None) -> DataFrame:
+def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], how: str = "inner") -> DataFrame:
     """Join two compact states (columns ``n`` and values) and combine them algebraically.
 
     Gives the keys, ``n`` (left rows), ``right_n``, ``joined_n`` = n * right_n, each left value, and each
     value as it would be summed over the joined rows: ``joined_<value>``.  NULL keys never match.  With
-    ``how='left'`` unmatched keys have right_n 0 and joined_n 0.  ``finer`` names further group columns of the left
-    states, which may be finer than the join key.
+    ``how='left'`` unmatched keys have right_n 0 and joined_n 0.
     """
     l, r = left.alias("l"), right.alias("r")
     on = F.col(f"l.{keys[0]}") == F.col(f"r.{keys[0]}")
@@ -37,7 +36,7 @@ def eager_join(left: DataFrame, right: DataFrame, keys: list[str], left_values:
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     n, m = F.col("l.n"), F.coalesce(F.col("r.n"), F.lit(0))
     return l.join(r, on, how).select(
-        *[F.col(f"l.{k}").alias(k) for k in [*keys, *(finer or [])]], n.alias("n"), m.alias("right_n"), (n * m).alias("joined_n"),
+        *[F.col(f"l.{k}").alias(k) for k in keys], n.alias("n"), m.alias("right_n"), (n * m).alias("joined_n"),
         *[F.col(f"l.{v}").alias(v) for v in left_values],
         *[(F.col(f"l.{v}") * m).alias(f"joined_{v}") for v in left_values],
         *[(F.coalesce(F.col(f"r.{v}"), F.lit(0)) * n).alias(f"joined_{v}") for v in right_values],
@@ -63,12 +62,16 @@ def outcome_states(records: DataFrame) -> DataFrame:
     return compact(pairs, ["field_name", "key_value"], sums={"total_size": F.col("size")}, counts={"found_n": F.col("found")})
 
 
-def request_states(inputs: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Compact states of what was asked for: input pairs per url and earlier-met urls per value."""
+def requests(inputs: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(field_name, key_value) of what was asked for: the urls of input pairs and the urls met earlier."""
     asked = inputs.select(F.lit("sourceurl").alias("field_name"), F.col("url").alias("key_value"))
     met = earlier.filter(F.col("key_kind") == "url").select(F.lit("docordataseturl").alias("field_name"), F.col("key_value"))
-    both = asked.unionByName(met).filter(~missing(F.col("key_value")))
-    return compact(both, ["field_name", "key_value"])
+    return asked.unionByName(met).filter(~missing(F.col("key_value")))
+
+
+def _totals(outcomes: DataFrame, asked: DataFrame) -> DataFrame:
+    j = eager_join(outcomes, asked, ["field_name", "key_value"], ["found_n", "total_size"], [], "left")
+    return j.withColumn("found_share", F.col("found_n") / F.col("n"))
 
 
 def totals(records: DataFrame, inputs: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -77,16 +80,17 @@ def totals(records: DataFrame, inputs: DataFrame, earlier: DataFrame) -> DataFra
     Missing values have no totals, an empty text has; malformed sizes add nothing; repeated rows count as rows;
     values without requests have 0; further columns do no harm; an empty table gives no rows.
     """
-    j = eager_join(outcome_states(records), request_states(inputs, earlier), ["field_name", "key_value"], ["found_n", "total_size"], [], "left")
-    return j.withColumn("found_share", F.col("found_n") / F.col("n"))
+    return _totals(outcome_states(records), compact(requests(inputs, earlier), ["field_name", "key_value"]))
 
 
-def hot(records: DataFrame, percent: int = 1) -> DataFrame:
-    """The values that hold more than ``percent`` percent of all rows of ``records``.
+def hot(records: DataFrame, inputs: DataFrame, earlier: DataFrame, percent: int = 1) -> DataFrame:
+    """``totals`` of the values that hold more than ``percent`` percent of all rows of ``records``, missing values among
+    these rows.
 
-    The states of the values are joined to the states of their fields (one row per field, so it may be broadcast),
-    whose count includes rows where the value is missing.  An empty table gives no rows.
+    A value can only qualify if its own state says so, which leaves fewer than 100/percent states a field to join; of the
+    requests only those of these values (broadcast, by that bound) are reduced to states.  An empty table gives no rows.
     """
-    fields = compact(records.select(F.explode(F.array(F.lit("sourceurl"), F.lit("docordataseturl"))).alias("field_name")), ["field_name"])
-    j = eager_join(outcome_states(records), F.broadcast(fields), ["field_name"], ["found_n", "total_size"], [], finer=["key_value"])
-    return j.filter(F.col("n") * 100 > F.col("right_n") * percent)
+    n_rows = records.agg(F.count(F.lit(1)).alias("n")).scalar()
+    heavy = outcome_states(records).filter(F.col("n") * 100 > n_rows * percent)
+    asked = requests(inputs, earlier).join(F.broadcast(heavy.select("field_name", "key_value")), ["field_name", "key_value"], "left_semi")
+    return _totals(heavy, compact(asked, ["field_name", "key_value"]))

@@ -37,14 +37,32 @@ def p2_errors(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Records per file and reason (NULL: valid) when the raw files, rebuilt in parts of 1000 line numbers, are read as such:
+    blank lines are no records there, and a quoted field may span lines."""
+    t = table(spark, d, "sample_input_raw").select("file_name", "line_format", "line_no", "line", F.floor(F.col("line_no") / 1000).alias("block"))
+    first = t.groupBy("file_name").agg(F.min("block").alias("first"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(F.coalesce(x["line"], F.lit("")), F.lit("\n")))
+    parts = t.groupBy("file_name", F.col("line_format").alias("file_format"), "block").agg(F.array_join(lines, "").alias("content"))
+    parts = parts.join(first, "file_name").withColumn("part_no", F.col("block") - F.col("first"))
+    return parse.read_parts(parts).groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return eager.hot(table(spark, d, "output_record")).select("field_name", "key_value")
+    return p6_hot(spark, d).select("field_name", "key_value")
+
+
+def p6_hot(spark: SparkSession, d: str) -> DataFrame:
+    """All totals of the hot values."""
+    return _named(eager.hot(table(spark, d, "output_record"), table(spark, d, "sample_input"), table(spark, d, "earlier_key")))
+
+
+def _named(t: DataFrame) -> DataFrame:
+    return t.select("field_name", "key_value", F.col("n").alias("n_rows"), "found_n", "found_share", "total_size", F.col("right_n").alias("n_requests"), "joined_n", "joined_total_size")
 
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:
-    return eager.totals(table(spark, d, "output_record"), table(spark, d, "sample_input"), table(spark, d, "earlier_key")).select(
-        "field_name", "key_value", F.col("n").alias("n_rows"), "found_n", "found_share", "total_size", F.col("right_n").alias("n_requests"), "joined_n", "joined_total_size"
-    )
+    return _named(eager.totals(table(spark, d, "output_record"), table(spark, d, "sample_input"), table(spark, d, "earlier_key")))
 
 
 def p6_by_provider(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +74,7 @@ def p6_by_provider(spark: SparkSession, d: str) -> DataFrame:
     return eager.roll_up(joined, ["provider"], ["joined_rows", "joined_ok"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_valid, p2_errors, p6_found, p6_totals, p6_by_provider)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_valid, p2_errors, p2_files, p6_found, p6_hot, p6_totals, p6_by_provider)}
 
 _SIZE = "regexp_full_match(filesize, '[1-9][0-9]{0,8}') AND TRY_CAST(filesize AS BIGINT) <= 536870912"
 
@@ -68,6 +86,18 @@ _CELLS = " UNION ALL ".join(f"SELECT load_id, '{s.name}' AS column_name, nullif(
 _OK = "CASE column_name " + " ".join(f"WHEN '{c}' THEN {f}" for c, f in _FORMS.items()) + " ELSE true END"
 _RANKS = {"min_value": "1", "q25": "ceil((n_rows - n_missing) * 0.25)", "q50": "ceil((n_rows - n_missing) * 0.5)", "q75": "ceil((n_rows - n_missing) * 0.75)", "max_value": "n_rows - n_missing"}
 
+_TOTALS = f"""
+WITH v AS (SELECT 'sourceurl' AS field_name, sourceurl AS key_value, * FROM output_record UNION ALL SELECT 'docordataseturl', docordataseturl, * FROM output_record),
+t AS (SELECT field_name, key_value, count(*) AS n_rows,
+  count(*) FILTER (wasdocumentordatasetaccessible = 'true' AND docordataseturl LIKE 'http%') AS found_n,
+  coalesce(sum(CASE WHEN {_SIZE} THEN TRY_CAST(filesize AS BIGINT) END), 0)::BIGINT AS total_size
+  FROM v WHERE key_value IS NOT NULL AND key_value <> 'null' GROUP BY ALL),
+r AS (SELECT field_name, key_value, count(*) AS n FROM (SELECT 'sourceurl' AS field_name, url AS key_value FROM sample_input
+  UNION ALL SELECT 'docordataseturl', key_value FROM earlier_key WHERE key_kind = 'url') GROUP BY ALL)
+SELECT field_name, key_value, n_rows, found_n, found_n / n_rows AS found_share, total_size, coalesce(r.n, 0) AS n_requests,
+  n_rows * coalesce(r.n, 0) AS joined_n, total_size * coalesce(r.n, 0) AS joined_total_size
+FROM t LEFT JOIN r USING (field_name, key_value)"""
+
 SQL = {
     "p1_profile": f"""WITH cell AS ({_CELLS}),
 f AS (SELECT *, v IS NULL AS gone, v IS NOT NULL AND NOT ({_OK}) AS broken FROM cell),
@@ -106,17 +136,8 @@ WHERE a.n > l.n AND abs(coalesce(p.n, 0)::HUGEINT * (a.n - l.n) - (t.n - coalesc
 WITH v AS (SELECT 'sourceurl' AS field_name, sourceurl AS key_value FROM output_record UNION ALL SELECT 'docordataseturl', docordataseturl FROM output_record)
 SELECT field_name, key_value FROM v WHERE key_value IS NOT NULL AND key_value <> 'null'
 GROUP BY ALL HAVING count(*) * 100 > (SELECT count(*) FROM output_record)""",
-    "p6_totals": f"""
-WITH v AS (SELECT 'sourceurl' AS field_name, sourceurl AS key_value, * FROM output_record UNION ALL SELECT 'docordataseturl', docordataseturl, * FROM output_record),
-t AS (SELECT field_name, key_value, count(*) AS n_rows,
-  count(*) FILTER (wasdocumentordatasetaccessible = 'true' AND docordataseturl LIKE 'http%') AS found_n,
-  coalesce(sum(CASE WHEN {_SIZE} THEN TRY_CAST(filesize AS BIGINT) END), 0)::BIGINT AS total_size
-  FROM v WHERE key_value IS NOT NULL AND key_value <> 'null' GROUP BY ALL),
-r AS (SELECT field_name, key_value, count(*) AS n FROM (SELECT 'sourceurl' AS field_name, url AS key_value FROM sample_input
-  UNION ALL SELECT 'docordataseturl', key_value FROM earlier_key WHERE key_kind = 'url') GROUP BY ALL)
-SELECT field_name, key_value, n_rows, found_n, found_n / n_rows AS found_share, total_size, coalesce(r.n, 0) AS n_requests,
-  n_rows * coalesce(r.n, 0) AS joined_n, total_size * coalesce(r.n, 0) AS joined_total_size
-FROM t LEFT JOIN r USING (field_name, key_value)""",
+    "p6_hot": f"SELECT * FROM ({_TOTALS}) WHERE n_rows * 100 > (SELECT count(*) FROM output_record)",
+    "p6_totals": _TOTALS,
     "p6_by_provider": """
 SELECT coalesce(provider, '(none)') AS provider, count(*) AS joined_rows, count(*) FILTER (wasdocumentordatasetaccessible = 'true') AS joined_ok
 FROM output_record o JOIN sample_input s ON s.url = o.sourceurl GROUP BY ALL""",

@@ -99,6 +99,57 @@ def test_recovery_at_record_starts():
     assert list(parse.read_buffer("", "csv")) == [] and list(parse.read_buffer(None, "csv")) == []
 
 
+def test_every_line_after_a_broken_quote_has_a_reason():
+    lines = [f'{ID},"{URL}', f"BAD{ID},{URL}", "12,x,y", f"{ID},{URL}", f'"{ID}', f'{ID}"', f"{ID},{URL}"]
+    got = [r.reason for r in parse.read_buffer("\n".join(lines), "csv")]
+    # RFC 4180 lets the fifth field span two lines
+    assert got == ["broken_quoting", "invalid_value", "column_count", None, "column_count", None]
+    starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+    assert [r.reason for r in parse.read_buffer("\n".join(lines), "csv", starts)] == [parse.read_line(x, "csv").reason for x in lines]
+
+
+FILE = "file_name string, file_format string, part_no int, content string, body string"
+
+
+def cut_rows(name, kind, text, cuts):
+    at = [0, *sorted(set(cuts)), len(text)]
+    return [(name, kind, k, text[i:j], "x") for k, (i, j) in enumerate(zip(at, at[1:]))]
+
+
+def test_parts_read_as_the_whole_file(spark):
+    good = f"{ID},{URL}"
+    text = "\n".join([good, f'"{ID}","{URL}"', f'{ID},"{URL}', "12,x,y", good, "", f'{ID},"a\nb"', good + "\r", f"{ID}x", f'"{ID}",{URL}"', good]) + "\n"
+    js = "\n".join([j({"id": ID, "url": URL}), '{"id":"' + ID, "", j({"url": URL, "id": ID}), "x" * 300, j({"id": ID, "url": URL})])
+    rows, want = [], {}
+    for kind, t in (("csv", text), ("tsv", text.replace(",", "\t")), ("jsonl", js)):
+        for step in (7, 40, 61, 97, 150, 333, 10_000):
+            name = f"{kind}{step}"
+            rows += cut_rows(name, kind, t, range(step, len(t), step))
+            want[name] = sorted((r.start, r.id, r.url, r.reason, r.at) for r in parse.read_buffer(t, kind))
+    got = {}
+    for r in parse.read_parts(spark.createDataFrame(rows, FILE).repartition(5)).collect():
+        got.setdefault(r.file_name, []).append((r.start_at, r.id, r.url, r.reason, r.error_at))
+    assert {k: sorted(v) for k, v in got.items() if int(k.strip("cstvjonl")) > 90} == {k: v for k, v in want.items() if int(k.strip("cstvjonl")) > 90}
+    # parts shorter than a record start can't see one: valid records stay, and nothing goes without a reason
+    for k, v in want.items():
+        assert {x[:3] for x in v if x[3] is None} <= {x[:3] for x in got[k] if x[3] is None}
+
+
+def test_parts_of_whole_tables(spark):
+    """Files rebuilt from their lines and cut into parts give the records of their lines."""
+    from pyspark.sql import functions as F
+
+    t = table(spark, "/root/testdata/sf0.01", "sample_input_raw")
+    lines = t.withColumn("part_no", F.floor(F.col("line_no") / 211)).groupBy("file_name", "line_format", "part_no")
+    parts = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("content"))
+    w = __import__("pyspark").sql.Window.partitionBy("file_name").orderBy("part_no")
+    parts = parts.withColumn("part_no", F.row_number().over(w) - 1).withColumnRenamed("line_format", "file_format")
+    count = lambda df: {(r.file_name, r.reason): r.n for r in df.groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blank = t.filter("trim(line) = ''").count()
+    a, b = count(parse.read_parts(parts)), count(parse.read_lines(t))
+    assert sum(a.values()) == sum(b.values()) - blank and {k: v for k, v in a.items() if k[1] is None} == {k: v for k, v in b.items() if k[1] is None}
+
+
 def test_files_and_tables(spark):
     f = spark.createDataFrame([("a.csv", "csv", f"{ID},{URL}\n{ID},bad\n", 1), ("b.csv", "csv", None, 2)], "file_name string, file_format string, content string, record_no int")
     assert [(r.record_no, r.reason, r.error_at) for r in parse.read_files(f).orderBy("record_no").collect()] == [(0, None, None), (1, "invalid_value", len(f"{ID},{URL}\n"))]
