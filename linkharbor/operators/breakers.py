@@ -60,11 +60,13 @@ def all_blocks(events: DataFrame, thresholds: dict[str, int] | None = None, path
     each other before the first one opens and each can be computed by itself.
     """
     t = thresholds or THRESHOLDS
-    parts = [blocked(events, k, n).select("domain", "kind", "block_seq") for k, n in t.items()]
-    parts += [blocked_by_paths(events, path_threshold, paths), blocked_now(events)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kind = F.col("kind")
+    rows = events.filter(kind.isin(*t, "ok_doc", "block_now") & F.col("domain").isNotNull() & ~F.col("domain").isin(*NEVER)).select("seq", "domain", "kind")
+    c = running(rows, ["domain"], "seq", {k: (kind == k).cast("int") for k in (*t, "ok_doc")})  # all counters in one pass
+    opens = kind == "block_now"
+    for k, n in t.items():
+        opens = opens | ((kind == k) & (F.col(k) > F.col("ok_doc") + n))
+    out = c.filter(opens).select("domain", F.col("seq").alias("block_seq"), "kind").unionByName(blocked_by_paths(events, path_threshold, paths))
     return out.groupBy("domain").agg(F.min(F.struct("block_seq", "kind")).alias("x")).select("domain", "x.kind", "x.block_seq")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, urls
-from .scale import first_by_key, lookup
+from .scale import first_by_key, lookup, lookup_small
 
 MAX_PATHS = 5
 
@@ -39,7 +39,9 @@ def predicted(pages: DataFrame, model: DataFrame, links: DataFrame) -> DataFrame
     i = urls.doc_id(F.col("page_url"))
     bare = F.when(filters.plain_page(F.lower(i)), F.regexp_replace(i, r"\.[^._-]+$", "")).otherwise(i)
     p = pages.select("page_url", urls.path(F.col("page_url")).alias("page_path"), bare.alias("i")).filter("page_path is not null and i is not null")
-    made = p.join(model, "page_path").select("page_url", F.concat("doc_path", "i", F.coalesce("extension", F.lit(""))).alias("predicted"))
+    per = model.groupBy("page_path").agg(F.collect_list(F.struct("doc_path", "extension")).alias("m__"))  # five at most
+    made = lookup_small(p, per, ["page_path"], "inner").select("page_url", "i", F.explode("m__").alias("m__"))
+    made = made.select("page_url", F.concat("m__.doc_path", "i", F.coalesce("m__.extension", F.lit(""))).alias("predicted"))
     return made.join(links.select("page_url", F.col("link").alias("predicted")).distinct(), ["page_url", "predicted"], "left_semi")
 
 
@@ -51,7 +53,7 @@ def learned_structures(found_links: DataFrame) -> DataFrame:
 def structure_predictions(elements: DataFrame, model: DataFrame) -> DataFrame:
     """First element of each page whose structure the page's path has led to before: (page_key, pos, link)."""
     e = elements.withColumn("page_path", urls.path(F.col("page_url")))
-    hit = e.join(model.select("page_path", "structure"), ["page_path", "structure"], "left_semi")
+    hit = lookup_small(e, model.select("page_path", "structure"), ["page_path", "structure"], "left_semi")
     return first_by_key(hit, ["page_key"], "pos", ["link", "structure"])
 
 

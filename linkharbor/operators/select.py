@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import filters, urls
-from .scale import first_by_key
+from ..shared import materialize
+from .scale import first_by_key, lookup, lookup_small
 
 _DEFAULT = Config()
 
@@ -56,19 +57,24 @@ def progress_percent(batch: Column, total_rows: Column, size: int = 3000) -> Col
 def checked(pairs: DataFrame, config: Config = _DEFAULT, blacklisted: DataFrame | None = None, blocked_paths: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Input acceptance in order: domain, blacklist, blocked path, address form, token removal, duplicate, rewrites.
 
-    Adds ``clean_url`` and ``reject`` (NULL if accepted).  ``blacklisted`` (domain), ``blocked_paths`` (domain,
-    path) and ``seen`` (url) hold distinct rows; each is one left join whose strategy the optimizer chooses by size.
+    Adds ``domain``, ``clean_url`` and ``reject`` (NULL if accepted).  ``blacklisted`` (domain), ``blocked_paths``
+    (domain, path) and ``seen`` (url) hold distinct rows.  All of this depends on the url alone, so it is decided once per
+    distinct url and looked up by the rows.  A NULL url has no domain.
     """
-    rows = pairs.select("*", urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"), urls.strip_temporal_id(F.col("url")).alias("bare__"))
+    u = F.col("url")
+    rows = pairs.select("url").filter(u.isNotNull()).distinct().select("url", urls.domain(u).alias("domain"), urls.path(u).alias("path__"), urls.strip_temporal_id(u).alias("bare__"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    for table, keys, name in ((blacklisted, ["domain"], "black__"), (blocked_paths, ["domain", "path"], "path__")):
-        rows = rows.join(table.withColumn(name, F.lit(True)), keys, "left") if table is not None else rows.withColumn(name, F.lit(False))
-    rows = rows.join(seen.select(F.col("url").alias("bare__"), F.lit(True).alias("dup__")), "bare__", "left") if seen is not None else rows.withColumn("dup__", F.lit(False))
+    sides = (("black__", ["domain"], blacklisted), ("path__on", ["domain", "path__"], blocked_paths and blocked_paths.select("domain", F.col("path").alias("path__"))), ("dup__", ["bare__"], seen and seen.select(u.alias("bare__"))))
+    for name, keys, side in sides:
+        rows = lookup_small(rows, side.withColumn(name, F.lit(True)), keys) if side is not None else rows.withColumn(name, F.lit(False))
     reject = (
-        F.when(F.col("domain").isNull(), "no domain").when(flag("black__"), "blacklisted").when(flag("path__"), "blocked path")
-        .otherwise(F.coalesce(filters.reject_reason(F.col("url"), config), F.when(flag("dup__"), "duplicate")))
+        F.when(F.col("domain").isNull(), "no domain").when(flag("black__"), "blacklisted").when(flag("path__on"), "blocked path")
+        .otherwise(F.coalesce(filters.reject_reason(u, config), F.when(flag("dup__"), "duplicate")))
     )
-    return rows.select(*pairs.columns, "domain", urls.rewrite_handle(F.col("bare__")).alias("clean_url"), reject.alias("reject"))
+    # written once, for the lookup reads it twice and the patterns are dear
+    decided = materialize(rows.select("url", "domain", urls.rewrite_handle(F.col("bare__")).alias("clean_url"), reject.alias("reject")))
+    out = lookup(pairs, decided, ["url"])
+    return out.select(*pairs.columns, "domain", "clean_url", F.when(u.isNull(), "no domain").otherwise(F.col("reject")).alias("reject"))
 
 
 def best_urls(accepted: DataFrame, config: Config = _DEFAULT, by: str = "id") -> DataFrame:
@@ -112,7 +118,7 @@ def skipped(pairs: DataFrame, chosen: DataFrame, logged: DataFrame | None = None
 
 def next_best(accepted: DataFrame, failed: DataFrame, config: Config = _DEFAULT) -> DataFrame:
     """The next choice of ids whose chosen url failed: the same selection without the failed urls."""
-    again = accepted.join(failed.select("id").distinct(), "id", "left_semi").join(failed.select("seq"), "seq", "left_anti")
+    again = lookup(accepted, failed.select("id").distinct(), ["id"], "left_semi").join(failed.select("seq"), "seq", "left_anti")
     return best_urls(again, config)
 
 

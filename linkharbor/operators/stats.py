@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.outcomes import percent
 from ..shared import missing
+from .scale import previous
 
 # Log lines and what is searched in them.
 LOG_LINE = r"^(.*)\s(?:INFO|DEBUG|WARN|ERROR).*$"
@@ -63,26 +64,33 @@ def average_of_sorted(values: Column) -> Column:
     return F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
 
 
+def sorted_means(df: DataFrame, keys: list[str], value: str, slices: int = 64) -> DataFrame:
+    """(*keys, mean): means of values summed from small to large, also where a key has too many for one task.
+
+    Values are cut into slices by their hash, each slice is summed in order, and the slices' sums are added in order.
+    """
+    part = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(slices)).alias("slice__"), F.col(value).alias("v__")).agg(F.count(F.lit(1)).alias("n__"))
+    sums = part.groupBy(*keys, "slice__").agg(F.array_sort(F.collect_list(F.struct("v__", "n__"))).alias("vs__"), F.sum("n__").alias("n__"))
+    sums = sums.select(*keys, "n__", F.aggregate("vs__", F.lit(0.0), lambda a, x: a + x["v__"] * x["n__"]).alias("s__"))
+    per = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("s__")).alias("ss__"), F.sum("n__").alias("n__"))
+    return per.select(*keys, (F.aggregate("ss__", F.lit(0.0), lambda a, x: a + x) / F.col("n__")).alias("mean"))
+
+
 def success_rate(hits: Column, tries: Column) -> Column:
     return hits * 100.0 / F.nullif(tries, F.lit(0))
 
 
-def politeness(requests: DataFrame, target_ms: int = 5000, block_rows: str | None = None) -> DataFrame:
+def politeness(requests: DataFrame, target_ms: int = 5000) -> DataFrame:
     """``requests`` (seq, domain, ts) with ``gap_ms`` since the site's previous request (-1: none) and the ``delay_ms`` owed.
 
     Delay: none for the first request and for gaps from 3 s on, else the target minus the gap (a fixed target where
-    a random one between 3 and 7 s would not repeat).  The previous request is looked up inside time blocks of an
-    hour first, so a hot site is no single task: only the first request of a block needs the end of the block before.
+    a random one between 3 and 7 s would not repeat).  The previous request is looked up in blocks of an hour, so a hot
+    site is no single task.
     """
     site = F.coalesce(urls.top_three_levels(F.col("domain")), F.lit(""))
     rows = requests.select("*", site.alias("site"), F.date_trunc("hour", F.col("ts")).alias("hour__"))
-    w = Window.partitionBy("site", "hour__").orderBy("ts", "seq")
-    ends = rows.groupBy("site", "hour__").agg(F.max("ts").alias("end__"))
-    ends = ends.select("site", "hour__", F.lag("end__").over(Window.partitionBy("site").orderBy("hour__")).alias("before__"))
-    a = rows.withColumn("prev__", F.lag("ts").over(w))
-    j = a.join(ends, ["site", "hour__"], "left")
-    prev = F.coalesce(F.col("prev__"), F.col("before__"))
-    gap = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1000).cast("bigint")
+    j = previous(rows, ["site"], "hour__", ["ts", "seq"], "ts", "prev__")
+    gap = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev__").cast("timestamp"))) / 1000).cast("bigint")
     return j.select(*requests.columns, "site", F.coalesce(gap, F.lit(-1)).alias("gap_ms")).withColumn(
         "delay_ms", F.when(F.col("gap_ms").between(0, MIN_DELAY_MS - 1), F.lit(target_ms) - F.col("gap_ms")).otherwise(0).cast("bigint")
     )
@@ -101,15 +109,15 @@ def log_time(line: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(line, LOG_LINE, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
 
 
-def log_gaps(lines: DataFrame, seconds: int = LOG_GAP_SECONDS) -> DataFrame:
+def log_gaps(lines: DataFrame, seconds: int = LOG_GAP_SECONDS, block_lines: int = 10_000) -> DataFrame:
     """Lines (file_name, line_no, line) whose time is more than ``seconds`` off the previous timed line of the file.
 
-    A log file is one ordered unit that fits one task; many files spread over tasks.
+    The previous line is looked up in blocks of line numbers, so a file with a third of all lines is no single task.
     """
-    t = lines.withColumn("ts", log_time(F.col("line"))).filter("ts is not null")
-    w = Window.partitionBy("file_name").orderBy("line_no")
-    gap = F.abs(F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w)))
-    return t.select("file_name", "line_no", "ts", gap.alias("gap_ms")).filter(F.col("gap_ms") > seconds * 1000)
+    t = lines.withColumn("ts", log_time(F.col("line"))).filter("ts is not null").withColumn("block__", F.floor(F.col("line_no") / block_lines))
+    p = previous(t.select("file_name", "line_no", "ts", "block__"), ["file_name"], "block__", ["line_no"], "ts", "prev__")
+    gap = F.abs(F.unix_millis("ts") - F.unix_millis("prev__"))
+    return p.select("file_name", "line_no", "ts", gap.alias("gap_ms")).filter(F.col("gap_ms") > seconds * 1000)
 
 
 def elapsed(start: Column, end: Column) -> Column:

@@ -64,8 +64,8 @@ def _accepted(spark: S, d: str) -> D:
 def input_acceptance(spark: S, d: str) -> D:
     """FLT22: pairs per reason they are not followed."""
     t = table(spark, d, "sample_input").select("seq", "id", "url")
-    black = breakers.all_blocks(table(spark, d, "domain_event")).select("domain")
-    paths = breakers.blocked_paths(table(spark, d, "domain_event")).select("domain", "path")
+    black = materialize(breakers.all_blocks(table(spark, d, "domain_event")).select("domain"))
+    paths = materialize(breakers.blocked_paths(table(spark, d, "domain_event")).select("domain", "path"))
     return select.checked(t, blacklisted=black, blocked_paths=paths).groupBy("reject").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -127,21 +127,21 @@ def recrossed_urls(spark: S, d: str) -> D:
 def anti_duplicate(spark: S, d: str) -> D:
     """JN2: input pairs whose url was not already unreachable in an outcome."""
     seen = table(spark, d, "output_record").filter("docordataseturl = 'unreachable'").select(F.col("sourceurl").alias("url"))
-    return table(spark, d, "sample_input").select("seq", "url").join(seen.distinct(), "url", "left_anti").select("seq")
+    return scale.lookup_small(table(spark, d, "sample_input").select("seq", "url"), seen.distinct(), ["url"], "left_anti").select("seq")
 
 
 def anti_blacklist(spark: S, d: str) -> D:
     """JN3: pairs outside blocked domains."""
     black = breakers.all_blocks(table(spark, d, "domain_event")).select("domain")
     t = table(spark, d, "sample_input").select("seq", urls.domain(F.col("url")).alias("domain"))
-    return t.join(black, "domain", "left_anti").select("seq")
+    return scale.lookup_small(t, materialize(black), ["domain"], "left_anti").select("seq")
 
 
 def anti_403_path(spark: S, d: str) -> D:
     """JN4: pairs outside blocked paths."""
-    p = breakers.blocked_paths(table(spark, d, "domain_event"), 3).select("domain", "path")
+    p = materialize(breakers.blocked_paths(table(spark, d, "domain_event"), 3).select("domain", "path"))
     t = table(spark, d, "sample_input").select("seq", urls.domain(F.col("url")).alias("domain"), urls.path(F.col("url")).alias("path"))
-    return t.join(p, ["domain", "path"], "left_anti").select("seq")
+    return scale.lookup_small(t, p, ["domain", "path"], "left_anti").select("seq")
 
 
 def known_mime(spark: S, d: str) -> D:
@@ -389,7 +389,7 @@ def sorted_average(spark: S, d: str) -> D:
     e = _events(spark, d).filter("domain is not null")
     g = e.groupBy("domain", F.floor(F.col("seq") / 1000).alias("block")).agg(F.count(F.when(F.col("kind") == "ok_doc", 1)).alias("hits"), F.count(F.lit(1)).alias("tries"))
     r = g.select("domain", "block", stats.success_rate(F.col("hits"), F.col("tries")).alias("rate"))
-    return r.groupBy("domain").agg(F.round(stats.average_of_sorted(F.collect_list("rate")), 6).alias("mean_rate"))
+    return stats.sorted_means(r, ["domain"], "rate").select("domain", F.round("mean", 6).alias("mean_rate"))
 
 
 def elapsed_time(spark: S, d: str) -> D:

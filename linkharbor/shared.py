@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side may be broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+#: A side may be broadcast only if it was measured and has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -63,13 +63,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else None (then join by shuffle)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``df`` with a broadcast hint if it was measured to have at most so many rows and bytes, else None (then join by
+    shuffle)."""
+    width = F.lit(0)
+    for c in df.columns:
+        width = width + 16 + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else None
 
 
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast after a size check; otherwise left to the optimizer."""
+    """Broadcast after its rows and bytes were measured; otherwise left to the optimizer."""
     found = bounded(df, rows)
     return df if found is None else found
 
