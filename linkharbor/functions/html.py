@@ -215,7 +215,10 @@ def element_decisions(el: DataFrame, config: Config = _DEFAULT) -> DataFrame:
     s1 = el.select("*", href_or_data().alias("link__"), form_target(config).alias("form__"), F.lower(F.trim("text")).alias("text__"), F.lower(F.trim("title")).alias("title__"))
     aim = F.coalesce(F.when(_blank(F.col("link__")), F.col("form__")), F.col("link__"))
     s2 = s1.select("*", F.coalesce(urls.resolve_simple(page, aim), aim).alias("aim__"), F.lower("link__").alias("low__"))
-    s3 = s2.select("*", F.coalesce(filters.accept_internal_link(F.col("aim__"), config), F.lit(True)).alias("fits__"), filters.target_candidate(F.col("low__"), config).alias("wanted__"))
+    # the dear patterns run only where a check asks for their answer
+    kinds = F.col("type").isin(*document_mimes(config))
+    asks = filters.document_text(F.col("text__")) | filters.document_text(F.col("title__")) | kinds | (_blank(F.col("link__")) & F.col("form__").isNotNull())
+    s3 = s2.select("*", F.when(asks, F.coalesce(filters.accept_internal_link(F.col("aim__"), config), F.lit(True))).alias("fits__"), F.when(F.col("low__").contains("#"), filters.target_candidate(F.col("low__"), config)).alias("wanted__"))
     link, low, fits = F.col("link__"), F.col("low__"), F.col("fits__")
     bad_place = (
         filters.cross_domain_state(F.col("cls"), F.col("href"), page) | ((F.col("parent_text") != "") & filters.not_a_document(F.lower("parent_text"))) | filters.bad_ancestors(F.col("ancestors"))
@@ -226,7 +229,7 @@ def element_decisions(el: DataFrame, config: Config = _DEFAULT) -> DataFrame:
         named = F.when(F.coalesce(link, F.lit("")) == "", "skip").when(low.startswith("javascript:"), "skip").when(fits, "found").otherwise("invalid")
         return F.when(t == "", None).when(filters.not_a_document(t), "skip").when(filters.document_text(t), named)
 
-    typed = F.when(F.col("type").isin(*document_mimes(config)), F.when(_blank(F.col("href")) | ~fits, "invalid").otherwise("found"))
+    typed = F.when(kinds, F.when(_blank(F.col("href")) | ~fits, "invalid").otherwise("found"))
     by_word = F.coalesce(worded(F.col("text__")), worded(F.col("title__")), typed) if config.documents else F.lit(None).cast("string")
     s4 = s3.select("*", F.coalesce(bad_place, F.lit(False)).alias("bad__"), by_word.alias("word__"), F.regexp_extract("link__", P.full(P.SCRIPT_PDF_LINK), 1).alias("script__"))
     gathered = (

@@ -206,9 +206,15 @@ def _decode_unreserved(s: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def normalize(urls: pd.Series) -> pd.Series:
-    """Canonical form of each url; NULL where it has none."""
-    return urls.map(normalize_text)
+def _normalize(urls: pd.Series) -> pd.Series:
+    return urls.map(normalize_text, na_action="ignore")
+
+
+def normalize(c: Column | str) -> Column:
+    """Canonical form of each url; NULL where it has none.  Plain addresses are canonical as they are and stay out of Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = c.rlike(r"\Ahttps?://[a-z0-9.-]+(?:/[A-Za-z0-9/_~-]*(?:\.[A-Za-z0-9/_~-]+)*)?\z") & ~c.contains("/./") & ~c.contains("/../")
+    return F.when(plain, F.when(c.rlike(r"\Ahttps?://[^/]+\z"), F.concat(c, F.lit("/"))).otherwise(c)).otherwise(_normalize(F.when(~plain, c)))
 
 
 def resolve_text(base: str | None, link: str | None) -> str | None:
@@ -224,25 +230,41 @@ def resolve_text(base: str | None, link: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
-    """A link made absolute against its page; a link of parameters only is appended to the page's url."""
+def resolve_exact(base: pd.Series, link: pd.Series) -> pd.Series:
+    """``resolve`` in Python only."""
     return pd.Series([resolve_text(b, x) for b, x in zip(base, link)], dtype=object)
 
 
+def resolve(base: Column, link: Column) -> Column:
+    """A link made absolute against its page; a link of parameters only is appended to the page's url.
+
+    What ``resolve_simple`` knows stays out of Python."""
+    simple = resolve_simple(base, link)
+    return F.coalesce(simple, resolve_exact(F.when(simple.isNull(), base), F.when(simple.isNull(), link)))
+
+
 def resolve_simple(base: Column, link: Column) -> Column:
-    """The common cases of ``resolve`` as built-in expressions: absolute, rooted, parameters, and relative
-    links without dot segments; NULL for the rest."""
+    """The common cases of ``resolve`` as built-in expressions: parameters, and absolute, rooted and relative links in plain
+    characters without dot segments or empty endings; NULL for the rest."""
     x = repair_ampersands(link)
+    plain = ~x.rlike(r"(?:^|/)\.\.?(?:[/?#]|$)|[^\x21-\x7e]|[?#;\\]$|[?#][?#]|;|[\[\]]") & (x != "")
+    place = F.regexp_replace(base, r"[?#].*$", "")
+    on_host = plain & base.rlike(r"^https?://[a-z0-9.:-]+(?:[/?#]|$)")
+    in_folder = on_host & ~place.rlike(r"/\.\.?(?:/|$)|;|[^\x21-\x7e]") & ~x.contains(":") & ~x.startswith("#")
     root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(https?://[^/]+(?:/.*)?/)", 1)
-    folder = F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder)
+    folder = F.coalesce(F.nullif(F.regexp_extract(place, r"^(https?://[^/]+(?:/.*)?/)", 1), F.lit("")), F.concat(root, F.lit("/")))
     return (
-        F.when(x.startswith("?"), F.concat(base, x)).when(x.rlike("^https?://"), x).when(x.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), x))
-        .when(x.startswith("/"), F.concat(root, x)).when(~x.contains("./") & ~x.contains(":") & ~x.startswith("#"), F.concat(folder, x))
+        F.when(x.startswith("?"), F.concat(base, x)).when(x.rlike("^https?://"), F.when(plain, x)).when(x.startswith("//"), F.when(on_host, F.concat(F.regexp_extract(base, "^(https?:)", 1), x)))
+        .when(x.startswith("/"), F.when(on_host, F.concat(root, x))).when(in_folder, F.concat(folder, x))
     )
 
 
 @F.pandas_udf(StringType())
-def ascii_encode(urls: pd.Series) -> pd.Series:
-    """Percent-encode characters outside ASCII and blanks before a request."""
+def _ascii_encode(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: None if u is None else quote(u, safe="%/:=&?~#+!$,;'@()*[]-._"))
+
+
+def ascii_encode(c: Column) -> Column:
+    """Percent-encode characters outside ASCII and blanks before a request; addresses without any stay out of Python."""
+    plain = c.rlike(r"\A[A-Za-z0-9%/:=&?~#+!$,;'@()*\[\]._-]*\z")
+    return F.when(plain, c).otherwise(_ascii_encode(F.when(~plain, c)))

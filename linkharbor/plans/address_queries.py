@@ -99,7 +99,7 @@ def link_resolve(spark: S, d: str) -> D:
     t = table(spark, d, "output_record").filter("pageurl is not null and pageurl <> 'null'").select("record_id", F.lower(F.regexp_replace("pageurl", r"[^\x21-\x7e]", "")).alias("page"))
     link = _links()
     good = F.col("page").rlike("^https?://[a-z0-9.-]+/[^?#]*$")
-    return t.filter(good).select("record_id", urls.resolve_simple(F.col("page"), link).alias("target"), (urls.resolve(F.col("page"), link) == urls.resolve_simple(F.col("page"), link)).alias("agrees"))
+    return t.filter(good).select("record_id", urls.resolve(F.col("page"), link).alias("target"), (urls.resolve_exact(F.col("page"), link) == urls.resolve(F.col("page"), link)).alias("agrees"))
 
 
 def link_resolve_all(spark: S, d: str) -> D:
@@ -201,8 +201,9 @@ def filter_lookaround(spark: S, d: str) -> D:
 
 
 def reject_reasons(spark: S, d: str) -> D:
-    """FLT1: rows per reason."""
-    return _urls(spark, d).groupBy(filters.reject_reason(F.col("u")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """FLT1: rows per reason, decided once per distinct url."""
+    per = _urls(spark, d).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(filters.reject_reason(F.col("u")).alias("reason")).agg(F.sum("n").alias("n_rows"))
 
 
 def accepted_links(spark: S, d: str) -> D:

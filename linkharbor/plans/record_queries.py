@@ -433,7 +433,10 @@ def _pages(spark: S, d: str) -> D:
         .otherwise(F.concat(F.lit('<p>see<li><a href="'), target, F.lit('">the paper</a><li><a href="/item/'), F.col("record_id").cast("string"), F.lit('/more">more</a>')))
     )
     body = F.concat(F.lit("<html><head>"), meta, F.lit("</head><body><div class=main>"), link, F.lit("</div></body></html>"))
-    return table(spark, d, "output_record").select(F.col("record_id").alias("page_id"), page.alias("url"), body.alias("html"))
+    # the keys are spread before the pages are made of them, for parsing pages is what takes time
+    keys = table(spark, d, "output_record").select("record_id", "sourceurl").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a stored snapshot, as pages are
+    return materialize(keys.select(F.col("record_id").alias("page_id"), page.alias("url"), body.alias("html")))
 
 
 def html_meta(spark: S, d: str) -> D:
@@ -493,7 +496,7 @@ def _resources(spark: S, d: str) -> D:
     t = r.select("record_id", F.explode(F.array(F.concat(F.lit("https://"), "dom", F.lit("/files/"), s, F.lit(".pdf")), F.concat(F.lit("https://e.org/m/"), s, F.lit(".pdf")), F.concat(F.lit("https://e.org/files/"), s, F.lit(".pdf")))).alias("url")).distinct()
     ok = F.pmod("record_id", F.lit(3)) != 0
     h = F.create_map(F.lit("content-type"), F.array(F.lit("application/pdf")))
-    return t.select("url", F.lit("GET").alias("method"), F.when(ok, 200).otherwise(404).alias("status"), h.alias("headers"), F.col("url").alias("final_url"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("error_kind"))
+    return materialize(t.select("url", F.lit("GET").alias("method"), F.when(ok, 200).otherwise(404).alias("status"), h.alias("headers"), F.col("url").alias("final_url"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("error_kind")))
 
 
 def crawl_outcomes(spark: S, d: str) -> D:
