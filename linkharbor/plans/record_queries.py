@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import filters, html, mime, outcomes, urls
-from ..operators import breakers, files, learned, output, pages, scale, select, stats
+from ..operators import breakers, files, learned, output, pages, pipeline, scale, select, stats
 from ..shared import materialize, missing, table
 from ..sources import inputs
 from .address_queries import _did, _dom, _pth, _q
@@ -504,6 +504,41 @@ def crawl_outcomes(spark: S, d: str) -> D:
     return pages.crawl(_pages(spark, d), _resources(spark, d)).select("page_key", "outcome", "target_url", "mime_type")
 
 
+_RUN_KEYS = ("id", "sourceUrl", "pageUrl", "docOrDatasetUrl", "wasUrlChecked", "wasUrlValid", "wasDocumentOrDatasetAccessible", "wasDirectLink", "couldRetry", "mimeType", "filePath", "error")
+
+
+def _site_rows(spark: S, d: str) -> tuple[D, D]:
+    """Pairs of the input on fifty invented hosts, two rows to an item, and a snapshot in which the host decides how an item
+    answers: a file, an error, a page with a named link, a redirect, a page with metadata, an empty page, a refusal, no
+    answer, a restricted page, or an image."""
+    t = table(spark, d, "sample_input").select("seq", "id", F.floor(F.col("seq") / 2).cast("string").alias("i"), F.pmod(F.floor(F.col("seq") / 2), F.lit(50)).cast("int").alias("h"))
+    host = F.concat(F.lit("https://h"), F.col("h").cast("string"), F.lit(".example.org"))
+    pairs = t.select("seq", "id", F.concat(host, F.lit("/item/"), "i").alias("url"))
+    k = F.col("h") % 10
+    page = lambda head, body: F.concat(F.lit("<html><head>"), head, F.lit("</head><body><div class=main>"), body, F.lit("</div></body></html>")).cast("binary")
+    html_ = (
+        F.when(k == 2, page(F.lit(""), F.concat(F.lit('<a href="/files/'), "i", F.lit('.pdf">PDF</a>')))).when(k == 4, page(F.concat(F.lit('<meta name="citation_pdf_url" content="'), host, F.lit("/m/"), "i", F.lit('.pdf">')), F.lit("x")))
+        .when(k == 5, page(F.lit(""), F.lit("nothing"))).when(k == 8, page(F.lit('<meta name="DC.Rights" content="restricted access">'), F.lit("x")))
+    )
+    status = F.when(k == 1, F.when(F.col("h").isin(11, 31), 500).otherwise(404)).when(k == 3, 301).when(k == 6, 403).when(k == 7, None).otherwise(200)
+    kind = F.when(k == 0, "application/pdf").when(k == 9, "image/gif").otherwise("text/html; charset=utf-8")
+    heads = F.create_map(F.lit("content-type"), F.array(kind), F.lit("location"), F.array(F.concat(F.lit("/moved/"), "i")))
+    items = t.select("i", "h").distinct()
+    row = lambda url, status, heads, body, error: F.struct(url.alias("url"), F.lit("GET").alias("method"), status.cast("int").alias("status"), heads.alias("headers"), url.alias("final_url"), body.alias("body"), error.alias("error_kind"))
+    none = F.lit(None).cast("binary")
+    file = row(F.concat(host, F.when(k == 2, "/files/").when(k == 3, "/moved/").otherwise("/m/"), "i", F.when(k != 3, ".pdf").otherwise("")), F.lit(200), F.create_map(F.lit("content-type"), F.array(F.lit("application/pdf"))), none, F.lit(None).cast("string"))
+    own = row(F.concat(host, F.lit("/item/"), "i"), status, heads, html_, F.when(k == 7, "timeout"))
+    return pairs, materialize(items.select(F.explode(F.array_compact(F.array(own, F.when(k.isin(2, 3, 4), file)))).alias("r")).select("r.*"))
+
+
+def run_records(spark: S, d: str) -> D:
+    """The whole run: MAC1, MAC4, MAC9-12, HT13-16, CB1-7, JN1-4, SNK1-2, from pairs to JSON records, which are read again."""
+    pairs, resources = _site_rows(spark, d)
+    j = output.json_lines(output.records(pipeline.run(pairs, resources)))
+    m = F.from_json("value", "map<string,string>")
+    return j.select(*[m[x].alias(x) for x in _RUN_KEYS])
+
+
 def redirect_chains(spark: S, d: str) -> D:
     """MAC10, LM4: addresses followed over at most seven redirects; number n leads to n + 1 but for multiples of ten."""
     t = table(spark, d, "sample_input").select("seq", F.concat(F.lit("u"), F.col("seq").cast("string")).alias("url"))
@@ -580,7 +615,7 @@ _NAMES = (
     batch_progress, recrossed_urls, anti_duplicate, anti_blacklist, anti_403_path, known_mime, hash_dedup, mime_classify, mime_plain, body_sniff, retry_classify, status_action, outcome_flags, output_json,
     file_md5_size, file_number, file_dup_suffix, file_dup_suffix_all, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff,
     prediction_breaker, model_phases, run_statistics, run_statistics_by_load, domain_hits, domains_by_connections, politeness_delay, log_counts, log_gaps, sorted_average, elapsed_time, learned_paths,
-    path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, redirect_chains, best_sites, failed_tasks, error_rows, outcome_union,
+    path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, run_records, redirect_chains, best_sites, failed_tasks, error_rows, outcome_union,
     request_methods, mime_table, page_mimes, link_rules,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -670,6 +705,20 @@ UNION ALL SELECT record_id::VARCHAR, url, CASE WHEN {_CAND} THEN 'candidate' ELS
     "crawl_outcomes": f"""WITH {_PG}, o AS (SELECT *, CASE WHEN k = 1 THEN 'restricted' WHEN k = 4 THEN 'domain blocked' WHEN k IN (3, 7) OR record_id % 3 = 0 THEN 'no link' ELSE 'found' END AS outcome FROM pg)
 SELECT record_id::VARCHAR AS page_key, outcome, CASE WHEN outcome = 'found' THEN CASE k WHEN 0 THEN 'https://e.org/m/' WHEN 6 THEN 'https://e.org/files/' ELSE 'https://' || dm || '/files/' END || record_id || '.pdf' END AS target_url,
   CASE WHEN outcome = 'found' THEN 'application/pdf' END AS mime_type FROM o""",
+    "run_records": """WITH p AS (SELECT seq, id, seq // 2 AS i, (seq // 2) % 50 AS h, 'https://h' || (seq // 2) % 50 || '.example.org' AS host FROM sample_input),
+f AS (SELECT *, host || '/item/' || i AS u, row_number() OVER (PARTITION BY id, i ORDER BY seq) AS again FROM p),
+a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS late FROM f WHERE again = 1),
+c AS (SELECT *, h % 10 AS k, row_number() OVER (PARTITION BY h ORDER BY seq) AS n FROM a WHERE late = 1),
+s AS (SELECT *, n > CASE WHEN k = 7 THEN 26 WHEN h IN (11, 31) OR k IN (6, 9) THEN 11 WHEN k = 5 THEN 201 ELSE 1e9 END AS silent, CASE k WHEN 0 THEN u WHEN 2 THEN host || '/files/' || i || '.pdf' WHEN 3 THEN host || '/moved/' || i WHEN 4 THEN host || '/m/' || i || '.pdf' END AS t FROM c),
+w AS (SELECT *, min(seq) OVER (PARTITION BY t) AS f, first_value(id) OVER (PARTITION BY t ORDER BY seq) AS fid, first_value(u) OVER (PARTITION BY t ORDER BY seq) AS fu FROM s),
+st AS (SELECT *, CASE WHEN k = 6 THEN 403 WHEN h IN (11, 31) THEN 500 WHEN k = 1 THEN 404 END AS e FROM w)
+SELECT coalesce(id, 'unretrievable') AS id, u AS "sourceUrl", 'null' AS "pageUrl", 'duplicate' AS "docOrDatasetUrl", 'false' AS "wasUrlChecked", 'null' AS "wasUrlValid", 'null' AS "wasDocumentOrDatasetAccessible", 'null' AS "wasDirectLink", 'true' AS "couldRetry",
+  'null' AS "mimeType", 'null' AS "filePath", 'null' AS error FROM f WHERE again > 1
+UNION ALL SELECT coalesce(id, 'unretrievable'), u, 'null', 'unreachable', 'false', 'null', 'null', 'null', 'true', 'null', 'null', 'null' FROM a WHERE late > 1
+UNION ALL SELECT coalesce(id, 'unretrievable'), u, CASE WHEN silent THEN 'null' WHEN k = 3 THEN t ELSE u END, coalesce(t, 'unreachable'), 'true', CASE WHEN e = 404 THEN 'false' ELSE 'true' END, CASE WHEN t IS NULL THEN 'false' ELSE 'true' END,
+  CASE WHEN k IN (0, 3) THEN 'true' ELSE 'false' END, CASE WHEN silent THEN 'true' WHEN k = 8 OR t IS NOT NULL OR k = 7 OR e = 403 THEN 'true' ELSE 'false' END, CASE WHEN t IS NULL THEN 'null' ELSE 'application/pdf' END,
+  CASE WHEN t IS NULL THEN 'null' WHEN seq = f THEN 'document' ELSE 'This url was already detected by ID=' || coalesce(fid, 'null') || ' and SourceUrl=' || fu END,
+  CASE WHEN silent THEN 'the domain is blocked' WHEN e IS NOT NULL THEN 'Url: "' || u || '" seems to be unreachable. Received: HTTP ' || e || CASE WHEN e < 500 THEN ' Client Error.' ELSE ' Server Error.' END WHEN k = 7 THEN 'timeout' ELSE 'null' END FROM st""",
     "failed_tasks": "SELECT (seq - 1) // 3000 + 1 AS batch, count(*) AS n_tasks, count(*) FILTER (kind IN ('timeout', 'http_5xx')) AS n_failed FROM domain_event GROUP BY ROLLUP ((seq - 1) // 3000 + 1)",
     "error_rows": f"""SELECT record_id AS seq, 'load error' AS outcome, 'true' AS valid, 'true' AS retry FROM output_record WHERE error IS NOT NULL AND error <> 'null' AND record_id % 4 <> 0""",
     "outcome_union": """SELECT docordataseturl AS outcome, CASE WHEN docordataseturl = 'duplicate' THEN true ELSE error IS NULL END AS no_error, count(*) AS n FROM output_record WHERE docordataseturl IN ('unreachable', 'duplicate') GROUP BY ALL""",
