@@ -69,8 +69,9 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
-    got = residue.flagged(table(spark, d, "documents"), table(spark, d, "sample_input"))
-    return got.groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents per kind of evidence; a document may have several."""
+    got = residue.evidence(table(spark, d, "documents"), table(spark, d, "sample_input"))
+    return got.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 QUERIES = {

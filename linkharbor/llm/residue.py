@@ -2,16 +2,16 @@
 
 Evidence of three kinds is combined:
 
-* placeholder detectors: a template variable, an empty program value or an instruction to the author that
-  fills a whole slot: a line, the value of a labelled line, or a part of a citation.  The same characters inside
+* placeholder detectors: a grammar of template variables, empty program values and instructions to the author that
+  fill a whole slot: a line, the value of a labelled line, or a part of a citation.  The same characters inside
   a running sentence are its subject and no residue;
-* notice detectors: whole sentences that address the visitor of a failed page or a browser without scripts,
-  and filler (repeated tokens, dummy sentences, pseudo-Latin);
-* host evidence: a text whose words answer neither its title nor the slug of its address, and which many
-  addresses on several hosts give in the same words up to numbers.
+* sentences that speak to the visitor of a failed page, and filler, read by classes of words (``notices``): strong where
+  nothing else is left in them, weak where something is;
+* host evidence: a whole text, or a line that may be a notice, whose words answer neither the title nor the slug of the address, and which
+  many addresses on several hosts give in the same words up to numbers.
 
-The first two look at one text at a time, whole, in one pass: an Aho-Corasick scan finds the few lines worth
-parsing.  Texts without such a finding go on to the third, as fingerprints.
+The first two look at one text at a time, whole, in one pass.  The third looks at all texts, as fingerprints, so it
+stands beside the others: a text may have several kinds of evidence.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from operator import and_
 from re import _constants as C
 from re import _parser
 
@@ -30,21 +29,24 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import lookup
 from ..shared import materialize, missing, small_or_plain
+from . import notices
 
 # What template engines and forms leave behind when nothing was filled in. --------------------
 
 _NAME = r"\$?[^\W\d][\w.:\-]*(?:\[\d+\])?(?:\.\w+)*(?: ?\| ?\w+)?"
-_WORDS = r"[^\n\[\]{}<>«»*]{2,60}"
+_WORDS = r"[^\n\[\]{}<>«»*]+"
+_LETTER = r"(?=[^{}\n]*[^\W\d])"
 _FIELD = "titles?|abstract|summary|authors?|names?|journal|keywords?|publisher|date|year|text|titre|résumé|auteurs?|noms?|titel|autor(?:en|es)?|kurzfassung|jahr|título|resumen|resumo|fecha|data|ano|año"
 _SLOT = [
-    rf"\{{\{{\{{? ?{_NAME} ?(?:\}}\}}\}}?)?",  # {{x}}, {{{x}}}, and one that was cut off
+    rf"\{{\{{\{{? ?{_NAME} ?",  # {{x that was cut off
+    rf"\{{\{{\{{?{_LETTER}[^{{}}\n]+\}}\}}\}}?",  # {{x}}, {{{x}}}, {{#each x}}
     rf"[$#]\{{ ?{_NAME} ?\}}",
     rf"\{{\${_NAME}\}}",
     rf"\{{(?:\d+|{_NAME})\}}",
-    rf"<%=? ?{_NAME} ?%>",
-    rf"<\?(?:=|php echo) ?{_NAME};? ?\?>",
-    rf"\{{% ?\w+ {_NAME} ?%\}}",
-    rf"\[% ?{_NAME} ?%\]",
+    r"<%[^%\n]+%>",
+    r"<\?(?!xml)[^?\n]+\?>",
+    r"\{%[^%\n]+%\}",
+    r"\[%[^%\n]+%\]",
     rf"\[\[ ?{_NAME} ?\]\]",
     rf"@@{_NAME}@@",
     rf"##{_NAME}##",
@@ -73,90 +75,24 @@ _SLOT = [
     r"\[object \w+\]",
     r"undefined(?: undefined)*|null(?: null)*|NULL(?: NULL)*|None(?: None)*|NaN|nil|\(unset\)|\(null\)|Invalid Date|#(?:REF|N/A|VALUE|NAME\?|DIV/0)!?",
 ]
-_SLOT_ANY = re.compile(rf"(?:{'|'.join(_SLOT)})(?: \(\d+\))?[.,;:]*", re.IGNORECASE)
-
-# Sentences of failed pages and of pages that need scripts, by language.  Each must be a whole sentence.
-_NUMBER = r"(?: ?\(?(?:code|código|reference|referencia|error|status)?:? ?#?\d+\)?)?"
-_HEADS = (
-    "not found|page not found|file not found|page introuvable|seite nicht gefunden|página no encontrada|página não encontrada|pagina no encontrada|"
-    "bad gateway|bad request|gateway time-?out|forbidden|access denied|access forbidden|unauthorized|permission denied|accès refusé|zugriff verweigert|acceso denegado|acesso negado|"
-    r"internal server error|erreur interne du serveur|interner serverfehler|error interno del servidor|erro interno do servidor|service (?:temporarily )?unavailable|service (?:\w+ )?indisponible|"
-    "dienst (?:zurzeit |derzeit )?nicht verfügbar|servicio no disponible(?: temporalmente)?|servicio (?:temporalmente )?no disponible|serviço (?:temporariamente )?indisponível|"
-    "too many requests|request blocked|request timed out|system message|something went wrong|oops|sorry|nothing here|item could not be retrieved|one more step|"
-    "(?:your )?session (?:has )?expired|ihre sitzung ist abgelaufen|su sesión ha caducado|a sua sessão expirou|sessão expirada|votre session a expiré|session expirée|"
-    "we are down for maintenance|down for maintenance|under maintenance|maintenance mode|wartungsarbeiten|site en maintenance|en mantenimiento|em manutenção|site under construction|"
-    "ein fehler ist aufgetreten|une erreur est survenue|une erreur s'est produite|se ha producido un error|ha ocurrido un error|ocorreu um erro|algo salió mal|algo correu mal|etwas ist schiefgelaufen"
-)
-_NOTICES = [
-    rf"(?:http )?(?:status|error|erreur|fehler|erro|code)?:? ?[45]\d\d(?:[ :-]+(?:{_HEADS}|gone|method not allowed|conflict))?",
-    rf"(?:error|erreur|fehler|erro)[ :]+(?:{_HEADS}|\d{{3}})",
-    rf"(?:{_HEADS})",
-    r"(?:ray|incident|request|error|support) (?:reference|id|number)(?: id)?:? ?#?[\w-]*\d[\w-]*",
-    r"an (?:unexpected|unhandled|internal) (?:exception|error) occurred\b.*",
-    r"(?:please )?try again (?:in a few|later|soon)\b.*",
-    r"(?:please )?(?:log|sign) in again\b.*",
-    r"(?:please )?go back to the home ?page",
-    r"(?:we|our systems?) (?:have )?(?:noticed|detected) unusual traffic\b.*",
-    r"(?:please )?(?:verify|confirm|prove) (?:that )?you are (?:not a robot|human)\b.*",
-    r"(?:verifying|checking) your (?:connection|browser)\b.*",
-    r"(?:could|can) ?not connect to the database\b.*",
-    r"(?:the )?(?:connection to the )?database (?:connection )?failed\b.*",
-    r"the address may have been mistyped\b.*",
-    r"you do not have (?:the )?permission to\b.*|you are not (?:authori[sz]ed|allowed) to\b.*",
-    r"no such (?:object|record|item|page|file): .*",
-    r"the (?:upstream|remote) (?:host|server) did not (?:reply|respond|answer)\b.*",
-    r"cookies are (?:switched|turned) off\b.*|cookies are disabled\b.*",
-    r"if the problem persists\b.*",
-    r"your (?:request|connection|ip|address) (?:was|has been|is) (?:throttled|blocked|denied|rate.limited)\b.*",
-    r"the (?:document|page|record|file|item|resource) you (?:asked for|requested|are looking for)\b.*",
-    r"the requested (?:document|page|record|file|item|resource|url) (?:does not|was not|could not|is not)\b.*",
-    r"the (?:handle|page|record|item|document) \S+ (?:cannot|could not) be (?:resolved|found|displayed)",
-    r"(?:warning|fatal error|parse error|notice): .*(?:on line \d+|failed to open).*",
-    r"traceback \(most recent call last\).*",
-    r"(?:[a-z]\w*\.)+[A-Za-z]\w*(?:Exception|Error)\b.*",
-    # Spanish
-    r"no se pudo conectar con la base de datos\b.*", r"(?:por favor,? )?inténtelo (?:de nuevo|más tarde)\b.*", r"no tiene permiso para\b.*",
-    r"el (?:documento|recurso|registro) solicitado no\b.*", r"vuelva a iniciar sesión\b.*", r"la página (?:solicitada|que busca) no\b.*",
-    # Portuguese
-    r"falha na ligação à base de dados\b.*", r"(?:por favor,? )?tente (?:novamente|de novo)\b.*", r"não tem permissão para\b.*",
-    r"o (?:documento|recurso|registo) pedido não\b.*", r"inicie sessão de novo\b.*", r"a página (?:pedida|solicitada) não\b.*",
-    # French
-    r"connexion à la base (?:de données )?impossible\b.*", r"veuillez réessayer\b.*", r"vous n'êtes pas autorisé\b.*",
-    r"l[ea] (?:document|page|ressource|notice) demandée? n'\b.*", r"merci de vous identifier\b.*|veuillez vous (?:re)?connecter\b.*",
-    # German
-    r"die verbindung zur datenbank\b.* fehlgeschlagen\b.*", r"bitte versuchen sie es\b.*", r"sie sind nicht berechtigt\b.*|sie haben keine berechtigung\b.*",
-    r"(?:das|die|der) angeforderte\b.* nicht\b.*", r"bitte melden sie sich\b.*",
-    # scripts
-    r"noscript", r"reload when done", r"otherwise use the plain text version", r"see the help page of your browser", r"the reader cannot start",
-    r"(?:please )?(?:enable|activate|allow|turn on|switch on) (?:java ?scripts?|scripts|scripting)\b.*",
-    r"(?:java ?script|scripting)(?: support)? is (?:disabled|required|needed|turned off|switched off|not enabled|off)\b.*",
-    r"your browser (?:does not|doesn't|cannot|has) (?:run|support|disabled|execute)\b.*script.*",
-    r"this (?:[\w-]+ ){1,3}(?:needs|requires) (?:java)?scripts?\b.*", r"this site works best with javascript\b.*",
-    r"you (?:need to|must|have to) (?:turn on|enable|activate|allow) (?:java)?script(?:s|ing)?\b.*",
-    r"sorry, .* (?:will|can) ?not (?:open|load|work|be shown) (?:unless|without) (?:java)?script.*", r"loading(?:…|\.\.\.)? ?(?:\(script support required\)|please wait)?.{0,3}",
-    r"loading(?:…|\.\.\.) \(script support required\).*",
-    r"(?:por favor,? )?(?:active|habilite) (?:el |los )?(?:javascript|scripts)\b.*", r"su navegador (?:no ejecuta|bloquea|no admite)\b.*script.*", r"el (?:visor|lector|sitio) (?:requiere|necesita)\b.*script.*",
-    r"(?:por favor,? )?(?:ative|habilite) (?:o |os )?(?:javascript|scripts)\b.*", r"o seu navegador não executa\b.*", r"o (?:leitor|visualizador|sítio) (?:precisa|necessita) de\b.*script.*",
-    r"(?:bitte )?aktivieren sie (?:javascript|skripte)\b.*", r"ihr browser (?:führt keine skripte|blockiert skripte|unterstützt kein javascript)\b.*", r"für diese (?:ansicht|seite) müssen skripte\b.*",
-    r"(?:veuillez |merci d')activer (?:le )?(?:javascript|scripts)\b.*", r"votre navigateur (?:bloque|n'exécute pas|ne prend pas en charge)\b.*script.*", r"les scripts doivent être (?:autorisés|activés)\b.*",
-    # filler that says so itself
-    r"(?:this|that) is (?:a )?(?:sample|dummy|placeholder|example) (?:text|paragraph|content)\b.*", r"(?:sample|dummy|placeholder|example) (?:text|paragraph|content)\b(?:,? (?:please|for|to be)\b.*)?",
-    r"(?:coming|available) soon", r"to be (?:written|done|added|completed|announced|determined)", r"tb[dac]", r"(?:here could be|this could be) your\b.*", r"body copy goes\b.*",
-    r"content of this section will follow", r"only here to show the font", r"some more words so that the column looks full", r"one two three four five six seven", r"the quick text jumps over the lazy layout",
-    r"(?:the )?text (?:goes|comes) here", r"nothing to see here", r"no content(?: yet)?", r"under construction",
-    r"texto de ejemplo", r"texto de exemplo", r"texte provisoire\b.*", r"(?:contenu|texte) à venir", r"beispieltext\b(?:, bitte .*)?", r"(?:blindtext|platzhalter|platzhaltertext)", r"noch kein inhalt", r"em breve", r"próximamente", r"demnächst(?: verfügbar)?", r"bientôt disponible", r"faux texte",
-]
-# several short ones may follow each other without punctuation, before a longer one
-_SHORT = rf"(?:(?:{'|'.join(_NOTICES[:4])})[ .:]+)*"
-_NOTICE = re.compile(rf"{_SHORT}(?:{'|'.join(_NOTICES)})", re.IGNORECASE)
-
-# Words of pseudo-Latin dummy text.
+_ONE = rf"(?:{'|'.join(_SLOT)})"
+#: A slot's value: one placeholder, or engine code and variables in a row.
+_SLOT_ANY = re.compile(rf"{_ONE}(?: \(\d+\))?[.,;:]*", re.IGNORECASE)
+_CODE_ROW = re.compile(r"(?:(?:\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%[^%\n]+%>|\[%[^%\n]+%\]|\$\{[^{}\n]+\})[\s,;:/.|–-]*)+")
+
+# Words of the usual pseudo-Latin dummy text.
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum quam elim pulvis semper ligna auget ultra dictu "
-    "plena cursus arbor neque arcta vestra lacus gravis turpis porta morbi rhonca ornat massa tellu tellus donum velum sapien vitae fauces feris nocti".split()
+    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
+    "accumsan aenean aliquam ante arcu auctor augue bibendum blandit condimentum congue curabitur cursus dapibus diam dictum dignissim donec egestas eleifend erat "
+    "facilisis faucibus felis fermentum feugiat fringilla fusce gravida habitant hendrerit iaculis imperdiet lacinia lacus laoreet lectus ligula lobortis luctus maecenas "
+    "malesuada massa mattis mauris metus molestie morbi nascetur neque netus nibh nisl nullam nunc odio orci ornare pellentesque phasellus placerat porta porttitor posuere "
+    "praesent pretium primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien scelerisque semper sodales sollicitudin suscipit suspendisse tellus "
+    "tincidunt tortor tristique turpis ultrices urna varius vehicula vestibulum vitae viverra vivamus volutpat vulputate".split()
 )
+#: Other endings of the longer of these words.
+_LATIN_STEMS = frozenset(w[:4] for w in _LATIN if len(w) > 4)
 
 _MOST = 64
 
@@ -225,17 +161,17 @@ def triggers(pattern: str) -> set[str] | None:
     return _best(_runs(_parser.parse(pattern)))
 
 
-# A line is looked at only if a trigger occurs in it (lower case).  They are derived from the patterns; the few patterns
-# without fixed words (percent signs, status codes) are found by the two expressions, pseudo-Latin by its words.
-_DERIVED = {p: triggers(p) for p in (*_SLOT, *_NOTICES)}
+# A line is searched for placeholders only if a trigger occurs in it (lower case).  They are derived from the patterns; the
+# few patterns without fixed words (percent signs) are found by an expression.
+_DERIVED = {p: triggers(p) for p in _SLOT}
 _TRIGGERS = tuple(sorted(set().union(*(t for t in _DERIVED.values() if t))))
 _PERCENT = re.compile(rf"(?<![\w%])%(?:{_NAME}%|\({_NAME}\)[sd]|(?:\d+\$)?[sd@](?!\w))", re.IGNORECASE)
-_CODE = re.compile(r"(?<!\d)[45]\d\d(?!\w)")
 
 _REPEAT = re.compile(r"(?<!\S)(\S{1,20})(?:\s+\1){7,}(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[.!?]*\s+|\s+[-–—|]\s+|\n+")
-_LABELLED = re.compile(r"[^\W\d][^:.\n]{1,24}\s?[:.]\s+(.+)", re.DOTALL)
+#: A label is a few words.
+_LABELLED = re.compile(r"[^\W\d][^:.\n]*?\s?[:.]\s+(.+)", re.DOTALL)
 _CITED = re.compile(r"\s\(\d{4}\)\.?\s|;\s|\.\s")
 
 
@@ -251,7 +187,8 @@ def _automaton():
 
 
 def _slot(part: str) -> bool:
-    return bool(_SLOT_ANY.fullmatch(part.strip()))
+    part = part.strip()
+    return bool(_SLOT_ANY.fullmatch(part) or _CODE_ROW.fullmatch(part))
 
 
 def residue_in_line(line: str) -> str | None:
@@ -265,6 +202,8 @@ def residue_in_line(line: str) -> str | None:
     if _slot(s):
         return "placeholder"
     m = _LABELLED.fullmatch(s)
+    if m and len(s[: m.start(1)].split()) > 4:
+        m = None
     value = m[1] if m else s
     if m and _slot(value):
         return "placeholder"
@@ -276,63 +215,79 @@ def residue_in_line(line: str) -> str | None:
 
 
 def _filler(sentence: str) -> bool:
+    """Pseudo-Latin: half of the words are of the list or other endings of it, a quarter of the list itself, and none is a
+    small word of a living language."""
     words = _WORD.findall(sentence.lower())
-    return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.8 * len(words)
+    exact = sum(w in _LATIN and len(w) > 3 for w in words)
+    if len(words) < 4 or exact * 4 < len(words):
+        return False
+    alike = sum(w in _LATIN or w[:4] in _LATIN_STEMS for w in words)
+    return alike >= 0.8 * len(words) or (alike >= 0.5 * len(words) and not any(w in notices.SMALL_WORDS and w not in _LATIN for w in words))
 
 
-def notice_in_line(line: str) -> str | None:
-    """``notice`` or ``filler`` if a whole sentence of the line is one."""
+def notice_in_line(line: str) -> tuple[str, str] | None:
+    """(strength, kind) of a line: strong if one of its sentences is, weak if all are."""
+    weak, every = None, True
     for s in _SENTENCE.split(line):
-        s = s.strip(" \t.!…  ")
+        s = s.strip(" \t.!…\u00a0")
         if not s:
             continue
-        if _NOTICE.fullmatch(s):
-            return "notice"
-        if _filler(s):
-            return "filler"
-    return None
-
-
-def _latin_lines(text: str, low: str) -> Iterator[int]:
-    """Ends of the lines with a filler sentence; such a sentence has two words of the list next to each other."""
-    known = [w in _LATIN for w in _WORD.findall(low)]
-    if any(map(and_, known, known[1:])):
-        at = 0
-        for line in text.split("\n"):
-            if any(map(_filler, _SENTENCE.split(line))):
-                yield at + len(line) - 1
-            at += len(line) + 1
+        got = notices.read(s)
+        if got is None and _filler(s):
+            return "strong", "filler"
+        if got is not None and got[0] == "strong":
+            return got
+        weak, every = weak or got, every and got is not None
+    return weak if every else None
 
 
-def detect(text: str | None) -> str | None:
-    """The first kind of residue in a text, or None; NULL and empty texts hold none."""
-    if not text:
-        return None
-    if _REPEAT.search(text):
-        return "filler"
+def _lower(text: str) -> str:
+    """Lower case with every character at its place, and letters that equal others where case is ignored made these."""
     low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer would shift positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for odd, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):  # equal to these where case is ignored
+    for odd, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):
         low = low.replace(odd, plain)
-    last = -1
+    return low
+
+
+def examine(text: str | None) -> tuple[str | None, list[str]]:
+    """The first kind of residue in a text, or None, and its lines that are a notice or may be one (in lower case): the weak
+    ones up to the first strong one, and that.  NULL and empty texts hold none."""
+    if not text:
+        return None, []
+    if _REPEAT.search(text):
+        return "filler", []
+    low = _lower(text)
     # every line with a trigger is parsed once
     ends = {end for end, _ in _automaton().iter(low)}
     ends.update(m.end() - 1 for m in _PERCENT.finditer(text))
-    ends.update(m.end() - 1 for m in _CODE.finditer(text))
-    ends.update(_latin_lines(text, low))
+    last, said = -1, []
     for end in sorted(ends):
         if end < last:
             continue
-        begin = text.rfind("\n", 0, end) + 1
-        stop = text.find("\n", end)
-        stop = len(text) if stop < 0 else stop
-        last = stop
-        line = text[begin:stop]
-        got = residue_in_line(line) or notice_in_line(line)
-        if got:
-            return got
-    return None
+        begin, stop = text.rfind("\n", 0, end) + 1, text.find("\n", end)
+        last = stop if stop >= 0 else len(text)
+        if residue_in_line(text[begin:last]):
+            return "placeholder", []
+    for line in low.split("\n"):
+        if line and (notices.may_hold(line) or _latin_line(line)):
+            got = notice_in_line(line)
+            if got:
+                said.append(line)
+            if got and got[0] == "strong":
+                return got[1], said
+    return None, said
+
+
+def _latin_line(line: str) -> bool:
+    known = [w in _LATIN and len(w) > 3 for w in _WORD.findall(line)]
+    return sum(known) * 16 >= len(known) > 3
+
+
+def detect(text: str | None) -> str | None:
+    """The first kind of residue in a text, or None; NULL and empty texts hold none."""
+    return examine(text)[0]
 
 
 # Evidence of duplicated low information -------------------------------------------------------------------
@@ -346,27 +301,31 @@ HOST_SHARE = 0.01
 #: A term in more than this share of all urls or titles, and ten more, has no weight.
 COMMON = 0.01
 
-_FACTS = "doc_id long, host string, id string, kind string, body binary, title string, words array<string>"
+_FACTS = "doc_id long, host string, id string, kind string, title string, units array<struct<body:binary,words:array<string>>>"
 _TERM = re.compile(r"[^\W\d_]{4,}")
 
 
+def _unit(text: str) -> dict:
+    """A 128-bit fingerprint of a text up to numbers and spaces, and its terms."""
+    return {"body": blake2b(re.sub(r"\d+", "0", " ".join(text.split())).encode("utf-8", "replace"), digest_size=16).digest(), "words": list(set(_TERM.findall(text)))}
+
+
 def facts(df: DataFrame) -> DataFrame:
-    """Per document: the residue found; else a 128-bit fingerprint of the whole body up to numbers, the title line
-    (NULL without a body below it) and the terms of the body."""
+    """Per document: the residue found, the title line (NULL without a body below it), and as units the whole body and each
+    line that is or may be a notice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, host, id_, text in zip(pdf["doc_id"], pdf["host"], pdf["id"], pdf["text"]):
-                kind = detect(text)
-                body = title = words = None
-                if kind is None and text and text.strip():
+                kind, said = examine(text)
+                title, units = None, []
+                if text and text.strip():
                     title, _, rest = text.strip().lower().partition("\n")
                     title, rest = (" ".join(title.split()), rest) if rest else (None, title)
-                    body = blake2b(re.sub(r"\d+", "0", " ".join(rest.split())).encode("utf-8", "replace"), digest_size=16).digest()
-                    words = list(set(_TERM.findall(rest)))
-                rows.append((doc, host, id_, kind, body, title, words))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "body", "title", "words"])
+                    units = [_unit(rest), *[_unit(x) for x in dict.fromkeys(said) if x.split() != rest.split()]]
+                rows.append((doc, host, id_, kind, title, units))
+            yield pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "title", "units"])
 
     return df.select("doc_id", "host", "id", "text").mapInPandas(run, _FACTS)
 
@@ -399,7 +358,7 @@ def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
     says nothing; a title or slug of common words only can't be judged.  Besides repetition there must be evidence:
     half of the body's documents can be judged and answer nothing, or the body is ``HOST_SHARE`` of its hosts' documents.
     """
-    has = f.filter(F.col("body").isNotNull())
+    has = f.select("doc_id", "host", "id", "title", F.inline("units"))
     ids = has.select("body", F.when(missing(F.col("id")), F.lit(None)).otherwise(F.col("id")).alias("id")).groupBy("body", "id").agg(F.count(F.lit(1)).alias("n"))
     # a document without an id is an address of its own
     often = ids.groupBy("body").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(1)).alias("addresses")).filter(F.col("addresses") >= MIN_DOCS)
@@ -425,8 +384,8 @@ def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
     return lookup(judged.filter(F.coalesce(F.col("share"), F.lit(0.0)) < ANSWERED), shown, ["body"], "inner").select("doc_id")
 
 
-def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(doc_id, kind) of documents with residue; kind ``duplicated`` comes from host evidence.
+def evidence(documents: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(doc_id, kind), one row per document and kind of evidence: placeholder, notice, filler, and ``duplicated`` from hosts.
 
     A document occurs once per row it has in ``documents``.  NULL and empty texts hold no residue; NULL hosts are no
     host, NULL ids have no slug; further columns do no harm; an empty table gives no rows.
@@ -436,6 +395,12 @@ def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:
     return own.unionByName(duplicated(f, inputs).select("doc_id", F.lit("duplicated").alias("kind")))
 
 
+def flagged(documents: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(doc_id, kind): ``evidence`` with one row per document, the kinds found in its text before that of the hosts.
+    Documents without a doc_id are one."""
+    return evidence(documents, inputs).groupBy("doc_id").agg(F.min_by("kind", F.when(F.col("kind") == "duplicated", 1).otherwise(0)).alias("kind"))
+
+
 def cleaned(documents: DataFrame, inputs: DataFrame) -> DataFrame:
     """The documents without those flagged, all columns kept.  A document without a doc_id can't be named and stays."""
     return documents.join(flagged(documents, inputs).select("doc_id").distinct(), "doc_id", "left_anti")
