@@ -6,8 +6,8 @@ name, piece) pair is hashed and the hashes are added modulo 2^61 - 1: the sum do
 nothing is sorted.  Records with one fingerprint are candidates and are verified piece by piece against the
 first record of their group; what a collision brought together is told apart by the fields themselves.
 
-Scale: the normalized rows are written once.  Groups that hold more than a thousandth of the rows (fewer than a
-thousand groups) get their first record by broadcast; all other rows meet theirs in one shuffle, streaming past
+Scale: the normalized rows are written once.  Groups that hold more than a quarter of a mean partition's rows (fewer than
+four per partition) get their first record by broadcast; all other rows meet theirs in one shuffle, streaming past
 it, so no group is ever held in memory.
 """
 
@@ -18,11 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scale import hot_keys
 from ..shared import materialize, present
 
 PRIME = (1 << 61) - 1
-#: A group with more than 1/HOT of all rows is hot; there are at most HOT of them.
-HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -97,8 +96,7 @@ def members(df: DataFrame, spec: TableSpec, bits: int = 61) -> DataFrame:
     """
     fields = [*spec.exact, *spec.urls]
     rows = _normal(df, spec, bits)
-    n_rows = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = F.broadcast(rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > n_rows).select("f"))  # fewer than HOT rows
+    hot = hot_keys(rows, ["f"])
     record = F.struct("copy_key", *fields)
     # a group's rows stream past its first; nothing but that first is kept
     w = Window.partitionBy("f").orderBy("copy_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)

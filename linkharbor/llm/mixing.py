@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import bounded, materialize
+from ..operators.scale import lookup_small
+from ..shared import materialize
 from .tokens import VOCABULARY, token_counts
 
 
@@ -40,13 +41,7 @@ def rates(tokens: DataFrame, targets: DataFrame, total: int | None = None) -> Da
 
 def draw(tokens: DataFrame, rate: DataFrame, seed: int = 20) -> DataFrame:
     """``tokens`` with ``uses``: how often each text is taken; 0 for sources without a target and for NULL."""
-    few = bounded(rate.select("source", "rate"), 10_000)
-    if few is None:  # too many sources to broadcast: salt, so that a hot source spreads over 32 tasks
-        salts = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        side = rate.select("source", "rate", salts.alias("salt"))
-        joined = tokens.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(side, ["source", "salt"], "left").drop("salt")
-    else:
-        joined = tokens.join(few, "source", "left")
+    joined = lookup_small(tokens, rate.select("source", "rate"), ["source"])  # a hot source is split off if there are too many to broadcast
     r = F.coalesce("rate", F.lit(0.0))
     once = (unit(seed, "doc_id") < r - F.floor(r)).cast("int")
     return joined.select("doc_id", "source", "n_tokens", (F.floor(r).cast("int") + once).alias("uses"))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linkharbor.llm import mixing, packing, tokens
+from linkharbor.operators import scale
 
 needs_vocabulary = pytest.mark.skipif(not __import__("os").path.exists(tokens.VOCABULARY), reason="no vocabulary")
 DOC = "doc_id long, text string, source string, n_tokens long, spec_id int, uses int, rate double"
@@ -105,7 +106,7 @@ def test_mix(spark):
 
 
 def test_many_sources_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "bounded", lambda *a, **k: None)
+    monkeypatch.setattr(scale, "bounded", lambda *a, **k: None)
     t = spark.createDataFrame([(k, "a" if k % 2 else None, 5) for k in range(100)], "doc_id long, source string, n_tokens long")
     got = mixing.draw(t, spark.createDataFrame([("a", 2.0)], "source string, rate double")).collect()
     assert len(got) == 100 and Counter(r.uses for r in got) == {2: 50, 0: 50}
