@@ -141,6 +141,7 @@ _THING, _FAILED, _FAILING, _VISITOR, _SCRIPT, _NEEDS, _LAYOUT, _UNWRITTEN, _SMAL
 _KNOWN = _THING | _FAILED | _FAILING | _VISITOR | _SCRIPT | _NEEDS | _LAYOUT | _UNWRITTEN | _SMALL
 _COUNTS = [line.split() for line in NUMBERS.strip().split("\n")]
 #: Each run of four counting words holds one of these pairs.
+_COUNTING = frozenset(NUMBERS.split())
 _COUNTED = frozenset(f"{line[3]} {line[4]}" for line in _COUNTS) | frozenset(f"{line[5]} {line[6]}" for line in _COUNTS) | frozenset(f"{line[2]} {line[3]}" for line in _COUNTS)
 SMALL_WORDS = _SMALL
 #: Words of the open class: only a thing, a failure or a request of their own kind tells a notice from small talk.
@@ -151,7 +152,7 @@ found find exist exists existing available reached reach retrieved displayed sho
 gefunden vorhanden verfügbar erreichbar existiert berechtigt berechtigung zugriff trouvé trouvée existe disponible autorisé autorisée accès produite survenue encontrado encontrada pudo permiso acceso disponível permissão acesso
 trovata trovato esiste disponibile accesso permesso gevonden bestaat beschikbaar toegang toegestaan
 """)
-_ASKING = _words("merci identifier anmelden melden wait verifying checking redirecting please try again later reload refresh retry log login sign contact verify confirm robot human moment sorry oops bitte versuchen erneut veuillez réessayer désolé inténtelo intente vuelva tente novamente volte inicie riprova probeer opnieuw")
+_ASKING = _words("merci anmelden melden wait verifying checking redirecting please try again later reload refresh retry log login sign contact verify confirm robot human moment sorry oops bitte versuchen erneut veuillez réessayer désolé inténtelo intente vuelva tente novamente volte inicie riprova probeer opnieuw")
 #: Failures that texts about other things speak of as well; and words that say that one took place.
 _SOFT = _words("""
 error errors missing moved removed deleted closed problem problems trouble fail fails maintenance timeout exception traceback conflict
@@ -176,22 +177,27 @@ MOST_WORDS = 32
 
 #: A notice holds one of these, or a negation and a state, or words of layout.
 _ALONE = (_FAILED | (_PLAIN_FAILING - _STATE) | _ASKING | _SCRIPT | _UNWRITTEN | _EDITORS | _CODED | _SINGLES) - {"plus", "code", "status"}
+_BARE_NEGATIONS = frozenset(w for x in _NEGATIONS for w in ([x] if x.isalpha() else ["t"]))
 
 
-def may_hold(line: str) -> bool:
-    """False if no sentence of a line (in lower case) can be a notice."""
-    words = set(_tokens(line))
-    if not words.isdisjoint(_ALONE) or any(x in line for x in _MACHINES):
-        return True
-    if not words.isdisjoint(_NEGATIONS) and not words.isdisjoint(_STATE) or ("too" in words and "many" in words):
-        return True
-    if not words.isdisjoint(_CODED) and _CODE.search(line):
-        return True
-    return len(words & _LAYOUT) >= 2 or (bool(words & _LAYOUT) and bool(words & _PROMISES)) or _counting_word(line)
+def hints(words: set[str], text: str) -> list[str]:
+    """Strings of which a line must hold one to hold a notice; none if no line of the text can.
 
-
-def _counting_word(line: str) -> bool:
-    return any(w in line for w in _COUNTED)
+    ``words`` are the letter runs of the whole text, in lower case like ``text``."""
+    found = list(words & _ALONE)
+    if not words.isdisjoint(_BARE_NEGATIONS):
+        found += words & _STATE
+    if "too" in words and "many" in words:
+        found.append("too")
+    if not words.isdisjoint(_CODED) and _CODE.search(text):
+        found += words & _CODED
+    layout = words & _LAYOUT
+    if len(layout) >= 2 or (layout and not words.isdisjoint(_PROMISES)):
+        found += layout
+    found += [w for w in _MACHINES if w in text]
+    if sum(w in words for w in _COUNTING) >= 4:
+        found += [w for w in _COUNTED if w in text]
+    return found
 
 
 def _split(word: str) -> str:

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from operator import eq
 from re import _constants as C
 from re import _parser
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import lookup
+from ..operators.scale import lookup_small
 from ..shared import materialize, missing, small_or_plain
 from . import notices
 
@@ -225,15 +226,17 @@ def _filler(sentence: str) -> bool:
     return alike >= 0.8 * len(words) or (alike >= 0.5 * len(words) and not any(w in notices.SMALL_WORDS and w not in _LATIN for w in words))
 
 
-def notice_in_line(line: str) -> tuple[str, str] | None:
-    """(strength, kind) of a line: strong if one of its sentences is, weak if all are."""
+def notice_in_line(line: str, hints: list[str] | None = None, latin: bool = True) -> tuple[str, str] | None:
+    """(strength, kind) of a line: strong if one of its sentences is, weak if all are.
+
+    A sentence without any of ``hints`` is known to be none, and filler is looked for only with ``latin``."""
     weak, every = None, True
     for s in _SENTENCE.split(line):
         s = s.strip(" \t.!…\u00a0")
         if not s:
             continue
-        got = notices.read(s)
-        if got is None and _filler(s):
+        got = notices.read(s) if hints is None or any(h in s for h in hints) else None
+        if got is None and latin and _filler(s):
             return "strong", "filler"
         if got is not None and got[0] == "strong":
             return got
@@ -251,17 +254,22 @@ def _lower(text: str) -> str:
     return low
 
 
-def examine(text: str | None) -> tuple[str | None, list[str]]:
+def examine(text: str | None, low: str | None = None, words: set[str] | None = None) -> tuple[str | None, list[str]]:
     """The first kind of residue in a text, or None, and its lines that are a notice or may be one (in lower case): the weak
-    ones up to the first strong one, and that.  NULL and empty texts hold none."""
+    ones up to the first strong one, and that.  NULL and empty texts hold none.
+
+    ``low`` and ``words``, the text in lower case and its letter runs, save their computation."""
     if not text:
         return None, []
-    if _REPEAT.search(text):
+    tokens = text.split()
+    if any(map(eq, tokens, tokens[1:])) and _REPEAT.search(text):
         return "filler", []
-    low = _lower(text)
+    low = _lower(text) if low is None else low
+    words = set(_WORD.findall(low)) if words is None else words
     # every line with a trigger is parsed once
     ends = {end for end, _ in _automaton().iter(low)}
-    ends.update(m.end() - 1 for m in _PERCENT.finditer(text))
+    if "%" in text:
+        ends.update(m.end() - 1 for m in _PERCENT.finditer(text))
     last, said = -1, []
     for end in sorted(ends):
         if end < last:
@@ -270,13 +278,16 @@ def examine(text: str | None) -> tuple[str | None, list[str]]:
         last = stop if stop >= 0 else len(text)
         if residue_in_line(text[begin:last]):
             return "placeholder", []
-    for line in low.split("\n"):
-        if line and (notices.may_hold(line) or _latin_line(line)):
-            got = notice_in_line(line)
-            if got:
-                said.append(line)
-            if got and got[0] == "strong":
-                return got[1], said
+    hints = notices.hints(words, low)
+    latin = [w for w in words & _LATIN if len(w) > 3]
+    if hints or latin:
+        for line in low.split("\n"):
+            if any(h in line for h in hints) or (latin and _latin_line(line)):
+                got = notice_in_line(line, hints, bool(latin))
+                if got:
+                    said.append(line)
+                if got and got[0] == "strong":
+                    return got[1], said
     return None, said
 
 
@@ -302,12 +313,12 @@ HOST_SHARE = 0.01
 COMMON = 0.01
 
 _FACTS = "doc_id long, host string, id string, kind string, title string, units array<struct<body:binary,words:array<string>>>"
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_DIGITS = re.compile(r"\d+")
 
 
-def _unit(text: str) -> dict:
+def _unit(text: str, words: set[str]) -> dict:
     """A 128-bit fingerprint of a text up to numbers and spaces, and its terms."""
-    return {"body": blake2b(re.sub(r"\d+", "0", " ".join(text.split())).encode("utf-8", "replace"), digest_size=16).digest(), "words": list(set(_TERM.findall(text)))}
+    return {"body": blake2b(_DIGITS.sub("0", " ".join(text.split())).encode("utf-8", "replace"), digest_size=16).digest(), "words": [w for w in words if len(w) >= 4]}
 
 
 def facts(df: DataFrame) -> DataFrame:
@@ -318,12 +329,14 @@ def facts(df: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, host, id_, text in zip(pdf["doc_id"], pdf["host"], pdf["id"], pdf["text"]):
-                kind, said = examine(text)
-                title, units = None, []
+                kind, title, units = None, None, []
                 if text and text.strip():
-                    title, _, rest = text.strip().lower().partition("\n")
+                    low = _lower(text)
+                    title, _, rest = low.strip().partition("\n")
                     title, rest = (" ".join(title.split()), rest) if rest else (None, title)
-                    units = [_unit(rest), *[_unit(x) for x in dict.fromkeys(said) if x.split() != rest.split()]]
+                    words = set(_WORD.findall(rest))
+                    kind, said = examine(text, low, words.union(_WORD.findall(title)) if title else words)
+                    units = [_unit(rest, words), *[_unit(x, set(_WORD.findall(x))) for x in dict.fromkeys(said) if x.split() != rest.split()]]
                 rows.append((doc, host, id_, kind, title, units))
             yield pd.DataFrame(rows, columns=["doc_id", "host", "id", "kind", "title", "units"])
 
@@ -346,8 +359,9 @@ def _shares(asked: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
     n = every.count()
     weight = every.select(F.explode("terms").alias("term")).groupBy("term").agg(F.greatest(F.lit(0.0), F.log((n * COMMON + 10) / F.count(F.lit(1)))).alias("w"))
     rows = asked.select(*keys, F.explode("terms").alias("term"), "words").select(*keys, "term", F.array_contains("words", F.col("term")).alias("held"))
-    used = weight.join(small_or_plain(rows.select("term").distinct()), "term", "left_semi")
-    got = lookup(rows, used, ["term"]).groupBy(*keys).agg(F.sum("w").alias("all__"), F.sum(F.when(F.col("held"), F.col("w")).otherwise(0.0)).alias("held__"))
+    rows = materialize(rows)  # of suspects only
+    used = materialize(weight.join(small_or_plain(rows.select("term").distinct()), "term", "left_semi"))
+    got = lookup_small(rows, used, ["term"]).groupBy(*keys).agg(F.sum("w").alias("all__"), F.sum(F.when(F.col("held"), F.col("w")).otherwise(0.0)).alias("held__"))
     return got.filter("all__ > 0").select(*keys, (F.col("held__") / F.col("all__")).alias("share"))
 
 
@@ -363,10 +377,11 @@ def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
     # a document without an id is an address of its own
     often = ids.groupBy("body").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(1)).alias("addresses")).filter(F.col("addresses") >= MIN_DOCS)
     per_host = f.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("on_host"))
+    often = materialize(often)
     hosts = has.filter(F.col("host").isNotNull()).select("body", "host").distinct().join(small_or_plain(often.select("body")), "body", "left_semi")
     hosts = hosts.join(per_host, "host").groupBy("body").agg(F.count(F.lit(1)).alias("hosts"), F.sum("on_host").alias("on_hosts")).filter(F.col("hosts") >= MIN_HOSTS)
-    many = often.join(hosts, "body").select("body", "n", "on_hosts")
-    suspects = materialize(lookup(has, many, ["body"], "inner").withColumn("row__", F.monotonically_increasing_id()))  # one text may fill a third of all documents
+    many = materialize(often.join(hosts, "body").select("body", "n", "on_hosts"))
+    suspects = materialize(lookup_small(has, many, ["body"], "inner").withColumn("row__", F.monotonically_increasing_id()))  # one text may fill a third of all documents
     # the title is the response's own where half of the documents have it
     plain = F.regexp_replace("title", r"\d+", "0")
     own = suspects.filter("title is not null").groupBy("body", plain.alias("plain__"), "n").agg(F.count(F.lit(1)).alias("k")).filter("2 * k >= n").select("body", "plain__")
@@ -381,7 +396,7 @@ def duplicated(f: DataFrame, inputs: DataFrame) -> DataFrame:
     judged = materialize(suspects.select("row__", "doc_id", "body", "n", "on_hosts").join(best, "row__", "left"))
     shown = judged.groupBy("body", "n", "on_hosts").agg(F.count(F.when(F.col("share") < ANSWERED, 1)).alias("unlike"))
     shown = shown.filter((2 * F.col("unlike") >= F.col("n")) | (F.col("n") >= HOST_SHARE * F.col("on_hosts"))).select("body")
-    return lookup(judged.filter(F.coalesce(F.col("share"), F.lit(0.0)) < ANSWERED), shown, ["body"], "inner").select("doc_id")
+    return lookup_small(judged.filter(F.coalesce(F.col("share"), F.lit(0.0)) < ANSWERED), shown, ["body"], "inner").select("doc_id").distinct()
 
 
 def evidence(documents: DataFrame, inputs: DataFrame) -> DataFrame:
