@@ -148,7 +148,7 @@ SMALL_WORDS = _SMALL
 _PLAIN_FAILING = _FAILING - _SMALL - _THING
 #: Of these, words that tell of a failure only where a negation stands by: "access", but "no access".
 _STATE = _words("""
-found find exist exists existing available reached reach retrieved displayed shown show resolved completed complete opened open loaded load reply respond answer authorised authorized allowed permission permitted access unusual time many too out wait
+such found find exist exists existing available reached reach retrieved displayed shown show resolved completed complete opened open loaded load reply respond answer authorised authorized allowed permission permitted access unusual time many too out wait
 gefunden vorhanden verfügbar erreichbar existiert berechtigt berechtigung zugriff trouvé trouvée existe disponible autorisé autorisée accès produite survenue encontrado encontrada pudo permiso acceso disponível permissão acesso
 trovata trovato esiste disponibile accesso permesso gevonden bestaat beschikbaar toegang toegestaan
 """)
@@ -170,7 +170,7 @@ _HEADINGS = _words("construction construcción construção costruzione example
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CODE = re.compile(r"(?<![\d.,])[45]\d\d(?![\d.,]*\d)")
-_MACHINE = re.compile(r"^(?:[a-z]\w*\.)+[A-Za-z]\w*(?:Exception|Error)\b|\b(?:warning|notice|(?:fatal|parse|syntax) error): \S+.*\b(?:on )?line \d+|\btraceback \(most recent call last\)", re.IGNORECASE)
+_MACHINE = re.compile(r"(?:^|\s)(?:[a-z]\w*\.)+[A-Za-z]\w*(?:Exception|Error)(?::|$)|\b(?:warning|notice|(?:fatal|parse|syntax) error): \S+.*\b(?:on )?line \d+|\btraceback \(most recent call last\)", re.IGNORECASE)
 _MACHINES = ("exception", "error", "warning", "notice", "traceback")
 MOST_WORDS = 32
 
@@ -256,7 +256,7 @@ def read(sentence: str) -> tuple[str, str] | None:
         fault = failing - _STATE
         told = len(fault) if fault else bool(negated and has & _STATE) or {"too", "many"} <= has
         soft = bool(fault) and fault <= _SOFT and not negated
-        kind, evidence = "notice", bool(told) and min(told, 2) - soft + bool(thing or code) + bool(asking) + bool(code) + bool(has & _YOURS) + ("wrong" in has)
+        kind, evidence = "notice", bool(told) and min(told, 2) - soft + bool(thing or code) + bool(asking) + bool(code) + bool(has & _YOURS) + (len(visitor) >= 4) + ("wrong" in has)
     elif asking and len(visitor) >= 2:
         kind, evidence = "notice", 1 + (n <= 4) + (len(asking) >= 2) + (len(visitor) >= 3)
     elif unwritten or layout & _EDITORS or (layout and has & _PROMISES and n <= 8):

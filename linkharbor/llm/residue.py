@@ -216,14 +216,16 @@ def residue_in_line(line: str) -> str | None:
 
 
 def _filler(sentence: str) -> bool:
-    """Pseudo-Latin: half of the words are of the list or other endings of it, a quarter of the list itself, and none is a
-    small word of a living language."""
+    """Pseudo-Latin: most words are of the list or other endings of its words; without the small words that a living language
+    needs, half of them in a short sentence and a third in a longer one are enough."""
     words = _WORD.findall(sentence.lower())
-    exact = sum(w in _LATIN and len(w) > 3 for w in words)
-    if len(words) < 4 or exact * 4 < len(words):
+    n, exact = len(words), sum(w in _LATIN and len(w) > 3 for w in words)
+    if n < 4 or exact * (4 if n < 8 else 6) < n:
         return False
     alike = sum(w in _LATIN or w[:4] in _LATIN_STEMS for w in words)
-    return alike >= 0.8 * len(words) or (alike >= 0.5 * len(words) and not any(w in notices.SMALL_WORDS and w not in _LATIN for w in words))
+    if alike >= 0.8 * n:
+        return exact * 4 >= n
+    return alike >= (0.5 if n < 8 else 0.35) * n and not any(w in notices.SMALL_WORDS and w not in _LATIN for w in words)
 
 
 def notice_in_line(line: str, hints: list[str] | None = None, latin: bool = True) -> tuple[str, str] | None:

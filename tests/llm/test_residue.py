@@ -199,7 +199,7 @@ def test_verdict_does_not_change_with_the_table(spark):
 
 def test_weak_lines_are_decided_by_hosts(spark):
     """A line that may be a notice or speak of notices, in texts about different things, at addresses that ask for others."""
-    weak = "If the problem persists, contact the help desk and quote reference"
+    weak = "The record was moved to the blue catalogue"
     assert residue.detect(weak) is None and residue.examine(weak)[1]
     about = ["pump", "wave", "grain", "cloud", "river", "forest", "glacier", "meadow"]
     rows = [(k, f"On the {a} of Bel\n{weak} {k}.\nThe {a} was measured.", f"h{k % 4}", f"i{k}") for k, a in enumerate(about)]
