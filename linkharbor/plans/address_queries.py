@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions import filters, special_sites, urls
 from ..functions import patterns as P
 from ..shared import table
+from . import filter_sql
 
 S, D = SparkSession, DataFrame
 
@@ -137,7 +138,7 @@ def url_text_rules(spark: S, d: str) -> D:
     """URL19-22: local hosts, request encoding, view pages and extensions."""
     u = F.col("u")
     t = _made(spark, d)
-    local = F.replace(u, F.lit("e.org"), F.lit("localhost:8080"))
+    local = F.replace(u, F.lit("//e.org"), F.lit("//localhost:8080"))
     return t.select("seq", urls.replace_localhost(local, F.lit("repo.example.org")).alias("global"), urls.ascii_encode(F.concat(u, F.lit(" é"))).alias("encoded"), urls.view_to_download(u).alias("download"), urls.extension(urls.doc_id(u)).alias("extension"))
 
 
@@ -192,7 +193,7 @@ def filter_flags(spark: S, d: str) -> D:
 
 
 def filter_lookaround(spark: S, d: str) -> D:
-    """FLT3, 4, 6, 9, 13: rows-only, as their look-around has no RE2 form."""
+    """FLT3, 4, 6, 9, 13: the patterns with look-around."""
     low = F.lower("u")
     return _urls(spark, d).select(
         "record_id", filters.directory(low).alias("directory"), filters.specific_domain(low).alias("domain"), filters.irrelevant_extension(low).alias("extension"),
@@ -256,6 +257,15 @@ SQL = {
     "url_parts": f"SELECT record_id, regexp_matches({_M.format('sourceurl')}, '{_T}') AS matches, {_dom('sourceurl')} AS domain, {_pth('sourceurl')} AS path, {_did('sourceurl')} AS doc_id FROM output_record",
     "url_top3": f"""WITH t AS (SELECT {_dom('sourceurl')} AS d FROM output_record)
 SELECT coalesce(nullif(regexp_extract(d, '{_q(P.full(P.TOP_THREE))}', 1), ''), d) AS site, count(*) AS n_rows FROM t GROUP BY ALL""",
+    "filter_lookaround": f"SELECT record_id, {filter_sql.directory('u')} AS directory, {filter_sql.specific_domain('u')} AS domain, {filter_sql.irrelevant_extension('u')} AS extension, {filter_sql.plain_page('u')} AS plain_page, {filter_sql.not_a_document('u')} AS not_a_document FROM (SELECT record_id, lower(sourceurl) AS u FROM output_record)",
+    "reject_reasons": f"SELECT CASE WHEN u IS NOT NULL THEN {filter_sql.reject_reason('u')} END AS reason, count(*) AS n_rows FROM (SELECT lower(sourceurl) AS u FROM output_record) GROUP BY ALL",
+    "accepted_links": f"SELECT record_id FROM (SELECT record_id, lower(sourceurl) AS u FROM output_record) WHERE {filter_sql.accept_internal_link('u')}",
+    "url_text_rules": f"""WITH {_MADE_SQL} SELECT seq, CASE WHEN seq % 8 IN (2, 3, 6, 7) THEN replace(u, '//e.org', '//repo.example.org') ELSE u END AS global, u || '%20%C3%A9' AS encoded,
+  CASE WHEN seq % 8 = 2 THEN replace(u, '/view/', '/download/') ELSE u END AS download, CASE WHEN seq % 8 = 6 THEN '.pdf' END AS extension FROM made""",
+    "url_normalized": r"""WITH t AS (SELECT record_id, trim(sourceurl) AS u FROM output_record),
+p AS (SELECT record_id, lower(regexp_extract(u, '(?i)^(https?)://', 1)) AS s, lower(regexp_extract(u, '(?i)^https?://([^/?#:]+)', 1)) AS h, regexp_extract(u, '(?i)^https?://[^/?#:]+:([0-9]+)', 1) AS port,
+  regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#]+(.*)$', 1), '#.*$', '') AS r FROM t)
+SELECT record_id, CASE WHEN h <> '' THEN s || '://' || h || CASE WHEN port = '' OR (s = 'http' AND port = '80') OR (s = 'https' AND port = '443') THEN '' ELSE ':' || port END || CASE WHEN r LIKE '/%' THEN '' ELSE '/' END || r END AS canonical FROM p""",
     "url_strip_token": f"""WITH {_MADE_SQL}, x AS (SELECT seq, u, lower(u) LIKE '%token%' OR lower(u) LIKE '%jsessionid%' AS gated, regexp_extract(u, '{_TOK}', 1) AS b, regexp_extract(u, '{_TOK}', 2) AS a FROM made)
 SELECT seq, gated, CASE WHEN gated AND b <> '' THEN b || CASE WHEN a LIKE '&%' AND b NOT LIKE '%?%' THEN '?' || substr(a, 2) ELSE a END ELSE u END AS bare FROM x""",
     "url_strip_anchor": rf"""WITH {_MADE_SQL} SELECT seq, coalesce(nullif(regexp_extract(u, '\A(.+)(#[^/\n].*)\z', 1), ''), u) AS bare FROM made""",

@@ -10,7 +10,8 @@ from ..functions import filters, html, mime, outcomes, urls
 from ..operators import breakers, files, learned, output, pages, pipeline, scale, select, stats
 from ..shared import materialize, missing, table
 from ..sources import inputs
-from .address_queries import _did, _dom, _pth, _q
+from . import filter_sql
+from .address_queries import _TOK, _did, _dom, _pth, _q
 
 S, D = SparkSession, DataFrame
 
@@ -582,7 +583,7 @@ def mime_table(spark: S, d: str) -> D:
 
 
 def page_mimes(spark: S, d: str) -> D:
-    """FLT20: types that would be pages (rows-only: look-ahead)."""
+    """FLT20: types that would be pages."""
     m = F.lower("mimetype")
     return table(spark, d, "output_record").filter(~missing(m)).groupBy("mimetype").agg(F.first(filters.page_mime(m)).alias("is_page"))
 
@@ -692,7 +693,30 @@ _ST = "e'a\\ndiv_main\\nbody\\nhtml\\n'"
 _SF = "e'form\\ndiv_main\\nbody\\nhtml\\n'"
 _MIME_ROWS = ", ".join(f"('{m}', 'document')" for m in mime.document_mimes()) + ", " + ", ".join(f"('{m}', 'dataset')" for m in P.DATASET_MIMES)
 
+_BARE = f"CASE WHEN (lower(url) LIKE '%token%' OR lower(url) LIKE '%jsessionid%') AND regexp_extract(url, '{_TOK}', 1) <> '' THEN regexp_extract(url, '{_TOK}', 1) || CASE WHEN regexp_extract(url, '{_TOK}', 2) LIKE '&%' AND regexp_extract(url, '{_TOK}', 1) NOT LIKE '%?%' THEN '?' || substr(regexp_extract(url, '{_TOK}', 2), 2) ELSE regexp_extract(url, '{_TOK}', 2) END ELSE url END"
+_CHECKED = f"""dec AS (SELECT url, {_dom('url')} AS domain, {_pth('url')} AS path, {_BARE} AS bare, {filter_sql.reject_reason('lower(url)')} AS why FROM (SELECT DISTINCT url FROM sample_input WHERE url IS NOT NULL)),
+chk AS (SELECT s.seq, s.id, s.url, d.domain, d.path, CASE WHEN contains(bare, 'ir.lib.u-ryukyu.ac.jp') AND contains(bare, '/handle/123456789/') THEN replace(bare, '/123456789/', '/20.500.12000/') ELSE replace(bare, 'amp;', '&') END AS clean,
+  CASE WHEN d.domain IS NULL THEN 'no domain' ELSE why END AS reject FROM sample_input s LEFT JOIN dec d ON d.url = s.url)"""
+_BESTOK = _CHECKED + ", " + _BEST.replace(_A, "a AS (SELECT seq, id, clean AS url, false AS f FROM chk WHERE reject IS NULL)")
+_EXT = f"nullif(regexp_extract({{0}}, '{_q(P.EXTENSION)}', 1), '')"
+
 SQL = {
+    "input_acceptance": f"""WITH {_ALL}, bp AS ({_paths(breakers.PATH_403)}), {_CHECKED}
+SELECT CASE WHEN chk.domain IS NULL THEN 'no domain' WHEN al.domain IS NOT NULL THEN 'blacklisted' WHEN bp.path IS NOT NULL THEN 'blocked path' ELSE reject END AS reject, count(*) AS n_rows
+FROM chk LEFT JOIN al ON al.domain = chk.domain LEFT JOIN bp ON bp.domain = chk.domain AND bp.path = chk.path GROUP BY ALL""",
+    "best_url_accepted": f"WITH {_BESTOK} SELECT choice, count(*) AS n_ids FROM best GROUP BY ALL",
+    "ids_without_url": f"WITH {_BESTOK} SELECT DISTINCT id FROM sample_input s WHERE id IS NULL OR NOT EXISTS (SELECT 1 FROM best b WHERE b.id = s.id)",
+    "best_sites": f"""WITH {_BESTOK}, o AS (SELECT sourceurl AS url, count(*) AS n, count(*) FILTER (docordataseturl LIKE 'http%') AS f FROM output_record GROUP BY ALL), t AS (SELECT {_dom('b.url')} AS domain, choice, n, f FROM best b LEFT JOIN o ON o.url = b.url)
+SELECT {_SITE} AS site, choice, count(*) AS n_ids, coalesce(sum(n), 0)::BIGINT AS n_records, coalesce(sum(f), 0)::BIGINT AS n_found FROM t GROUP BY ALL""",
+    "page_mimes": f"SELECT mimetype, bool_or({filter_sql.page_mime('lower(mimetype)')}) AS is_page FROM output_record WHERE mimetype IS NOT NULL AND mimetype <> 'null' GROUP BY ALL",
+    "model_phases": "WITH t AS (SELECT row_number() OVER (ORDER BY seq) AS n FROM sample_input) SELECT CASE WHEN n <= 5000 THEN 'learn' WHEN (n - 5000) % 31000 <= 1000 THEN 'run' ELSE 'sleep' END AS phase, count(*) AS n_rows FROM t GROUP BY ALL",
+    "html_error_text": "SELECT record_id AS page_id, CASE record_id % 10 WHEN 2 THEN 'PDF' WHEN 3 THEN 'PDF' WHEN 4 THEN 'x more' WHEN 5 THEN NULL WHEN 6 THEN 'get' WHEN 7 THEN 'mail top' ELSE 'see the paper more' END AS text FROM output_record",
+    "path_predict": f"""WITH f AS (SELECT record_id AS seq, pageurl AS p, docordataseturl AS t FROM output_record WHERE docordataseturl LIKE 'http%'),
+tr AS (SELECT seq, {_pth('p')} AS pp, {_pth('t')} AS dp, {_EXT.format(_did('t'))} AS ext FROM f WHERE p <> t AND {_did('t')} IS NOT NULL),
+m AS (SELECT DISTINCT pp, dp, count(DISTINCT dp) OVER (PARTITION BY pp) AS n FROM tr WHERE pp IS NOT NULL AND dp IS NOT NULL), e AS (SELECT dp, arg_max(ext, seq) AS ext FROM tr WHERE ext IS NOT NULL AND pp IS NOT NULL GROUP BY dp),
+g AS (SELECT DISTINCT p, {_pth('p')} AS pp, {_did('p')} AS i FROM f), b AS (SELECT p, pp, CASE WHEN {filter_sql.plain_page('lower(i)')} THEN regexp_replace(i, '\.[^._-]+$', '') ELSE i END AS i FROM g WHERE i IS NOT NULL),
+x AS (SELECT b.p, m.dp || b.i || coalesce(e.ext, '') AS predicted FROM b JOIN m ON m.pp = b.pp AND m.n <= 5 LEFT JOIN e ON e.dp = m.dp)
+SELECT x.p AS page_url, x.predicted FROM x WHERE EXISTS (SELECT 1 FROM f WHERE f.p = x.p AND f.t = x.predicted)""",
     "next_best_url": f"WITH a1 AS (SELECT * FROM (WITH {_A0} SELECT * FROM a)), failed AS (SELECT id, seq FROM (WITH {_BEST0} SELECT * FROM best) WHERE seq % 3 = 0), {_BEST2} SELECT id, seq FROM best",
     "html_decisions": """WITH n AS (SELECT record_id % 10 AS k, count(*) AS n FROM output_record GROUP BY ALL), t(k, tag, decision, m) AS (VALUES (0, 'a', 'gather', 2), (1, 'a', 'gather', 2), (2, 'a', 'found', 1), (3, 'a', 'skip', 1), (4, 'a', 'dynamic', 1),
   (4, 'a', 'gather', 1), (5, 'form', 'found', 1), (6, 'a', 'found', 1), (7, 'a', 'skip', 2), (8, 'a', 'gather', 2), (9, 'a', 'gather', 2)) SELECT n.k, tag, decision, n * m AS n FROM n JOIN t ON n.k = t.k""",
