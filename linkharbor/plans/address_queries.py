@@ -85,6 +85,12 @@ def url_repairs(spark: S, d: str) -> D:
     return _made(spark, d).select("seq", urls.repair_ampersands(u).alias("repaired"), urls.drop_encoded_ampersands(u).alias("dropped"), urls.needs_get(u).alias("needs_get"), urls.rewrite_handle(u).alias("handle"))
 
 
+def url_rules_input(spark: S, d: str) -> D:
+    """URL6-9, 11 on all input urls as they are written."""
+    u = F.col("url")
+    return table(spark, d, "sample_input").select("seq", urls.strip_temporal_id(u).alias("bare"), urls.strip_anchor(u).alias("unanchored"), urls.rewrite_handle(u).alias("handle"))
+
+
 def url_normalized(spark: S, d: str) -> D:
     """URL12: canonical form; addresses that have none are rejected."""
     return _urls(spark, d).select("record_id", urls.normalize("u").alias("canonical"))
@@ -231,7 +237,7 @@ def content_size_gate(spark: S, d: str) -> D:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_parts, url_top3, url_strip_token, url_strip_anchor, url_repairs, url_normalized, link_resolve, link_resolve_all, url_redirect_kinds, direct_link_flag, url_offline_upgrade, url_text_rules, special_site_rewrite,
+        url_parts, url_top3, url_strip_token, url_strip_anchor, url_repairs, url_rules_input, url_normalized, link_resolve, link_resolve_all, url_redirect_kinds, direct_link_flag, url_offline_upgrade, url_text_rules, special_site_rewrite,
         special_site_dead, filter_flags, filter_lookaround, reject_reasons, accepted_links, access_rights, content_size_gate,
     )
 }
@@ -262,10 +268,14 @@ SELECT coalesce(nullif(regexp_extract(d, '{_q(P.full(P.TOP_THREE))}', 1), ''), d
     "accepted_links": f"SELECT record_id FROM (SELECT record_id, lower(sourceurl) AS u FROM output_record) WHERE {filter_sql.accept_internal_link('u')}",
     "url_text_rules": f"""WITH {_MADE_SQL} SELECT seq, CASE WHEN seq % 8 IN (2, 3, 6, 7) THEN replace(u, '//e.org', '//repo.example.org') ELSE u END AS global, u || '%20%C3%A9' AS encoded,
   CASE WHEN seq % 8 = 2 THEN replace(u, '/view/', '/download/') ELSE u END AS download, CASE WHEN seq % 8 = 6 THEN '.pdf' END AS extension FROM made""",
-    "url_normalized": r"""WITH t AS (SELECT record_id, trim(sourceurl) AS u FROM output_record),
+    "url_normalized": r"""WITH t AS (SELECT record_id, regexp_replace(regexp_replace(sourceurl, '^[\s\x{a0}\x{2003}]+|[\s\x{a0}\x{2003}]+$', '', 'g'), '[\t\r\n]', '', 'g') AS u FROM output_record),
 p AS (SELECT record_id, lower(regexp_extract(u, '(?i)^(https?)://', 1)) AS s, lower(regexp_extract(u, '(?i)^https?://([^/?#:]+)', 1)) AS h, regexp_extract(u, '(?i)^https?://[^/?#:]+:([0-9]+)', 1) AS port,
-  regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#]+(.*)$', 1), '#.*$', '') AS r FROM t)
+  regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#]+(.*)$', 1), '#.*$', ''), '/\.$', '/'), ' ', '%20'), '–', '%E2%80%93'), chr(8195), '%E2%80%83'), '\?$', '') AS r FROM t)
 SELECT record_id, CASE WHEN h <> '' THEN s || '://' || h || CASE WHEN port = '' OR (s = 'http' AND port = '80') OR (s = 'https' AND port = '443') THEN '' ELSE ':' || port END || CASE WHEN r LIKE '/%' THEN '' ELSE '/' END || r END AS canonical FROM p""",
+    "url_rules_input": rf"""WITH x AS (SELECT seq, url AS u, lower(url) LIKE '%token%' OR lower(url) LIKE '%jsessionid%' AS gated, regexp_extract(url, '{_TOK}', 1) AS b, regexp_extract(url, '{_TOK}', 2) AS a FROM sample_input)
+SELECT seq, CASE WHEN gated AND b <> '' THEN b || CASE WHEN a LIKE '&%' AND b NOT LIKE '%?%' THEN '?' || substr(a, 2) ELSE a END ELSE u END AS bare, coalesce(nullif(regexp_extract(u, '\A(.+)(#[^/
+].*)\z', 1), ''), u) AS unanchored,
+  CASE WHEN contains(u, 'ir.lib.u-ryukyu.ac.jp') AND contains(u, '/handle/123456789/') THEN replace(u, '/123456789/', '/20.500.12000/') ELSE replace(u, 'amp;', '&') END AS handle FROM x""",
     "url_strip_token": f"""WITH {_MADE_SQL}, x AS (SELECT seq, u, lower(u) LIKE '%token%' OR lower(u) LIKE '%jsessionid%' AS gated, regexp_extract(u, '{_TOK}', 1) AS b, regexp_extract(u, '{_TOK}', 2) AS a FROM made)
 SELECT seq, gated, CASE WHEN gated AND b <> '' THEN b || CASE WHEN a LIKE '&%' AND b NOT LIKE '%?%' THEN '?' || substr(a, 2) ELSE a END ELSE u END AS bare FROM x""",
     "url_strip_anchor": rf"""WITH {_MADE_SQL} SELECT seq, coalesce(nullif(regexp_extract(u, '\A(.+)(#[^/\n].*)\z', 1), ''), u) AS bare FROM made""",

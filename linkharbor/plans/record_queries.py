@@ -190,7 +190,7 @@ def body_sniff(spark: S, d: str) -> D:
     k = F.pmod("doc_id", F.lit(4))
     head = F.when(k == 0, "<?xml version='1.0'?>\n\n  <!DOCTYPE html><html>\n").when(k == 1, "%PDF-1.6 binary\n").when(k == 2, "<!-- made -->\n<html>\n").otherwise("")
     s = mime.sniff_body(F.concat(head, F.coalesce("text", F.lit(""))))
-    return table(spark, d, "documents").select("doc_id", k.alias("k"), s["kind"].alias("kind")).filter("k < 3 or kind is not null")
+    return table(spark, d, "documents").select("doc_id", k.alias("k"), s["kind"].alias("kind"))
 
 
 def retry_classify(spark: S, d: str) -> D:
@@ -304,6 +304,15 @@ def breaker_content(spark: S, d: str) -> D:
     return out
 
 
+def breaker_defaults(spark: S, d: str) -> D:
+    """CB1-7 by themselves at their own thresholds: domains that each kind would block, and when."""
+    e = _events(spark, d)
+    out = breakers.blocked_by_paths(e)
+    for k in breakers.THRESHOLDS:
+        out = out.unionByName(breakers.blocked(e, k).select("domain", "kind", "block_seq"))
+    return out
+
+
 def breaker_403(spark: S, d: str) -> D:
     """CB7, AG5: paths, and domains with several blocked paths (low thresholds)."""
     e = _events(spark, d)
@@ -328,6 +337,12 @@ def adaptive_cutoff(spark: S, d: str) -> D:
     return breakers.hit_cutoff(e, 20, 45.0)
 
 
+def adaptive_cutoff_default(spark: S, d: str) -> D:
+    """WN9, CB11 at 0.2 percent: a hit in a thousand checks, which is too few."""
+    e = table(spark, d, "output_record").select(F.col("record_id").alias("seq"), (F.pmod("record_id", F.lit(1000)) == 1).alias("hit"))
+    return breakers.hit_cutoff(e)
+
+
 def prediction_breaker(spark: S, d: str) -> D:
     """CB8 on events as prediction outcomes."""
     return breakers.path_predictions_blocked(_events(spark, d).filter("domain is not null").select("seq", "domain", (F.col("kind") == "ok_doc").alias("hit"))).select("domain", "block_seq")
@@ -591,7 +606,7 @@ def page_mimes(spark: S, d: str) -> D:
 def link_rules(spark: S, d: str) -> D:
     """FLT14-16, 23, 25 and 26 on source and page urls."""
     u, p = F.col("sourceurl"), F.col("pageurl")
-    return table(spark, d, "output_record").filter(p.isNotNull()).select(
+    return table(spark, d, "output_record").select(
         "record_id", filters.content_page_skip(u).alias("content_page"), filters.shared_site_session(u).alias("shared"), filters.dynamic_link(u).alias("dynamic"),
         F.coalesce(filters.same_site(u, urls.domain(p)), F.lit(False)).alias("same_site"), filters.document_text(F.lower(F.element_at(F.split(u, "/"), -1))).alias("named"),
     )
@@ -614,7 +629,7 @@ def best_sites(spark: S, d: str) -> D:
 _NAMES = (
     parse_json_input, plain_url_input, loaded_accounting, input_dedup_emit, group_urls_by_id, input_acceptance, best_url_per_id, best_url_accepted, skipped_urls, ids_without_url, next_best_url, every_pair,
     batch_progress, recrossed_urls, anti_duplicate, anti_blacklist, anti_403_path, known_mime, hash_dedup, mime_classify, mime_plain, body_sniff, retry_classify, status_action, outcome_flags, output_json,
-    file_md5_size, file_number, file_dup_suffix, file_dup_suffix_all, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff,
+    file_md5_size, file_number, file_dup_suffix, file_dup_suffix_all, original_filename, download_plan, breaker_5xx, breaker_timeout, breaker_content, breaker_defaults, breaker_403, breaker_all, breaker_suppressed, adaptive_cutoff, adaptive_cutoff_default,
     prediction_breaker, model_phases, run_statistics, run_statistics_by_load, domain_hits, domains_by_connections, politeness_delay, log_counts, log_gaps, sorted_average, elapsed_time, learned_paths,
     path_predict, html_meta, html_links, html_decisions, html_text, html_error_text, dom_structures, dom_predict, candidate_links, first_page_link, crawl_outcomes, run_records, redirect_chains, best_sites, failed_tasks, error_rows, outcome_union,
     request_methods, mime_table, page_mimes, link_rules,
@@ -714,7 +729,7 @@ SELECT {_SITE} AS site, choice, count(*) AS n_ids, coalesce(sum(n), 0)::BIGINT A
     "path_predict": f"""WITH f AS (SELECT record_id AS seq, pageurl AS p, docordataseturl AS t FROM output_record WHERE docordataseturl LIKE 'http%'),
 tr AS (SELECT seq, {_pth('p')} AS pp, {_pth('t')} AS dp, {_EXT.format(_did('t'))} AS ext FROM f WHERE p <> t AND {_did('t')} IS NOT NULL),
 m AS (SELECT DISTINCT pp, dp, count(DISTINCT dp) OVER (PARTITION BY pp) AS n FROM tr WHERE pp IS NOT NULL AND dp IS NOT NULL), e AS (SELECT dp, arg_max(ext, seq) AS ext FROM tr WHERE ext IS NOT NULL AND pp IS NOT NULL GROUP BY dp),
-g AS (SELECT DISTINCT p, {_pth('p')} AS pp, {_did('p')} AS i FROM f), b AS (SELECT p, pp, CASE WHEN {filter_sql.plain_page('lower(i)')} THEN regexp_replace(i, '\.[^._-]+$', '') ELSE i END AS i FROM g WHERE i IS NOT NULL),
+g AS (SELECT DISTINCT p, {_pth('p')} AS pp, {_did('p')} AS i FROM f), b AS (SELECT p, pp, CASE WHEN {filter_sql.plain_page('lower(i)')} THEN regexp_replace(i, '\\.[^._-]+$', '') ELSE i END AS i FROM g WHERE i IS NOT NULL),
 x AS (SELECT b.p, m.dp || b.i || coalesce(e.ext, '') AS predicted FROM b JOIN m ON m.pp = b.pp AND m.n <= 5 LEFT JOIN e ON e.dp = m.dp)
 SELECT x.p AS page_url, x.predicted FROM x WHERE EXISTS (SELECT 1 FROM f WHERE f.p = x.p AND f.t = x.predicted)""",
     "next_best_url": f"WITH a1 AS (SELECT * FROM (WITH {_A0} SELECT * FROM a)), failed AS (SELECT id, seq FROM (WITH {_BEST0} SELECT * FROM best) WHERE seq % 3 = 0), {_BEST2} SELECT id, seq FROM best",
@@ -749,7 +764,7 @@ UNION ALL SELECT coalesce(id, 'unretrievable'), u, CASE WHEN silent THEN 'null'
     "request_methods": "SELECT CASE WHEN seq % 4 IN (0, 2) OR contains(coalesce(domain, ''), 'meetingorganizer.copernicus.org') THEN 'GET' ELSE 'HEAD' END AS method, count(*) AS n FROM domain_event GROUP BY ALL",
     "mime_table": f"WITH m(mimetype, category) AS (VALUES {_MIME_ROWS}) SELECT mimetype, category, count(*) AS n FROM m JOIN output_record USING (mimetype) GROUP BY ALL",
     "link_rules": f"""SELECT record_id, contains(sourceurl, 'viewcontent.cgi') AS content_page, contains(lower(sourceurl), 'sharedsitesession') AS shared, contains(sourceurl, '{{{{') OR contains(sourceurl, '<?') AS dynamic,
-  coalesce(contains(sourceurl, {_dom('pageurl')}), false) AS same_site, regexp_full_match(lower(string_split(sourceurl, '/')[-1]), '{_q(P.DOCUMENT_TEXT)}') AS named FROM output_record WHERE pageurl IS NOT NULL""",
+  coalesce(contains(sourceurl, {_dom('pageurl')}), false) AS same_site, regexp_full_match(lower(string_split(sourceurl, '/')[-1]), '{_q(P.DOCUMENT_TEXT)}') AS named FROM output_record""",
     "parse_json_input": """SELECT seq, CASE seq % 10 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 1 THEN seq::VARCHAR WHEN 2 THEN 'null' WHEN 4 THEN seq::VARCHAR ELSE id END AS id,
   CASE seq % 10 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'u' || seq WHEN 4 THEN 'u' ELSE url END AS url,
   CASE seq % 10 WHEN 0 THEN 'bad' WHEN 3 THEN 'empty' WHEN 5 THEN 'bad' WHEN 1 THEN 'unreachable' ELSE 'ok' END AS status FROM sample_input""",
@@ -771,8 +786,8 @@ UNION ALL SELECT coalesce(id, 'unretrievable'), u, CASE WHEN silent THEN 'null'
   FROM output_record WHERE filehash IS NOT NULL AND filehash <> 'null') WHERE record_id > f""",
     "mime_classify": f"SELECT seq, {_case('seq % 9', [c and c[0] for c in _CLASSES])} AS mime_type, {_case('seq % 9', [c and c[1] for c in _CLASSES])} AS category FROM sample_input",
     "mime_plain": f"SELECT record_id, CASE WHEN length(mimetype) <= 255 THEN nullif(regexp_extract(mimetype, '{_q(P.PLAIN_MIME)}', 1), '') END AS plain FROM output_record WHERE mimetype IS NOT NULL",
-    "body_sniff": """SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'html' ELSE 'undefined' END AS kind FROM documents
-WHERE doc_id % 4 < 3 OR regexp_matches(text, '(?m)^.*\\S.*\\S.*$') OR regexp_matches(text, '(?m)^.*\\S.+$') OR regexp_matches(text, '(?m)^.+\\S.*$')""",
+    "body_sniff": """SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'html'
+  ELSE CASE WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '\\s+'))) > 0 THEN 'undefined' END END AS kind FROM documents""",
     "retry_classify": f"""WITH t AS (SELECT record_id, sourceurl, error, {_CODE} AS c, contains(error, 'timed out') OR contains(error, 'no answer') AS t, contains(error, 'blocked') AS b FROM output_record WHERE error IS NOT NULL AND error <> 'null'),
 k AS (SELECT *, CASE WHEN c IN ('400', '404', '410', '414', '422') THEN 1 WHEN c IN ('403', '408', '425', '426', '429', '503') THEN 2 WHEN c IS NOT NULL THEN 3 WHEN t THEN 4 WHEN b THEN 5 ELSE 3 END AS k FROM t)
 SELECT record_id, CASE k WHEN 1 THEN 'false' ELSE 'true' END AS was_valid,
@@ -804,6 +819,9 @@ SELECT seq, CASE WHEN is_duplicate THEN NULL WHEN k > 0 THEN id || '(' || k || '
     "breaker_suppressed": f"WITH {_ALL} SELECT e.domain, count(*) FILTER (coalesce(e.seq > al.block_seq, false)) AS n_suppressed, count(*) AS n_events FROM domain_event e LEFT JOIN al ON al.domain = e.domain GROUP BY e.domain",
     "adaptive_cutoff": """WITH t AS (SELECT seq, kind = 'ok_doc' AS hit, row_number() OVER w AS n_checked, (sum((kind = 'ok_doc')::INT) OVER w)::BIGINT AS n_hits FROM domain_event WHERE kind IN ('ok_doc', 'no_docs') WINDOW w AS (ORDER BY seq)),
 s AS (SELECT min(seq) FILTER (n_checked >= 20 AND n_hits * 100.0 / n_checked < 45) AS s FROM t) SELECT seq, hit, n_checked, n_hits, coalesce(seq < s, true) AS goes_on FROM t, s""",
+    "breaker_defaults": " UNION ALL ".join([_by_paths(breakers.PATH_403, breakers.PATHS_403)] + [f"SELECT domain, kind, block_seq FROM ({_breaker(k, n)})" for k, n in breakers.THRESHOLDS.items()]),
+    "adaptive_cutoff_default": """WITH t AS (SELECT record_id AS seq, record_id % 1000 = 1 AS hit, row_number() OVER w AS n_checked, (sum((record_id % 1000 = 1)::INT) OVER w)::BIGINT AS n_hits FROM output_record WINDOW w AS (ORDER BY record_id)),
+s AS (SELECT min(seq) FILTER (n_checked >= 20 AND n_hits * 100.0 / n_checked < 0.2) AS s FROM t) SELECT seq, hit, n_checked, n_hits, coalesce(seq < s, true) AS goes_on FROM t, s""",
     "prediction_breaker": "SELECT domain, seq AS block_seq FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS k FROM domain_event WHERE kind <> 'ok_doc' AND domain IS NOT NULL) WHERE k = 11 AND domain NOT IN ('zenodo.org', 'doi.org', 'dx.doi.org')",
     "run_statistics": f"WITH s AS ({_STATS} FROM output_record) SELECT *, " + ", ".join(f"{_pct('n_' + k)} AS pct_{k}" for k in ("found", "direct", "duplicates", "unreachable", "invalid", "files", "errors")) + ", greatest(n_checked - n_found - n_errors, 0) AS n_rest FROM s",
     "run_statistics_by_load": f"WITH s AS ({_STATS}, load_id FROM output_record GROUP BY ROLLUP (load_id)) SELECT load_id, n_rows, n_found, {_pct('n_found')} AS pct_found FROM s",
