@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _drop_written() -> None:
-    for spark, path in _written:
+def _drop_written(keep: int = 0) -> None:
+    for spark, path in _written[keep:]:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
-    _written.clear()
+    del _written[keep:]
+
+
+@contextmanager
+def scratch():
+    """Tables that ``materialize`` writes inside the block are removed at its end, for sessions that outlive many runs."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _drop_written(before)
 
 
 atexit.register(_drop_written)
@@ -54,7 +65,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Used where a plan would otherwise run an expensive or non-repeatable step twice.  The table is removed
-    when the Python driver ends.
+    when the Python driver ends, or at the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/linkharbor-{uuid.uuid4().hex}"

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -58,15 +59,29 @@ def loaded_rows(n_lines: Column, n_bad: Column, header: bool = False) -> Column:
     return n_lines - n_bad - (1 if header else 0)
 
 
-def download_input(spark: SparkSession, url: str) -> DataFrame:
-    """Input lines behind an http address, fetched once by the file distribution of the session.
+def download_input(spark: SparkSession, url: str, timeout: float = 30.0) -> DataFrame:
+    """Input lines behind an http address, which must answer with JSON.
 
-    Spark adds the file to every executor; only files that a JSON reader accepts make sense here.
+    The driver fetches them once, in pieces, into the shared folder, from where all executors read them.
     """
-    from pyspark import SparkFiles
+    import urllib.request
+    import uuid
+
+    from ..shared import shared_dir
 
-    spark.sparkContext.addFile(url)
-    return text_lines(spark, "file://" + SparkFiles.get(url.rstrip("/").rsplit("/", 1)[-1]))
+    path = f"{shared_dir(spark).rstrip('/')}/linkharbor-input-{uuid.uuid4().hex}.json"
+    with urllib.request.urlopen(urllib.request.Request(url, headers=request_headers()), timeout=timeout) as r:
+        kind = r.headers.get("Content-Type", "")
+        if "json" not in kind.lower():
+            raise ValueError(f"the input must be JSON, not {kind or 'of no type'}")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+        try:
+            while piece := r.read(1 << 20):
+                out.write(bytearray(piece))
+        finally:
+            out.close()
+    return text_lines(spark, path)
 
 
 def mime_file(spark: SparkSession, path: str) -> DataFrame:
@@ -97,25 +112,31 @@ def s3_conf(credentials: str) -> dict[str, str]:
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, line_no, line) of ``.log`` files and of single-entry ``.zip`` archives.
 
-    A log is read as one value, so that its lines keep their order; many logs spread over tasks.
+    Logs are read in splits of any number; a line's number is its place in the split after the lines of the splits before.
+    An archive can't be split and is one value.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{log,zip}").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["file_name"], pdf["content"]):
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        names = z.namelist()
-                        if len(names) != 1:
-                            continue  # only single-entry archives are logs
-                        raw = z.read(names[0])
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    names = z.namelist()
+                    if len(names) != 1:
+                        continue  # only single-entry archives are logs
+                    raw = z.read(names[0])
                 lines = bytes(raw).decode("utf-8", "replace").splitlines()
                 for at in range(0, len(lines), 10_000):
                     part = lines[at : at + 10_000]
                     yield pd.DataFrame({"file_name": name, "line_no": range(at + 1, at + 1 + len(part)), "line": part})
 
-    return files.mapInPandas(run, "file_name string, line_no long, line string")
+    raw = spark.read.option("pathGlobFilter", "*.log").text(folder)
+    logs = raw.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = logs.groupBy("file_name", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file_name", "split", F.coalesce(F.sum("n").over(Window.partitionBy("file_name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file_name", "split").orderBy("at"))
+    numbered = logs.withColumn("nth", inside).join(before, ["file_name", "split"]).select("file_name", (F.col("before") + F.col("nth")).cast("long").alias("line_no"), "line")
+    return numbered.unionByName(zips.mapInPandas(run, "file_name string, line_no long, line string"))
 
 
 RESOURCE = "url string, method string, status int, headers map<string,array<string>>, final_url string, body binary, error_kind string"
@@ -126,17 +147,22 @@ def fetch(requests: DataFrame, opener=None, config: Config = Config(), timeout:
 
     Rows are partitioned by the last three domain levels, so that one task alone talks to a site and keeps its delay.
     ``opener(url, method, timeout)`` returns (status, headers, final_url, body) and may raise; None uses urllib.
-    Redirects are not followed here: they are rows of their own.
+    Redirects are not followed here: they are rows of their own.  Bodies beyond the configured size have the error kind
+    ``too large`` and are not kept, and reading one takes no longer than its size allows.  A site is asked by one task, for
+    its delay is the bound of its speed anyway.
     """
     from ..functions import urls
 
     low, high = config.politeness_ms
+    # pages only, or the documents' files as well
+    most = config.max_document_bytes if config.download_docs else config.max_html_bytes
+    opener_ = opener or partial(_urllib, most=most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
         last: dict[str, float] = {}
-        call = opener or _urllib
+        call = opener_
         for pdf in batches:
             rows = []
             for url, method, site in zip(pdf["url"], pdf["method"], pdf["site"]):
@@ -146,7 +172,8 @@ def fetch(requests: DataFrame, opener=None, config: Config = Config(), timeout:
                 last[site] = time.monotonic()
                 try:
                     status, headers, final, body = call(url, method, timeout)
-                    rows.append((url, method, status, {k.lower(): v for k, v in headers.items()}, final, body, None))
+                    large = body is not None and len(body) > most
+                    rows.append((url, method, status, {k.lower(): v for k, v in headers.items()}, final, None if large else body, "too large" if large else None))
                 except TimeoutError:
                     rows.append((url, method, None, None, None, None, "timeout"))
                 except Exception as e:  # noqa: BLE001  any failure is an answer
@@ -158,7 +185,27 @@ def fetch(requests: DataFrame, opener=None, config: Config = Config(), timeout:
     return requests.select("url", "method", site.alias("site")).repartition("site").mapInPandas(run, RESOURCE)
 
 
-def _urllib(url: str, method: str, timeout: float):
+#: Megabytes and the seconds in which so much must have been read; anything more has the last.
+_BUDGET = ((50, 45), (100, 70), (200, 140), (300, 210))
+_LONGEST = 330
+
+
+def read_body(r, length: str | None, most: int, now=None) -> bytes:
+    """The body of a response, at most one byte more than ``most``, within the time its length allows (else TimeoutError)."""
+    import time
+
+    now = now or time.monotonic
+    size = int(length) if length and length.isdigit() else 0
+    end = now() + next((s for mb, s in _BUDGET if size <= mb << 20), _LONGEST)
+    out = bytearray()
+    while len(out) <= most and (piece := r.read(min(1 << 16, most + 1 - len(out)))):
+        out += piece
+        if now() > end:
+            raise TimeoutError
+    return bytes(out)
+
+
+def _urllib(url: str, method: str, timeout: float, most: int):
     import urllib.request
 
     class Stop(urllib.request.HTTPRedirectHandler):
@@ -171,7 +218,7 @@ def _urllib(url: str, method: str, timeout: float):
     except urllib.error.HTTPError as e:
         r = e
     with r:
-        return r.status, {k: r.headers.get_all(k) for k in r.headers}, r.url, r.read() if method == "GET" else None
+        return r.status, {k: r.headers.get_all(k) for k in r.headers}, r.url, read_body(r, r.headers.get("Content-Length"), most) if method == "GET" else None
 
 
 def request_headers(language: bool = True) -> dict[str, str]:
@@ -218,8 +265,17 @@ def decoded(resources: DataFrame) -> DataFrame:
     return resources.withColumn("body", run("body", F.get(F.col("headers")["content-encoding"], F.lit(0))))
 
 
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, html) of stored pages, one file per page, named by its percent-encoded url, on any file system Spark reads."""
+    f = spark.read.format("binaryFile").load(folder)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html$", "")
+    # paths come percent-encoded once more
+    return f.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("url"), F.col("content").cast("string").alias("html"))
+
+
 class SnapshotSource(DataSource):
-    """``spark.read.format("page_snapshot").option("path", folder)``: a folder of stored pages, one file per page.
+    """``spark.read.format("page_snapshot").option("path", folder)``: a folder of stored pages, one file per page, that all
+    executors mount; ``read_snapshot`` reads any file system.
 
     Files are named by their url, percent-encoded.  One input partition per thousand files.
     """

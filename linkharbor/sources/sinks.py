@@ -88,9 +88,71 @@ def hash_stored(spark, path: str) -> DataFrame:
     return f.select("path", F.md5("content").alias("file_hash"), F.col("length").alias("file_size"))
 
 
-def object_store_upload(files: DataFrame, bucket: str, name: str = "final_name") -> DataFrame:
-    """Rows ready for an object store writer: key and content type; everything stored is a pdf (Q17)."""
-    return files.select(F.concat(F.lit(f"s3a://{bucket}/"), F.col(name)).alias("object_path"), F.lit("application/pdf").alias("content_type"), "body")
+def signed(method: str, host: str, path: str, headers: dict[str, str], body: bytes, access: str, secret: str, region: str, at: str) -> dict[str, str]:
+    """``headers`` with those of an AWS signature, version 4, of a request without a query at the time ``at`` (yyyymmddThhmmssZ)."""
+    import hashlib
+    import hmac
+
+    digest = hashlib.sha256(body).hexdigest()
+    every = {**{k.lower(): v.strip() for k, v in headers.items()}, "host": host, "x-amz-content-sha256": digest, "x-amz-date": at}
+    names = ";".join(sorted(every))
+    request = "\n".join([method, path, "", *[f"{k}:{every[k]}" for k in sorted(every)], "", names, digest])
+    scope = f"{at[:8]}/{region}/s3/aws4_request"
+    key = ("AWS4" + secret).encode()
+    for part in (at[:8], region, "s3", "aws4_request"):
+        key = hmac.new(key, part.encode(), hashlib.sha256).digest()
+    text = "\n".join(["AWS4-HMAC-SHA256", at, scope, hashlib.sha256(request.encode()).hexdigest()])
+    mark = hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+    return {**every, "authorization": f"AWS4-HMAC-SHA256 Credential={access}/{scope},SignedHeaders={names},Signature={mark}"}
+
+
+def object_put(credentials: str, timeout: float = 60.0) -> Callable[[str, bytes], str]:
+    """Store into the bucket of an object store with the protocol of S3, for ``store_files``.
+
+    ``credentials`` are the five fields of ``inputs.s3_conf``.  Everything stored is a pdf (Q17); a repeated upload overwrites.
+    """
+    from .inputs import s3_conf
+
+    c = s3_conf(credentials)
+    endpoint, bucket = c["fs.s3a.endpoint"].rstrip("/"), c["bucket"]
+    endpoint = endpoint if "://" in endpoint else "https://" + endpoint
+
+    def put(name: str, data: bytes) -> str:
+        import datetime
+        import urllib.request
+        from urllib.parse import quote, urlsplit
+
+        path = f"/{quote(bucket)}/{quote(name)}"
+        at = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+        h = signed("PUT", urlsplit(endpoint).netloc, path, {"content-type": "application/pdf"}, data, c["fs.s3a.access.key"], c["fs.s3a.secret.key"], c["fs.s3a.endpoint.region"], at)
+        with urllib.request.urlopen(urllib.request.Request(endpoint + path, data=data, method="PUT", headers=h), timeout=timeout):
+            return object_location(endpoint, bucket, name)
+
+    return put
+
+
+def stop_with_statistics(spark, query, path: str) -> DataFrame:
+    """Stop a running ``write_stream`` and give the statistics of all that was flushed; the batch under way is not lost but
+    done again by the next start."""
+    query.stop()
+    return flushed_statistics(spark, path)
+
+
+def flushed_statistics(spark, path: str) -> DataFrame:
+    """``stats.run_statistics`` of the JSON lines written so far."""
+    from ..operators import stats
+
+    names = ("docOrDatasetUrl", "wasUrlChecked", "wasUrlValid", "wasDocumentOrDatasetAccessible", "wasDirectLink", "couldRetry", "fileHash", "error")
+    m = F.from_json("value", "map<string,string>")
+    target = F.coalesce(m["docOrDatasetUrl"], m["docUrl"], m["datasetUrl"])
+    return stats.run_statistics(spark.read.text(path).select(target.alias("docordataseturl"), *[m[n].alias(n.lower()) for n in names[1:]]))
+
+
+def stop_on_interrupt(spark, query, path: str, report: Callable[[DataFrame], None]) -> None:
+    """From now on an interrupt stops the stream, and ``report`` gets the statistics of what was flushed."""
+    import signal
+
+    signal.signal(signal.SIGINT, lambda *_: report(stop_with_statistics(spark, query, path)))
 
 
 def empty_bucket(spark, bucket: str) -> None:
