@@ -285,6 +285,9 @@ SELECT seq, gated, CASE WHEN gated AND b <> '' THEN b || CASE WHEN a LIKE '&%' A
 g AS (SELECT * FROM t WHERE regexp_matches(page, '^https?://[a-z0-9.-]+/[^?#]*$'))
 SELECT record_id, CASE record_id % 4 WHEN 0 THEN regexp_extract(page, '^(https?://[^/?#]+)', 1) || '/files/x.pdf' WHEN 1 THEN page || '?view=pdf&&n=1'
   WHEN 2 THEN 'https://other.example/y.pdf' ELSE regexp_extract(page, '^(https?:)', 1) || '//cdn.example/z.pdf' END AS target, true AS agrees FROM g""",
+    "link_resolve_all": r"""WITH t AS (SELECT record_id, pageurl AS p, regexp_replace(regexp_replace(pageurl, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') AS b FROM output_record WHERE pageurl IS NOT NULL AND pageurl <> 'null'),
+u AS (SELECT *, lower(regexp_extract(b, '(?i)^(https?):', 1)) AS s, regexp_extract(b, '(?i)^https?://([^/?#]+)', 1) AS h FROM t)
+SELECT record_id, CASE record_id % 4 WHEN 0 THEN CASE WHEN s <> '' THEN s || '://' || h || '/files/x.pdf' ELSE '/files/x.pdf' END WHEN 1 THEN p || '?view=pdf&&n=1' WHEN 2 THEN 'https://other.example/y.pdf' ELSE CASE WHEN s <> '' THEN s || '://cdn.example/z.pdf' ELSE '//cdn.example/z.pdf' END END AS target FROM u""",
     "url_redirect_kinds": f"SELECT record_id, {_HTTPS} AS https, {_SLASH} AS slash, {_same('sourceurl', 'pageurl')} AS protocol FROM output_record WHERE sourceurl IS NOT NULL AND pageurl IS NOT NULL",
     "direct_link_flag": f"""SELECT record_id, CASE WHEN pageurl = docordataseturl OR {_same('pageurl', 'docordataseturl')} OR sourceurl = docordataseturl OR {_same('sourceurl', 'docordataseturl')}
   THEN 'true' ELSE 'null' END AS direct FROM output_record WHERE docordataseturl LIKE 'http%' AND pageurl IS NOT NULL""",

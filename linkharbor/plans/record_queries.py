@@ -806,6 +806,9 @@ SELECT record_id, 'Url: "u" seems to be unreachable. Received' || CASE WHEN c BE
     "file_dup_suffix": """WITH t AS (SELECT record_id AS seq, string_split(regexp_replace(lower(docordataseturl), '[?#].*', ''), '/')[-1] AS f FROM output_record WHERE docordataseturl LIKE 'http%'),
 k AS (SELECT seq, f, row_number() OVER (PARTITION BY f ORDER BY seq) - 1 AS k FROM t WHERE f LIKE '%.pdf')
 SELECT seq, CASE WHEN k > 0 THEN regexp_replace(f, '\\.pdf$', '') || '(' || k || ').pdf' ELSE f END AS final_name FROM k""",
+    "file_dup_suffix_all": """WITH t AS (SELECT record_id AS seq, string_split(regexp_replace(lower(docordataseturl), '[?#].*', ''), '/')[-1] AS f FROM output_record WHERE docordataseturl LIKE 'http%'),
+k AS (SELECT seq, f, row_number() OVER (PARTITION BY f ORDER BY seq) - 1 AS k FROM t)
+SELECT seq, CASE WHEN k > 0 THEN regexp_extract(f, '^(.*?)(\\.[^.]*)?$', 1) || '(' || k || ')' || regexp_extract(f, '^(.*?)(\\.[^.]*)?$', 2) ELSE f END AS final_name FROM k""",
     "original_filename": """WITH t AS (SELECT record_id AS seq, record_id % 3 AS k, sum((record_id % 3 = 2)::INT) OVER (ORDER BY record_id) AS n FROM output_record)
 SELECT seq, CASE k WHEN 0 THEN 'f' || seq || '.pdf' WHEN 1 THEN 'x' || seq || '.pdf' ELSE CASE WHEN n > 1 THEN 'unretrievableDocName(' || (n - 1) || ').pdf' ELSE 'unretrievableDocName.pdf' END END AS file_name FROM t""",
     "download_plan": """WITH t AS (SELECT doc_id AS seq, coalesce(id, 'none') AS id, doc_id > min(doc_id) OVER (PARTITION BY md5(text)) AS is_duplicate FROM documents WHERE text <> ''),
